@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats, read_back, unescape
+from .decontaminate import contamination
+from .language_id import identify
 from .packing import pack
 from .tables import table
 from .token_counts import token_counts
 from .token_files import token_files
+from .topk import top_k
 from .url_filter import judge_urls
 
 
@@ -46,6 +49,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the documents, by a hash of doc_id, takes no part in training; lang, source and doc_id are no inputs."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    return identify(docs, docs.filter(fold != 0)).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -54,8 +73,19 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_chat_format, op8_token_counts, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_chat_format, op4_top_k, op5_decontamination, op6_language_id, op8_token_counts, op9_token_files)}
 ORACLE_SQL: dict[str, str] = {
+    "op4_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+""",
     "op3_chat_format": """
 WITH log AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
