@@ -9,6 +9,7 @@ from .chat_format import format_chats, read_back, unescape
 from .decontaminate import contamination
 from .language_id import identify
 from .packing import pack
+from .repeats import without_repeats
 from .tables import table
 from .token_counts import token_counts
 from .token_files import token_files
@@ -65,6 +66,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, docs.filter(fold != 0)).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -73,7 +79,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_chat_format, op4_top_k, op5_decontamination, op6_language_id, op8_token_counts, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_chat_format, op4_top_k, op5_decontamination, op6_language_id, op7_repeats, op8_token_counts, op9_token_files)}
 ORACLE_SQL: dict[str, str] = {
     "op4_top_k": """
 WITH v AS (
