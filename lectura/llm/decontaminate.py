@@ -148,13 +148,14 @@ def bench_parts(bench: DataFrame, window: int) -> list:
     return [sc.broadcast(Benchmark(sorted((r["item_id"], r["text"]) for r in items.filter(part == k).collect()), window)) for k in range(n)]
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, share: int = 20, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (ids that occur), spans (word ranges hit), contaminated. One scan, no shuffle.
 
-    contaminated: some word is hit, and share times the hit words is at least all words.
+    contaminated: some word is hit, and share times the hit words is at least all words. With carry, the columns of docs as
+    one struct, row, stand in doc_id's place.
     """
     parts_of_bench = bench_parts(bench, window)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def judge(parts):
         for part in parts:
@@ -168,13 +169,17 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, share: in
                         spans[doc].append((at, at + n))
                         items[doc].update(own)
                 merged = [merge(s) for s in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0)[rows], pa.array(n_words, pa.int64()), pa.array([sum(b - a for a, b in m) for m in merged], pa.int64()), pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], schema.field("spans").type)],
+                told = pa.RecordBatch.from_arrays(
+                    [pa.array(n_words, pa.int64()), pa.array([sum(b - a for a, b in m) for m in merged], pa.int64()), pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], schema.field("spans").type)],
                     schema=schema,
                 )
+                yield pa.RecordBatch.from_arrays([part.column(0)[rows], *told.columns], [name, *schema.names])
 
-    judged = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(judge, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
-    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col("doc_id")
+    given = docs.select(key, F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    name, kind = given.dtypes[0]
+    judged = given.mapInArrow(judge, f"{name} {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    return judged.select(name, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def shards(texts: pa.Array, size: int = SHARD_BYTES):

@@ -134,10 +134,14 @@ def labelled_sample(docs: DataFrame, per_language: int, window: int) -> tuple[li
     return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
 
 
-def identify(docs: DataFrame, training: DataFrame | None = None, per_language: int = 800, window: int = 1500, **settings) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for every row of docs; learnt from the labelled rows of `training` (default: docs)."""
+def identify(docs: DataFrame, training: DataFrame | None = None, per_language: int = 800, window: int = 1500, carry: bool = False, **settings) -> DataFrame:
+    """doc_id, lang_pred, score, rejected for every row of docs; learnt from the labelled rows of `training` (default: docs).
+
+    With carry, the columns of docs as one struct, row, stand in doc_id's place.
+    """
     texts, langs = labelled_sample(docs if training is None else training, per_language, window)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, langs, **settings) if texts else None)
+    key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col("doc_id")
 
     def predict(parts):
         m = model.value
@@ -151,7 +155,9 @@ def identify(docs: DataFrame, training: DataFrame | None = None, per_language: i
                     scores[at] = p
                     for i, b in zip(at, best.tolist()):
                         langs[i] = m.languages[b]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(langs), pa.array(scores), pa.array([not ok or not m or s < m.threshold for ok, s in zip(letters, scores.tolist())])], ["doc_id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(langs, pa.string()), pa.array(scores), pa.array([not ok or not m or s < m.threshold for ok, s in zip(letters, scores.tolist())], pa.bool_())], [name, "lang_pred", "score", "rejected"])
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), has_letter.alias("letters")).mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
+    given = docs.select(key, F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), has_letter.alias("letters"))
+    name, kind = given.dtypes[0]
+    return given.mapInArrow(predict, f"{name} {kind}, lang_pred string, score double, rejected boolean")

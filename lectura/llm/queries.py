@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chats, read_back, unescape
 from .decontaminate import contamination
+from .jaccard import near_duplicates
 from .language_id import identify
 from .packing import pack
 from .repeats import without_repeats
@@ -79,7 +80,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_chat_format, op4_top_k, op5_decontamination, op6_language_id, op7_repeats, op8_token_counts, op9_token_files)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_chat_format, op4_top_k, op5_decontamination, op6_language_id, op7_repeats, op8_token_counts, op9_token_files, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {
     "op4_top_k": """
 WITH v AS (
