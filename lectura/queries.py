@@ -1,8 +1,235 @@
-"""Registered queries."""
+"""Registered queries: texts composed from typed columns of the tables, read back; the SQL recomputes them from the columns."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .operators.extract import extract
+from .operators.policy import accepts, canonicalize, issues
+from .operators.read import Context, read, suggestions
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def narrow(*grammars: str, **settings) -> Context:
+    """A context that tries few grammars, for columns whose kind is known."""
+    return Context(**{"only": grammars, "ranges": False, "conversions": False, "fuzzy": False} | settings)
+
+
+UNIT = narrow("registered")
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def texted(spark, sf_dir, name, key, text: Column, ctx=Context(), custom=None) -> DataFrame:
+    return read(table(spark, sf_dir, name).select(F.col(key).alias("id"), text.alias("text")), "text", ctx, custom)
+
+
+def told(df: DataFrame, *fields: str, digits: int = 6) -> DataFrame:
+    """id and fields of the reading, numbers rounded so that the order of additions doesn't show."""
+    r = F.col("reading")
+    return df.select("id", *[(F.round(r[f], digits) if f in ("value", "low", "high") else r[f]).alias(f) for f in fields])
+
+
+def s(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
+def values(name: str, table_name: str, key: str, text: Column, sql_value: str, unit: str, dimension: str, ctx=Context(), where: str = "true") -> None:
+    """A query whose readings are one value per row, of one unit."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return told(texted(spark, sf_dir, table_name, key, text, ctx), "kind", "value", "unit", "dimension")
+
+    run.__name__ = name
+    QUERIES[name] = run
+    literal = lambda x: "NULL::VARCHAR" if x is None else f"'{x}'"
+    kind = "quantity" if unit else "number"
+    ORACLE_SQL[name] = f"SELECT {key} AS id, '{kind}' AS kind, round({sql_value}, 6) AS value, {literal(unit)} AS unit, {literal(dimension)} AS dimension FROM {table_name}"
+
+
+values("registered_length", "part", "p_partkey", F.concat(s("p_size"), F.lit(" cm")), "p_size * 0.01", "m", "length", UNIT)
+values("fullwidth_digits", "part", "p_partkey", F.concat(F.translate(s("p_size"), "0123456789", "０１２３４５６７８９"), F.lit("ｍｍ")), "p_size * 0.001", "m", "length", UNIT)
+values("spanish_mass", "part", "p_partkey", F.concat(s("p_size"), F.lit(" kilogramos")), "p_size * 1.0", "kg", "mass", UNIT)
+values("upper_case_unit", "part", "p_partkey", F.concat(s("p_size"), F.lit(" KG")), "p_size * 1.0", "kg", "mass", UNIT)
+values("speed", "part", "p_partkey", F.concat(s("p_size"), F.lit(" mph")), "p_size * (1609.344 / 3600.0)", "m/s", "speed", UNIT)
+values("data_size", "part", "p_partkey", F.concat(s("p_size"), F.lit(" MB")), "p_size * 1000000.0", "B", "data", UNIT)
+values("temperature_f", "part", "p_partkey", F.concat(s("p_size"), F.lit(" °F")), "(p_size - 32.0) * 5.0 / 9.0", "C", "temperature", narrow("temperature"))
+values("temperature_k", "part", "p_partkey", F.concat(s("p_size"), F.lit(" K")), "p_size - 273.15", "C", "temperature", narrow("temperature"))
+values("square_metres", "part", "p_partkey", F.concat(F.lit("延床"), s("p_size"), F.lit("㎡")), "p_size * 1.0", "m2", "area", narrow("square_metres"))
+values("tatami", "part", "p_partkey", F.concat(s("p_size"), F.lit("畳半")), "(p_size + 0.5) * 1.62", "m2", "area", narrow("traditional_area"))
+values("tsubo", "part", "p_partkey", F.concat(s("p_size"), F.lit("坪")), "p_size * (400.0 / 121.0)", "m2", "area", narrow("traditional_area"))
+values("japanese_length", "part", "p_partkey", F.concat(s("p_size"), F.lit("尺3寸")), "p_size * (10.0 / 33.0) + 3 * (1.0 / 33.0)", "m", "length", narrow("japanese_length"))
+values("metric_idiom", "part", "p_partkey", F.concat(F.lit("1m"), s("p_size")), "1 + p_size * 0.01", "m", "length", narrow("metric_idiom"))
+values("feet_inches", "lineitem", "l_orderkey", F.concat(s("l_linenumber"), F.lit("ft "), s("l_linenumber")), "l_linenumber * 0.3048 + l_linenumber * 0.0254", "m", "length", narrow("feet_inches"))
+values("compound", "lineitem", "l_orderkey", F.concat(F.lit("3 yd "), (F.col("l_linenumber") % 3).cast("string"), F.lit(" ft")), "3 * 0.9144 + (l_linenumber % 3) * 0.3048", "m", "length", narrow("compound", "registered"))
+values("conversion", "part", "p_partkey", F.concat(s("p_size"), F.lit(" in to cm")), "p_size * 0.0254 / 0.01", "cm", "length", narrow("registered", conversions=True))
+values("currency_prefix", "part", "p_partkey", F.concat(F.lit("EUR "), s("p_size")), "p_size * 1.0", "EUR", "currency", narrow("currency"))
+values("currency_suffix", "part", "p_partkey", F.concat(s("p_size"), F.lit("円")), "p_size * 1.0", "JPY", "currency", narrow("currency"))
+values("currency_minor", "part", "p_partkey", F.concat(s("p_size"), F.lit(" pence")), "p_size / 100.0", "GBP", "currency", narrow("currency"))
+values("exchange", "part", "p_partkey", F.concat(F.lit("USD "), s("p_size"), F.lit(" to JPY")), "p_size * 150.5", "JPY", "currency", narrow("currency", conversions=True, rates=(("USD", "JPY", 150.5),)))
+values("duration_iso", "events", "event_id", F.concat(F.lit("PT"), F.hour("ts").cast("string"), F.lit("H"), F.minute("ts").cast("string"), F.lit("M")), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("duration"))
+values("duration_compact", "events", "event_id", F.concat(F.hour("ts").cast("string"), F.lit("h"), F.minute("ts").cast("string")), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("duration"))
+values("clock_24h", "events", "event_id", F.date_format("ts", "HH:mm:ss"), "hour(ts) * 3600.0 + minute(ts) * 60.0 + second(ts)", "s", "time", narrow("clock"))
+values("clock_12h", "events", "event_id", F.date_format("ts", "h:mm a"), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("clock"))
+values("japanese_clock", "events", "event_id", F.concat(F.hour("ts").cast("string"), F.lit("時"), F.minute("ts").cast("string"), F.lit("分")), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("clock"))
+values("zoned_clock", "events", "event_id", F.concat(F.date_format("ts", "HH:mm"), F.lit(" EST")), "(hour(ts) * 3600.0 + minute(ts) * 60.0 + 18000.0) % 86400.0", "s", "time", narrow("zoned_clock", "clock"))
+values("grouped_number", "orders", "o_orderkey", F.format_number("o_totalprice", 2), "round(o_totalprice, 2)", None, None, narrow("ambiguous_number", "number"))
+values("comma_decimal", "orders", "o_orderkey", F.translate(F.format_number("o_totalprice", 2), ",.", ".,"), "round(o_totalprice, 2)", None, None, narrow("number", number_format="comma_decimal"))
+values("myriad_number", "part", "p_partkey", F.concat(s("p_size"), F.lit("億")), "p_size * 100000000.0", None, None, narrow("number"))
+values("number_words", "lineitem", "l_orderkey", F.concat(F.element_at(F.array(*map(F.lit, "one two three four five six seven".split())), F.col("l_linenumber")), F.lit(" hundred and twenty-five")), "l_linenumber * 100.0 + 25", None, None, narrow("number"))
+values("cjk_number", "lineitem", "l_orderkey", F.concat(F.element_at(F.array(*map(F.lit, "二三四五六七八")), F.col("l_linenumber")), F.lit("百二十三")), "(l_linenumber + 1) * 100.0 + 23", None, None, narrow("number"))
+
+
+@query("SELECT 'm' AS unit, 'length' AS dimension, count(*) AS n, round(sum(p_size * 0.01), 4) AS total FROM part")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes written as text, read and summed by unit."""
+    read_ = texted(spark, sf_dir, "part", "p_partkey", F.concat(s("p_size"), F.lit(" cm")), UNIT)
+    return read_.groupBy("reading.unit", "reading.dimension").agg(F.count("*").alias("n"), F.round(F.sum("reading.value"), 4).alias("total"))
+
+
+@query(
+    "SELECT p_partkey AS id, round(p_size * CASE p_partkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN 0.0254 WHEN 2 THEN 0.3048 WHEN 3 THEN 0.9144 ELSE 1609.344 END, 6) AS value, 'm' AS unit FROM part"
+)
+def alias_family(spark, sf_dir):
+    names = F.array(*map(F.lit, ("centimetres", "inches", "feet", "yards", "miles")))
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(s("p_size"), F.lit(" "), F.get(names, (F.col("p_partkey") % 5).cast("int"))), UNIT), "value", "unit")
+
+
+@query("SELECT p_partkey AS id, p_size * 1000.0 + 125 AS value, (p_size * 1000.0 + 125) / 1000.0 AS other, 'AMBIGUOUS_NUMBER' AS code FROM part")
+def ambiguous_number(spark, sf_dir):
+    df = texted(spark, sf_dir, "part", "p_partkey", F.concat(s("p_size"), F.lit(",125")), narrow("ambiguous_number", "number"))
+    return df.select("id", F.col("reading.value").alias("value"), F.col("reading.others")[0].alias("other"), F.col("reading.code").alias("code"))
+
+
+@query("SELECT p_partkey AS id, p_size * 1.0 AS value, 'USD' AS unit, 'AMBIGUOUS_CURRENCY' AS code, 2 AS others FROM part")
+def dollar_ambiguous(spark, sf_dir):
+    df = texted(spark, sf_dir, "part", "p_partkey", F.concat(F.lit("$"), s("p_size")), narrow("currency"))
+    return told(df, "value", "unit", "code").join(df.select("id", F.size("reading.others").alias("others")), "id")
+
+
+@query("SELECT p_partkey AS id, round(p_size * 0.2365882365, 6) AS value, 'L' AS unit, 'AMBIGUOUS_UNIT' AS code FROM part")
+def cups(spark, sf_dir):
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(s("p_size"), F.lit(" cups")), narrow("cups", locale="en-US")), "value", "unit", "code")
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, 'refused' AS kind, 'COMPOUND_OVERFLOW' AS code FROM lineitem")
+def compound_overflow(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.concat(F.lit("1 yd "), (F.col("l_linenumber") + 3).cast("string"), F.lit(" ft")).alias("text"))
+    return read(df, "text", narrow("compound", "registered")).select("id", "line", "reading.kind", "reading.code")
+
+
+@query("SELECT p_partkey AS id, 'range' AS kind, round(p_size * 0.001, 6) AS low, round((p_size + 5) * 0.001, 6) AS high, 'm' AS unit, NULL::VARCHAR AS code FROM part")
+def range_hyphen(spark, sf_dir):
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(s("p_size"), F.lit("-"), (F.col("p_size") + 5).cast("string"), F.lit(" mm")), narrow("registered", "number", ranges=True)), "kind", "low", "high", "unit", "code")
+
+
+@query("SELECT p_partkey AS id, round((p_size + 5) * 1.0, 6) AS low, round(p_size * 1.0, 6) AS high, 'kg' AS unit, 'AMBIGUOUS_NUMBER' AS code FROM part")
+def descending_range(spark, sf_dir):
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(F.lit("between "), (F.col("p_size") + 5).cast("string"), F.lit(" and "), s("p_size"), F.lit(" kg")), narrow("registered", "number", ranges=True)), "low", "high", "unit", "code")
+
+
+@query("SELECT p_partkey AS id, round(p_size * 0.001 - 0.0005, 6) AS low, round(p_size * 0.001 + 0.0005, 6) AS high, 'm' AS unit FROM part")
+def tolerance(spark, sf_dir):
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(s("p_size"), F.lit(" ± 0.5 mm")), narrow("registered", "number", ranges=True)), "low", "high", "unit")
+
+
+@query("SELECT p_partkey AS id, 0.0 AS low, p_size * 60.0 AS high, 's' AS unit FROM part")
+def upper_bound(spark, sf_dir):
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(F.lit("under "), s("p_size"), F.lit(" minutes")), narrow("registered", "number", ranges=True)), "low", "high", "unit")
+
+
+@query("SELECT p_partkey AS id, p_size * 1.0 AS value, 'kg' AS unit, true AS approximate, 'APPROXIMATION' AS code FROM part")
+def qualified(spark, sf_dir):
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(F.lit("about "), s("p_size"), F.lit("kg")), narrow("registered", fuzzy=True)), "value", "unit", "approximate", "code")
+
+
+@query("SELECT p_partkey AS id, 120.0 AS low, 240.0 AS high, 's' AS unit FROM part")
+def a_few(spark, sf_dir):
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.lit("a few minutes"), narrow("registered", fuzzy=True)), "low", "high", "unit")
+
+
+@query("SELECT o_orderkey AS id, 'date' AS kind, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders")
+def iso_date(spark, sf_dir):
+    return told(texted(spark, sf_dir, "orders", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), narrow("date", reference_date="2026-07-19")), "kind", "date")
+
+
+@query("SELECT p_partkey AS id, strftime(DATE '2026-07-19' + p_size::INT, '%Y-%m-%d') AS date FROM part")
+def relative_days(spark, sf_dir):
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(F.lit("in "), s("p_size"), F.lit(" days")), narrow("date", reference_date="2026-07-19")), "date")
+
+
+@query("SELECT p_partkey AS id, strftime(DATE '2026-07-20' + ((p_partkey + 6) % 7)::INT, '%Y-%m-%d') AS date FROM part")
+def next_weekday(spark, sf_dir):
+    days = F.array(*map(F.lit, ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")))
+    return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(F.lit("next "), F.get(days, (F.col("p_partkey") % 7).cast("int"))), narrow("date", reference_date="2026-07-19")), "date")
+
+
+@query(
+    "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) THEN 'AMBIGUOUS_DATE' END AS code FROM orders"
+)
+def slash_date(spark, sf_dir):
+    return told(texted(spark, sf_dir, "orders", "o_orderkey", F.date_format("o_orderdate", "M/d/yyyy"), narrow("slash_date")), "date", "code")
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'kg' ELSE NULL END AS suggestion FROM part")
+def suggested_units(spark, sf_dir):
+    words = F.array(*map(F.lit, ("meterz", "kilogrem", "metres")))
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(s("p_size"), F.lit(" "), F.get(words, (F.col("p_partkey") % 3).cast("int"))).alias("text"))
+    return suggestions(df, "text").select("id", "suggestion")
+
+
+@query("SELECT p_partkey AS id, p_partkey % 2 = 0 AS ok, CASE WHEN p_partkey % 2 = 1 THEN 'REJECTED_BY_POLICY' END AS code FROM part")
+def policy_refusal(spark, sf_dir):
+    unit = F.when(F.col("p_partkey") % 2 == 0, " cm").otherwise(" kg")
+    df = texted(spark, sf_dir, "part", "p_partkey", F.concat(s("p_size"), unit), narrow("registered", dimensions=("length", "area")))
+    return df.select("id", accepts(F.col("reading")).alias("ok"), F.col("reading.code").alias("code"))
+
+
+@query("SELECT code, severity, rank, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'AMBIGUOUS_CURRENCY' WHEN 1 THEN 'NO_VALUE' WHEN 2 THEN 'EMPTY' ELSE 'APPROXIMATION' END AS code, CASE p_partkey % 4 WHEN 0 THEN 'warning' WHEN 3 THEN 'warning' ELSE 'error' END AS severity, CASE p_partkey % 4 WHEN 0 THEN 55 WHEN 3 THEN 30 ELSE 100 END AS rank FROM part) GROUP BY ALL")
+def finding_ranks(spark, sf_dir):
+    text = F.when(F.col("p_partkey") % 4 == 0, "$5").when(F.col("p_partkey") % 4 == 1, "no such thing").when(F.col("p_partkey") % 4 == 2, "  ").otherwise("約3m")
+    return issues(texted(spark, sf_dir, "part", "p_partkey", text, narrow("registered", "currency", "number", fuzzy=True))).groupBy("code", "severity", "rank").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS field, p_partkey % 2 = 0 AS ok, CASE WHEN p_partkey % 2 = 0 THEN round(p_size * 0.3048, 6) END AS value, CASE WHEN p_partkey % 2 = 1 THEN 'AMBIGUOUS_NUMBER' END AS message FROM part")
+def canonical_batch(spark, sf_dir):
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(s("p_size"), F.lit(" feet"))).otherwise(F.concat(s("p_size"), F.lit(",125")))
+    done = canonicalize(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("field"), text.alias("text")), narrow("registered", "ambiguous_number", "number", strictness="confirm"))
+    return done.select("field", "ok", F.round("value", 6).alias("value"), "message")
+
+
+@query("SELECT p_partkey AS id, 0 AS clause, p_size || 'mm' AS text, round(p_size * 0.001, 6) AS value FROM part UNION ALL SELECT p_partkey, 2, '30 m2', 30.0 FROM part")
+def editor_extract(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("幅"), s("p_size"), F.lit("mm、予算5kg、beamA105mm 30 m2")).alias("note"))
+    return extract(df, "note").select("id", "clause", "text", F.round("reading.value", 6).alias("value"))
+
+
+@query(
+    "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 1 THEN 'range' WHEN 3 THEN 'number' ELSE 'quantity' END AS kind, CASE p_partkey % 4 WHEN 0 THEN round(p_size * 0.01, 6) WHEN 2 THEN p_size * 1.0 WHEN 3 THEN p_size * 10000.0 END AS value FROM part"
+)
+def every_grammar(spark, sf_dir):
+    """The full list of grammars over a column of mixed kinds."""
+    kind = F.col("p_partkey") % 4
+    text = F.when(kind == 0, F.concat(s("p_size"), F.lit("cm"))).when(kind == 1, F.concat(F.lit("from 1 to "), (F.col("p_size") + 1).cast("string"), F.lit(" kg"))).when(kind == 2, F.concat(F.lit("EUR "), s("p_size"))).otherwise(F.concat(s("p_size"), F.lit("万")))
+    return told(texted(spark, sf_dir, "part", "p_partkey", text), "kind", "value")
+
+
+@query("SELECT doc_id AS id, true AS told FROM documents WHERE text IS NOT NULL")
+def hostile_documents(spark, sf_dir):
+    """Whole documents are no quantities; each still gets a reading or a finding."""
+    df = texted(spark, sf_dir, "documents", "doc_id", F.col("text"), narrow("registered", "temperature", "currency", "number")).filter("text is not null")
+    return df.select("id", (F.col("reading.value").isNotNull() | F.col("reading.code").isNotNull()).alias("told"))
