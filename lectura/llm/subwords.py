@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,6 @@ import pyarrow.compute as pc
 #: A space between two characters that are not white space starts a pre-token of the byte-level BPE.
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"\s\s")
-#: ASCII white space, of which the dropping tokenizer keeps nothing.
-BLANKS = {9: " ", 10: " ", 13: " "}
 #: Entries of a worker's cache; beyond them it starts anew, so its memory stays bounded.
 CACHE = 700_000
 
@@ -28,6 +28,23 @@ def path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def blanks(text: str) -> str:
+    """ASCII white space, of which the dropping tokenizer keeps nothing, as spaces."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+
+def strings(values: pa.Array) -> list[str]:
+    """A string array as a list; quicker than value by value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class UnitEncoder:
     """ids of whole texts as little-endian uint32 bytes, through the tokenizers library.
 
@@ -41,6 +58,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.front = Tokenizer.from_file(path_of(name)), " " if mode == "space" else ""
+        self.model, self.lower = self.tokenizer.model, mode == "dropped"
+        self.table = byte_characters()
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -50,6 +69,21 @@ class UnitEncoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
         return out
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens. A run of letters goes to the BPE model itself, as the byte characters that it knows."""
+        out = []
+        for w in words:
+            letters = w.lstrip(" ")
+            if letters.isalpha() and not ("Σ" in letters or "İ" in letters) and unicodedata.is_normalized("NFC", letters):
+                known = (w.lower() if self.lower else w).encode().decode("latin-1").translate(self.table)
+                out.append(array("I", [t.id for t in self.model.tokenize(known)]).tobytes())
+            else:
+                out.append(None)
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._encode([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def _ids(self, units: list[str]) -> list[bytes]:
         """Ids of each unit that follows another. Letters and ASCII punctuation behind them are two pre-tokens, whose ids are kept by themselves."""
         if len(self.units) > CACHE:
@@ -57,18 +91,21 @@ class UnitEncoder:
         if len(self.words) > CACHE:
             self.words.clear()
         new = [u for u in units if u not in self.units]
-        cores = [c if (c := u.rstrip(",.!?;:")).isalpha() else u for u in new]
-        tails = [u[len(c):] for u, c in zip(new, cores)]
-        fronts = [self.front + c for c in cores]
-        asked = [w for w in {*fronts, *tails} if w not in self.words]
-        self.words.update(zip(asked, self._encode(asked)))
+        # a line break before a letter or sign is a pre-token of its own, and what follows it has no space
+        breaks = ["\n" if self.front and u[:1] == "\n" else "" for u in new]
+        bodies = [u[len(b):] for u, b in zip(new, breaks)]
+        cores = [c if (c := u.rstrip(",.!?;:")).isalpha() else u for u in bodies]
+        tails = [u[len(c):] for u, c in zip(bodies, cores)]
+        fronts = [c if b else self.front + c for c, b in zip(cores, breaks)]
+        asked = [w for w in {*breaks, *fronts, *tails} if w not in self.words]
+        self.words.update(zip(asked, self._encode_words(asked)))
         words = self.words
-        self.units.update((u, words[f] + words[t]) for u, f, t in zip(new, fronts, tails))
+        self.units.update((u, words[b] + words[f] + words[t]) for u, b, f, t in zip(new, breaks, fronts, tails))
         return [self.units[u] for u in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [bool(self.front) and bool(ODD_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace()) for t in texts]
-        out = iter(self._regular([t if self.front else t.translate(BLANKS) for t, o in zip(texts, odd) if not o]))
+        out = iter(self._regular([t if self.front else blanks(t) for t, o in zip(texts, odd) if not o]))
         return [self._spaced(t) if o else next(out) for t, o in zip(texts, odd)]
 
     def _spaced(self, text: str) -> bytes:
@@ -79,10 +116,12 @@ class UnitEncoder:
         """Units by single spaces; each distinct unit of the batch is looked up once, then its ids are copied to where it stands."""
         if not texts:
             return []
+        if self.front:
+            texts = [t.replace("\n", " \n") for t in texts]
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
         at, ends = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
-        found = self._ids(coded.dictionary.to_pylist())
+        found = self._ids(strings(coded.dictionary))
         if self.front:  # a text's first unit has no space before it
             at[ends[:-1]] = len(found) + np.arange(len(texts))
             found = found + self._encode([t.split(" ", 1)[0] for t in texts])

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subwords import batches, path_of
+from .subwords import batches, path_of, strings
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -62,7 +62,7 @@ class PieceCounter:
             self.units.clear()
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        units = coded.dictionary.to_pylist()
+        units = strings(coded.dictionary)
         new = [u for u in units if u not in self.units]
         for i in range(0, len(new), 4096):
             self.units.update(zip(new[i : i + 4096], map(len, self.sp.encode(new[i : i + 4096], num_threads=1))))
