@@ -38,6 +38,8 @@ from .tables import written
 WORDS = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 #: Counters of the sketch: its size, some 4 MB, whatever the input.
 COUNTERS = 1 << 22
+#: Cells of a set's profile: how many of its shingles fall in each. The lesser counts bound an intersection from above.
+CELLS = 64
 #: Chosen partners per member in the first comparison.
 CHOSEN = 3
 
@@ -51,7 +53,7 @@ def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarr
     sizes = np.diff(lists.offsets.to_numpy())
     coded = lists.flatten().dictionary_encode()
     at = coded.indices.to_numpy()
-    vocabulary = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    vocabulary = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
     real = np.fromiter(map(bool, vocabulary), bool, len(vocabulary))[at]
     owner = np.repeat(np.arange(len(texts)), sizes)[real]
@@ -78,6 +80,11 @@ def distinct_sets(h: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.nd
     return h, owner, np.bincount(owner, minlength=n_texts)
 
 
+def signature(shingles: np.ndarray) -> int:
+    """A hash of a set, in whatever order."""
+    return int(mix(np.array([mix(shingles).sum() + np.uint64(len(shingles))], np.uint64))[0].astype(np.int64))
+
+
 def rarity(docs: DataFrame, shingle: int) -> tuple[np.ndarray, float]:
     """Counts of all shingles by hash, as levels of their logarithm, and the mean length of the list a shingle is in."""
     rows = 64
@@ -85,7 +92,7 @@ def rarity(docs: DataFrame, shingle: int) -> tuple[np.ndarray, float]:
     def count(parts):
         total = np.zeros(COUNTERS, np.int64)
         for part in parts:
-            for s in shards(part.column(0), 4 << 20):
+            for s in shards(part.column(0), 2 << 20):
                 h, _ = shingle_sets(part.column(0)[s].to_pylist(), shingle)
                 total += np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=COUNTERS)
         blocks = total.reshape(rows, -1)
@@ -121,7 +128,7 @@ def keys_of(h: np.ndarray, percent: int, light_to: int, heavy_from: int) -> np.n
 
 
 def sets_of(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, sig, n, keys: each document's set by its hash and size, and its keys."""
+    """doc_id, sig, n, profile, keys: each document's set by its hash, size and profile, and its keys."""
     levels, length = rarity(docs, shingle)
     told = docs.sparkSession.sparkContext.broadcast(levels)
     # C(p + 1, 2) pairs against p lists of that mean length; a list costs at least its own row and at most a few, being rare
@@ -131,22 +138,37 @@ def sets_of(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def build(parts):
         for part in parts:
-            for s in shards(part.column(1), 4 << 20):
+            for s in shards(part.column(1), 2 << 20):
                 texts = part.column(1)[s].to_pylist()
                 h, owner, count = distinct_sets(*shingle_sets(texts, shingle), len(texts))
                 order = np.lexsort((h, told.value[(h >> np.uint64(42)).astype(np.int64)], owner))
                 h = h[order]
                 ends = np.cumsum(count)
+                cells = np.bincount(owner * CELLS + (h >> np.uint64(36)).astype(np.int64) % CELLS, minlength=len(texts) * CELLS).astype("<u4").reshape(-1, CELLS)
                 sig, keys = [], []
                 for a, b in zip((ends - count).tolist(), ends.tolist()):
                     own = h[a:b]
-                    sig.append(int(mix(np.array([mix(own).sum() + np.uint64(b - a)], np.uint64))[0].astype(np.int64)) if b > a else None)
+                    sig.append(signature(own) if b > a else None)
                     keys.append(np.unique(keys_of(own, percent, light_to, heavy_from)).view(np.int64) if b > a else np.zeros(0, np.int64))
                 flat = pa.array(np.concatenate(keys))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0)[s], pa.array(sig, pa.int64()), pa.array(count, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "sig", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0)[s], pa.array(sig, pa.int64()), pa.array(count, pa.int64()), pa.array([c.tobytes() for c in cells], pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "sig", "n", "profile", "keys"])
+
+    return docs.mapInArrow(build, "doc_id long, sig long, n long, profile binary, keys array<long>")
 
-    return docs.mapInArrow(build, "doc_id long, sig long, n long, keys array<long>")
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose profiles allow a link; the rest can't link, and their shingles are never fetched."""
+    side = lambda k, p: sets.select(F.col("sig").alias(k), F.col("profile").alias(p))
+
+    def judge(parts):
+        for part in parts:
+            if part.num_rows:
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64) for c in ("left", "right"))
+                both = np.minimum(x, y).sum(axis=1)
+                yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * (x.sum(axis=1) + y.sum(axis=1) - both)))
+
+    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +209,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
     """doc_id, n_shingles, component_id for every row of docs."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     members = written(sets_of(texts, shingle, percent))
-    sets = written(members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys")))
+    sets = written(members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("profile").alias("profile"), F.first("keys").alias("keys")))
     entries = sets.select(F.explode("keys").alias("key"), "sig", "n")
     # of each list, the member that a hash of list and member puts first: another one in each list
     lists = entries.groupBy("key").agg(F.count("*").alias("long"), F.min_by(F.struct("sig", "n"), F.xxhash64("key", "sig")).alias("centre")).filter("long > 1")
@@ -197,23 +219,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
     chosen = listed.filter((F.col("sig") != F.col("centre.sig")) & alike(F.col("n"), F.col("centre.n"))).groupBy("sig").agg(F.array_distinct(F.collect_list("centre.sig")).alias("partners"))
     first = chosen.select("sig", F.explode(F.slice(F.array_sort("partners"), 1, CHOSEN)).alias("p")).select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b")).distinct()
 
-    wanted = listed.select("sig").distinct().join(sets.select("sig", "doc_id"), "sig")
-
     def read(parts):
         for part in parts:
-            for s in shards(part.column(1), 4 << 20):
+            for s in shards(part.column(1), 2 << 20):
                 raw = part.column(1)[s].to_pylist()
                 h, _, count = distinct_sets(*shingle_sets(raw, shingle), len(raw))
                 ends = np.cumsum(count)
-                yield pa.RecordBatch.from_arrays([part.column(0)[s], pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip((ends - count).tolist(), ends.tolist())], pa.binary())], ["sig", "shingles"])
-
-    # a doc_id may stand for several texts, so the signature decides which one is meant
-    where = written(members.select("doc_id", "sig").join(wanted, ["doc_id", "sig"], "left_semi").distinct())
-    few = where.count() <= 500_000
-    hit = texts.join(F.broadcast(where) if few else where, "doc_id")
-    shingles = written(hit.select("sig", "text").mapInArrow(read, "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles")))
-
-    edges = written(linked(first, shingles, percent))
+                own = [h[a:b] for a, b in zip((ends - count).tolist(), ends.tolist())]
+                meant = [i for i, (sig, x) in enumerate(zip(part.column(0)[s].to_pylist(), own)) if len(x) and signature(x) == sig]
+                yield pa.RecordBatch.from_arrays([part.column(0)[s].take(pa.array(meant, pa.int64())), pa.array([own[i].astype("<u8").tobytes() for i in meant], pa.binary())], ["sig", "shingles"])
+
+    def linked_of(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only texts of plausible pairs are read again, one per set."""
+        pairs = written(plausible(pairs, sets, percent))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets.select("sig", "doc_id"), "sig")
+        # a doc_id may stand for several texts, so the signature decides which one is meant
+        where = written(members.select("doc_id", "sig").join(wanted, ["doc_id", "sig"], "left_semi").distinct())
+        few = where.count() <= 500_000
+        hit = texts.join(F.broadcast(where) if few else where, "doc_id")
+        shingles = hit.select("sig", "text").mapInArrow(read, "sig long, shingles binary")
+        told = written(shingles)
+        return written(linked(pairs, told, percent))
+
+    edges = linked_of(first)
     labels = components(edges)
     placed = written(listed.select("key", "sig", "n").join(labels, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("label", "sig").alias("label")))
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("many"))
@@ -221,7 +249,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
     apart = written(placed.join(largest.select("key", "largest"), "key"))
     outside = apart.filter("label <> largest").select("key", F.col("sig").alias("x"), F.col("n").alias("m"), F.col("label").alias("other"))
     second = outside.join(apart, "key").filter((F.col("other") != F.col("label")) & alike(F.col("m"), F.col("n"))).select(F.least("sig", "x").alias("a"), F.greatest("sig", "x").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = linked(written(second), shingles, percent)
+    more = linked_of(second)
     joined = written(components(written(edges.unionByName(more))))
 
     of_set = members.select("doc_id", "sig", "n").join(joined, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("label", "sig").alias("class"))
