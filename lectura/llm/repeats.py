@@ -32,7 +32,7 @@ from .tables import written
 
 GRAM = 32
 #: Positions of a scan's piece fit so many bits; longer texts are scanned in overlapping pieces.
-PLACE_BITS = 22
+PLACE_BITS = 20
 #: Distinct contexts of a shard, about, and of a minimiser up to which its contexts share a shard.
 SHARD, TOGETHER = 1000, 300
 #: Rows up to which spans or contexts to be read go to the texts by broadcast (some 50 bytes each); more are joined by a shuffle.
@@ -186,22 +186,22 @@ def maximal_repeats(texts: list[bytes], counts: list[int], length: int):
                     yield group, c, p, length + more
 
 
-def repeat_groups(docs: DataFrame, length: int = 200) -> DataFrame:
-    """group, key, start, size: every occurrence of every repeat; key is xxhash64(doc_id, text)."""
+def repeated_contexts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contexts that repeat as a whole (h, c, key, start, n), the occurrences of those that may repeat in part, and for these
+    the places of their repeats (group, h, c, at, size)."""
     keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def scan(parts):
         for part in parts:
             keys = part.column(0).to_numpy()
-            for rows in shards(part.column(1), 3 << 20):
+            for rows in shards(part.column(1), 1 << 20):
                 text, start, n, h, c = contexts(part.column(1)[rows].to_pylist(), length)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(keys[rows][text], pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32())], ["h", "c", "key", "start", "n"])
 
     found = written(keyed.filter(F.length("text") >= length).mapInArrow(scan, "h long, c long, key long, start long, n int"))
     shared_h = found.groupBy("h").agg(F.count("*").alias("times"), (F.min("c") == F.max("c")).alias("same")).filter("times > 1").select("h", "same")
     repeated = written(found.join(shared_h, "h"))
-    whole = repeated.filter("same").select(F.col("c").alias("group"), "key", "start", (F.col("n") + length - 1).alias("size"))
-
+    whole = repeated.filter("same")
     mixed = repeated.filter("not same")
     distinct = written(mixed.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("key", "start", "n")).alias("rep")))
     crowd = distinct.groupBy("h").agg(F.count("*").alias("crowd"))
@@ -232,8 +232,41 @@ def repeat_groups(docs: DataFrame, length: int = 200) -> DataFrame:
     by_hash = dealt.join(often, "group").select("group", "h", "c", "at", F.lit(length).cast("long").alias("size"))
     copied = read.filter("times > 1").select(F.col("c").alias("group"), "h", "c", F.lit(0).cast("long").alias("at"), (F.col("n") + length - 1).cast("long").alias("size"))
     places = by_tree.unionByName(by_hash).unionByName(copied)
+    return whole, mixed, places
+
+
+def repeat_groups(docs: DataFrame, length: int = 200) -> DataFrame:
+    """group, key, start, size: every occurrence of every repeat; key is xxhash64(doc_id, text)."""
+    whole, mixed, places = repeated_contexts(docs, length)
     partly = mixed.select("h", "c", "key", "start").join(places, ["h", "c"]).select("group", "key", (F.col("start") + F.col("at")).alias("start"), "size")
-    return whole.select("group", "key", "start", F.col("size").cast("long").alias("size")).unionByName(partly)
+    return whole.select(F.col("c").alias("group"), "key", "start", (F.col("n") + length - 1).cast("long").alias("size")).unionByName(partly)
+
+
+def repeat_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+    """key, start, end: where the occurrences of the repeats lie, with the overlapping ones of a context merged."""
+    whole, mixed, places = repeated_contexts(docs, length)
+
+    def joined(parts):
+        for part in parts:
+            cuts = [merge([(s["at"], s["at"] + s["size"]) for s in own]) for own in part.column(2).to_pylist()]
+            rows = np.repeat(np.arange(part.num_rows), [len(c) for c in cuts])
+            flat = [x for c in cuts for x in c]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array([a for a, _ in flat], pa.int64()), pa.array([b for _, b in flat], pa.int64())], ["h", "c", "low", "high"])
+
+    merged = places.groupBy("h", "c").agg(F.collect_set(F.struct("at", "size")).alias("own")).mapInArrow(joined, "h long, c long, low long, high long")
+    partly = mixed.select("h", "c", "key", "start").join(merged, ["h", "c"]).select("key", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
+    return whole.select("key", "start", (F.col("start") + F.col("n") + length - 1).alias("end")).unionByName(partly)
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """key and its spans, sorted, with those that touch merged."""
+
+    def join(parts):
+        for part in parts:
+            own = [[{"start": a, "end": b} for a, b in merge([(s["start"], s["end"]) for s in x])] for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["key", "spans"])
+
+    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(join, "key long, spans array<struct<start:long,end:long>>")
 
 
 def without_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = False) -> DataFrame:
@@ -241,13 +274,17 @@ def without_repeats(docs: DataFrame, length: int = 200, whole_characters: bool =
 
     With whole_characters a span ends at characters, so what remains is text again.
     """
-    spans = written(repeat_groups(docs, length).select("key", "start", (F.col("start") + F.col("size")).alias("end")).distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    spans = written(merged_spans(repeat_spans(docs, length)))
     size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     hit = F.broadcast(spans) if size <= BROADCAST_ROWS else spans
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(hit, "key", "left")
+    others = [c for c in docs.columns if c.lower() not in {"doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"}]
+    row = F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(None).cast("int").alias("_")]).alias("row")
+    text = F.col("text").cast("binary").alias("text")
+    given = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "doc_id", text, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), row)
+    keyed = given.join(hit, "key", "left").drop("key")
 
     def keep(parts):
-        for part in parts:
+        for part in (whole.slice(rows.start, rows.stop - rows.start) for whole in parts for rows in shards(whole.column("text").fill_null(b""), 4 << 20)):
             out = {"kept": [], "n_removed": [], "n_spans": []}
             for text, own in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
                 data = text or b""
@@ -258,15 +295,12 @@ def without_repeats(docs: DataFrame, length: int = 200, whole_characters: bool =
                 out["kept"].append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 out["n_removed"].append(sum(b - a for a, b in cuts))
                 out["n_spans"].append(len(cuts))
-            arrays = [part.column(0), part.column("n_bytes"), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary()), *(part.column(c) for c in others)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *others])
-
-    taken = {"doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "key", "spans"}
-    others = [c for c in docs.columns if c.lower() not in taken]
-    text = F.col("text").cast("binary")
-    types = dict(docs.dtypes)
-    schema = ", ".join(["doc_id " + types["doc_id"], "n_bytes long, n_removed long, n_spans long, kept binary", *(f"`{c}` {types[c]}" for c in others)])
-    return keyed.select("doc_id", text.alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "spans", *others).mapInArrow(keep, schema)
+            arrays = [part.column("doc_id"), part.column("n_bytes"), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary()), part.column("row")]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "row"])
+
+    types = dict(keyed.dtypes)
+    done = keyed.mapInArrow(keep, f"doc_id {types['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary, row {types['row']}")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(f"row.`{c}`") for c in others])
 
 
 def inner(data: bytes, a: int, b: int) -> tuple[int, int]:
