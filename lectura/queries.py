@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +50,11 @@ def s(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def values(name: str, table_name: str, key: str, text: Column, sql_value: str, unit: str, dimension: str, ctx=Context(), where: str = "true") -> None:
+def values(name: str, table_name: str, key: str, text: Callable[[], Column], sql_value: str, unit: str, dimension: str, ctx=Context(), where: str = "true") -> None:
     """A query whose readings are one value per row, of one unit."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return told(texted(spark, sf_dir, table_name, key, text, ctx), "kind", "value", "unit", "dimension")
+        return told(texted(spark, sf_dir, table_name, key, text(), ctx), "kind", "value", "unit", "dimension")
 
     run.__name__ = name
     QUERIES[name] = run
@@ -61,37 +63,37 @@ def values(name: str, table_name: str, key: str, text: Column, sql_value: str, u
     ORACLE_SQL[name] = f"SELECT {key} AS id, '{kind}' AS kind, round({sql_value}, 6) AS value, {literal(unit)} AS unit, {literal(dimension)} AS dimension FROM {table_name}"
 
 
-values("registered_length", "part", "p_partkey", F.concat(s("p_size"), F.lit(" cm")), "p_size * 0.01", "m", "length", UNIT)
-values("fullwidth_digits", "part", "p_partkey", F.concat(F.translate(s("p_size"), "0123456789", "０１２３４５６７８９"), F.lit("ｍｍ")), "p_size * 0.001", "m", "length", UNIT)
-values("spanish_mass", "part", "p_partkey", F.concat(s("p_size"), F.lit(" kilogramos")), "p_size * 1.0", "kg", "mass", UNIT)
-values("upper_case_unit", "part", "p_partkey", F.concat(s("p_size"), F.lit(" KG")), "p_size * 1.0", "kg", "mass", UNIT)
-values("speed", "part", "p_partkey", F.concat(s("p_size"), F.lit(" mph")), "p_size * (1609.344 / 3600.0)", "m/s", "speed", UNIT)
-values("data_size", "part", "p_partkey", F.concat(s("p_size"), F.lit(" MB")), "p_size * 1000000.0", "B", "data", UNIT)
-values("temperature_f", "part", "p_partkey", F.concat(s("p_size"), F.lit(" °F")), "(p_size - 32.0) * 5.0 / 9.0", "C", "temperature", narrow("temperature"))
-values("temperature_k", "part", "p_partkey", F.concat(s("p_size"), F.lit(" K")), "p_size - 273.15", "C", "temperature", narrow("temperature"))
-values("square_metres", "part", "p_partkey", F.concat(F.lit("延床"), s("p_size"), F.lit("㎡")), "p_size * 1.0", "m2", "area", narrow("square_metres"))
-values("tatami", "part", "p_partkey", F.concat(s("p_size"), F.lit("畳半")), "(p_size + 0.5) * 1.62", "m2", "area", narrow("traditional_area"))
-values("tsubo", "part", "p_partkey", F.concat(s("p_size"), F.lit("坪")), "p_size * (400.0 / 121.0)", "m2", "area", narrow("traditional_area"))
-values("japanese_length", "part", "p_partkey", F.concat(s("p_size"), F.lit("尺3寸")), "p_size * (10.0 / 33.0) + 3 * (1.0 / 33.0)", "m", "length", narrow("japanese_length"))
-values("metric_idiom", "part", "p_partkey", F.concat(F.lit("1m"), s("p_size")), "1 + p_size * 0.01", "m", "length", narrow("metric_idiom"))
-values("feet_inches", "lineitem", "l_orderkey", F.concat(s("l_linenumber"), F.lit("ft "), s("l_linenumber")), "l_linenumber * 0.3048 + l_linenumber * 0.0254", "m", "length", narrow("feet_inches"))
-values("compound", "lineitem", "l_orderkey", F.concat(F.lit("3 yd "), (F.col("l_linenumber") % 3).cast("string"), F.lit(" ft")), "3 * 0.9144 + (l_linenumber % 3) * 0.3048", "m", "length", narrow("compound", "registered"))
-values("conversion", "part", "p_partkey", F.concat(s("p_size"), F.lit(" in to cm")), "p_size * 0.0254 / 0.01", "cm", "length", narrow("registered", conversions=True))
-values("currency_prefix", "part", "p_partkey", F.concat(F.lit("EUR "), s("p_size")), "p_size * 1.0", "EUR", "currency", narrow("currency"))
-values("currency_suffix", "part", "p_partkey", F.concat(s("p_size"), F.lit("円")), "p_size * 1.0", "JPY", "currency", narrow("currency"))
-values("currency_minor", "part", "p_partkey", F.concat(s("p_size"), F.lit(" pence")), "p_size / 100.0", "GBP", "currency", narrow("currency"))
-values("exchange", "part", "p_partkey", F.concat(F.lit("USD "), s("p_size"), F.lit(" to JPY")), "p_size * 150.5", "JPY", "currency", narrow("currency", conversions=True, rates=(("USD", "JPY", 150.5),)))
-values("duration_iso", "events", "event_id", F.concat(F.lit("PT"), F.hour("ts").cast("string"), F.lit("H"), F.minute("ts").cast("string"), F.lit("M")), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("duration"))
-values("duration_compact", "events", "event_id", F.concat(F.hour("ts").cast("string"), F.lit("h"), F.minute("ts").cast("string")), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("duration"))
-values("clock_24h", "events", "event_id", F.date_format("ts", "HH:mm:ss"), "hour(ts) * 3600.0 + minute(ts) * 60.0 + second(ts)", "s", "time", narrow("clock"))
-values("clock_12h", "events", "event_id", F.date_format("ts", "h:mm a"), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("clock"))
-values("japanese_clock", "events", "event_id", F.concat(F.hour("ts").cast("string"), F.lit("時"), F.minute("ts").cast("string"), F.lit("分")), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("clock"))
-values("zoned_clock", "events", "event_id", F.concat(F.date_format("ts", "HH:mm"), F.lit(" EST")), "(hour(ts) * 3600.0 + minute(ts) * 60.0 + 18000.0) % 86400.0", "s", "time", narrow("zoned_clock", "clock"))
-values("grouped_number", "orders", "o_orderkey", F.format_number("o_totalprice", 2), "round(o_totalprice, 2)", None, None, narrow("ambiguous_number", "number"))
-values("comma_decimal", "orders", "o_orderkey", F.translate(F.format_number("o_totalprice", 2), ",.", ".,"), "round(o_totalprice, 2)", None, None, narrow("number", number_format="comma_decimal"))
-values("myriad_number", "part", "p_partkey", F.concat(s("p_size"), F.lit("億")), "p_size * 100000000.0", None, None, narrow("number"))
-values("number_words", "lineitem", "l_orderkey", F.concat(F.element_at(F.array(*map(F.lit, "one two three four five six seven".split())), F.col("l_linenumber")), F.lit(" hundred and twenty-five")), "l_linenumber * 100.0 + 25", None, None, narrow("number"))
-values("cjk_number", "lineitem", "l_orderkey", F.concat(F.element_at(F.array(*map(F.lit, "二三四五六七八")), F.col("l_linenumber")), F.lit("百二十三")), "(l_linenumber + 1) * 100.0 + 23", None, None, narrow("number"))
+values("registered_length", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit(" cm")), "p_size * 0.01", "m", "length", UNIT)
+values("fullwidth_digits", "part", "p_partkey", lambda: F.concat(F.translate(s("p_size"), "0123456789", "０１２３４５６７８９"), F.lit("ｍｍ")), "p_size * 0.001", "m", "length", UNIT)
+values("spanish_mass", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit(" kilogramos")), "p_size * 1.0", "kg", "mass", UNIT)
+values("upper_case_unit", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit(" KG")), "p_size * 1.0", "kg", "mass", UNIT)
+values("speed", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit(" mph")), "p_size * (1609.344 / 3600.0)", "m/s", "speed", UNIT)
+values("data_size", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit(" MB")), "p_size * 1000000.0", "B", "data", UNIT)
+values("temperature_f", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit(" °F")), "(p_size - 32.0) * 5.0 / 9.0", "C", "temperature", narrow("temperature"))
+values("temperature_k", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit(" K")), "p_size - 273.15", "C", "temperature", narrow("temperature"))
+values("square_metres", "part", "p_partkey", lambda: F.concat(F.lit("延床"), s("p_size"), F.lit("㎡")), "p_size * 1.0", "m2", "area", narrow("square_metres"))
+values("tatami", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit("畳半")), "(p_size + 0.5) * 1.62", "m2", "area", narrow("traditional_area"))
+values("tsubo", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit("坪")), "p_size * (400.0 / 121.0)", "m2", "area", narrow("traditional_area"))
+values("japanese_length", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit("尺3寸")), "p_size * (10.0 / 33.0) + 3 * (1.0 / 33.0)", "m", "length", narrow("japanese_length"))
+values("metric_idiom", "part", "p_partkey", lambda: F.concat(F.lit("1m"), s("p_size")), "1 + p_size * 0.01", "m", "length", narrow("metric_idiom"))
+values("feet_inches", "lineitem", "l_orderkey", lambda: F.concat(s("l_linenumber"), F.lit("ft "), s("l_linenumber")), "l_linenumber * 0.3048 + l_linenumber * 0.0254", "m", "length", narrow("feet_inches"))
+values("compound", "lineitem", "l_orderkey", lambda: F.concat(F.lit("3 yd "), (F.col("l_linenumber") % 3).cast("string"), F.lit(" ft")), "3 * 0.9144 + (l_linenumber % 3) * 0.3048", "m", "length", narrow("compound", "registered"))
+values("conversion", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit(" in to cm")), "p_size * 0.0254 / 0.01", "cm", "length", narrow("registered", conversions=True))
+values("currency_prefix", "part", "p_partkey", lambda: F.concat(F.lit("EUR "), s("p_size")), "p_size * 1.0", "EUR", "currency", narrow("currency"))
+values("currency_suffix", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit("円")), "p_size * 1.0", "JPY", "currency", narrow("currency"))
+values("currency_minor", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit(" pence")), "p_size / 100.0", "GBP", "currency", narrow("currency"))
+values("exchange", "part", "p_partkey", lambda: F.concat(F.lit("USD "), s("p_size"), F.lit(" to JPY")), "p_size * 150.5", "JPY", "currency", narrow("currency", conversions=True, rates=(("USD", "JPY", 150.5),)))
+values("duration_iso", "events", "event_id", lambda: F.concat(F.lit("PT"), F.hour("ts").cast("string"), F.lit("H"), F.minute("ts").cast("string"), F.lit("M")), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("duration"))
+values("duration_compact", "events", "event_id", lambda: F.concat(F.hour("ts").cast("string"), F.lit("h"), F.minute("ts").cast("string")), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("duration"))
+values("clock_24h", "events", "event_id", lambda: F.date_format("ts", "HH:mm:ss"), "hour(ts) * 3600.0 + minute(ts) * 60.0 + second(ts)", "s", "time", narrow("clock"))
+values("clock_12h", "events", "event_id", lambda: F.date_format("ts", "h:mm a"), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("clock"))
+values("japanese_clock", "events", "event_id", lambda: F.concat(F.hour("ts").cast("string"), F.lit("時"), F.minute("ts").cast("string"), F.lit("分")), "hour(ts) * 3600.0 + minute(ts) * 60.0", "s", "time", narrow("clock"))
+values("zoned_clock", "events", "event_id", lambda: F.concat(F.date_format("ts", "HH:mm"), F.lit(" EST")), "(hour(ts) * 3600.0 + minute(ts) * 60.0 + 18000.0) % 86400.0", "s", "time", narrow("zoned_clock", "clock"))
+values("grouped_number", "orders", "o_orderkey", lambda: F.format_number("o_totalprice", 2), "round(o_totalprice, 2)", None, None, narrow("ambiguous_number", "number"))
+values("comma_decimal", "orders", "o_orderkey", lambda: F.translate(F.format_number("o_totalprice", 2), ",.", ".,"), "round(o_totalprice, 2)", None, None, narrow("number", number_format="comma_decimal"))
+values("myriad_number", "part", "p_partkey", lambda: F.concat(s("p_size"), F.lit("億")), "p_size * 100000000.0", None, None, narrow("number"))
+values("number_words", "lineitem", "l_orderkey", lambda: F.concat(F.element_at(F.array(*map(F.lit, "one two three four five six seven".split())), F.col("l_linenumber")), F.lit(" hundred and twenty-five")), "l_linenumber * 100.0 + 25", None, None, narrow("number"))
+values("cjk_number", "lineitem", "l_orderkey", lambda: F.concat(F.element_at(F.array(*map(F.lit, "二三四五六七八")), F.col("l_linenumber")), F.lit("百二十三")), "(l_linenumber + 1) * 100.0 + 23", None, None, narrow("number"))
 
 
 @query("SELECT 'm' AS unit, 'length' AS dimension, count(*) AS n, round(sum(p_size * 0.01), 4) AS total FROM part")
