@@ -18,7 +18,7 @@ def _column(x) -> Column:
 def reading(kind: str, applies: Column, **fields) -> Column:
     """A reading where applies holds; fields that aren't given are null."""
     values = {"kind": F.lit(kind), "approximate": F.lit(False)} | {k: _column(v) for k, v in fields.items()}
-    return F.when(applies, F.struct(*[values.get(k, F.lit(None)).cast(t).alias(k) for k, t in FIELDS.items()]))
+    return F.when(applies, F.struct(*[values[k].cast(t).alias(k) if k in values else F.expr(f"CAST(NULL AS {t}) AS {k}") for k, t in FIELDS.items()]))
 
 
 def quantity(value: Column, unit, dimension, confidence: float, **fields) -> Column:
