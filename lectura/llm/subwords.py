@@ -71,12 +71,15 @@ class UnitEncoder:
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of single pre-tokens. A run of letters goes to the BPE model itself, as the byte characters that it knows."""
-        out = []
+        out, tokenize, space = [], self.model.tokenize, self.table[32]
         for w in words:
             letters = w.lstrip(" ")
-            if letters.isalpha() and not ("Σ" in letters or "İ" in letters) and unicodedata.is_normalized("NFC", letters):
+            if letters.isascii() and letters.isalpha():  # bytes that stand for themselves
+                known = (w.lower() if self.lower else w).replace(" ", space)
+                out.append(array("I", [t.id for t in tokenize(known)]).tobytes())
+            elif letters.isalpha() and not ("Σ" in letters or "İ" in letters) and unicodedata.is_normalized("NFC", letters):
                 known = (w.lower() if self.lower else w).encode().decode("latin-1").translate(self.table)
-                out.append(array("I", [t.id for t in self.model.tokenize(known)]).tobytes())
+                out.append(array("I", [t.id for t in tokenize(known)]).tobytes())
             else:
                 out.append(None)
         rest = [i for i, ids in enumerate(out) if ids is None]
