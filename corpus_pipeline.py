@@ -46,8 +46,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document stands in sequences of 2048 tokens."""
-    return pack(docs, keep_ids=False)
+    """Every piece of every document with its ids and where it stands in sequences of 2048 tokens."""
+    return pack(docs)
 
 
 STAGES = [

@@ -27,7 +27,7 @@ TOKENIZER, END = "byte_bpe_50k.json", 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, salt int, ids binary"
 
 
-def pieces(docs: DataFrame, length: int, tokenizer: str = TOKENIZER, end: int = END, salts: int = 64, keep_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, length: int, tokenizer: str = TOKENIZER, end: int = END, salts: int = 64) -> DataFrame:
     """Every document's pieces: whole sequences first, then the rest, in halves. One scan, no shuffle."""
     tail = np.array([end], "<u4").tobytes()
 
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, length: int, tokenizer: str = TOKENIZER, end: int =
                         edges.insert(-1, edges[-2] + length // 2)
                     for k, (at, stop) in enumerate(zip(edges, edges[1:])):
                         own = ids[4 * at : 4 * stop]
-                        rows.append((key, k, at, stop - at, zlib.crc32(own), n, salt, own if keep_ids else None))
+                        rows.append((key, k, at, stop - at, zlib.crc32(own), n, salt, own))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "piece", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"])
 
     text = F.coalesce("text", F.lit(""))
@@ -128,12 +128,12 @@ def best_fit(weight: np.ndarray, left: np.ndarray, capacity: int):
         left -= n * pattern
 
 
-def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: int = END, grain: int = 8, keep_ids: bool = True, salts: int = 64) -> DataFrame:
-    """A row per piece with its sequence_id and its offset there; with keep_ids also its ids, as little-endian uint32.
+def packed_sequences(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: int = END, grain: int = 8, salts: int = 64) -> DataFrame:
+    """A row per sequence: sequence_id, its pieces (offset, doc_id, start, length, doc_tokens) and its ids as little-endian uint32.
 
     Only the histogram of bins and salts reaches the driver: at most salts * length / grain counts, whatever the input.
     """
-    cut = written(pieces(docs, length, tokenizer, end, salts, keep_ids))
+    cut = written(pieces(docs, length, tokenizer, end, salts))
     whole = cut.filter(F.col("length") == length)
     rest = cut.filter(F.col("length") < length).withColumn("bin", F.ceil(F.col("length") / grain).cast("int"))
     counts = {(r["bin"], r["salt"]): r["n"] for r in rest.groupBy("bin", "salt").agg(F.count("*").alias("n")).collect()}
@@ -170,20 +170,43 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: i
                 ids[at], places[at] = seq[k] + d // per[k], place[k] + d % per[k]
             yield f.drop(columns=["bin", "salt", "rank"]).assign(sequence_id=ids, place=places)
 
-    kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+    kept = ["doc_id", "start", "length", "doc_tokens", "ids"]
     by_rank = Window.partitionBy("bin", "salt").orderBy("doc_id", "start", "ids_crc32")
     placed = (
         rest.withColumn("rank", F.row_number().over(by_rank).cast("long") - 1)
         .select(*kept, "bin", "salt", "rank")
-        .mapInPandas(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, place long")
+        .mapInPandas(assign, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, place long")
     )
     in_sequence = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    packed = placed.withColumn("offset", F.coalesce(F.sum("length").over(in_sequence), F.lit(0))).select(*kept, "sequence_id", "offset")
+    told = ["offset", "doc_id", "start", "length", "doc_tokens"]
+    packed = (
+        placed.withColumn("offset", F.coalesce(F.sum("length").over(in_sequence), F.lit(0)))
+        .groupBy("sequence_id")
+        .agg(F.array_sort(F.collect_list(F.struct(*told, "ids"))).alias("parts"))
+        .select(
+            "sequence_id",
+            F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in told])).alias("pieces"),
+            F.aggregate("parts", F.lit(b""), lambda ids, p: F.concat(ids, p["ids"])).alias("ids"),
+        )
+    )
     before, at = {}, sequence
     for salt in sorted(full):
         before[salt], at = at, at + full[salt]
     start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("salt")) if before else F.lit(0)
     own = Window.partitionBy("salt").orderBy("doc_id", "start", "ids_crc32")
-    alone = whole.withColumn("sequence_id", (start + F.row_number().over(own) - 1).cast("long")).withColumn("offset", F.lit(0).cast("long")).select(*kept, "sequence_id", "offset")
-    out = packed.unionByName(alone)
-    return out if keep_ids else out.drop("ids")
+    alone = (
+        whole.withColumn("sequence_id", (start + F.row_number().over(own) - 1).cast("long"))
+        .withColumn("offset", F.lit(0).cast("long"))
+        .select("sequence_id", F.array(F.struct(*told)).alias("pieces"), "ids")
+    )
+    return packed.unionByName(alone)
+
+
+def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: int = END, grain: int = 8, salts: int = 64) -> DataFrame:
+    """A row per piece with its sequence_id, its offset and its ids, all three read from the packed sequences."""
+    own = lambda p: F.substring(F.col("ids"), (4 * p["offset"] + 1).cast("int"), (4 * p["length"]).cast("int"))
+    rows = packed_sequences(docs, length, tokenizer, end, grain, salts).select(
+        "sequence_id", F.inline(F.transform("pieces", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["doc_tokens"].alias("doc_tokens"), p["offset"].alias("offset"), own(p).alias("ids"))))
+    )
+    n = F.floor(F.octet_length("ids") / 4).cast("long")
+    return rows.select("doc_id", "start", n.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "ids", "sequence_id", "offset")

@@ -26,7 +26,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), keep_ids=False)
+    return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,22 @@ def test_packing_places_every_token_once(spark, docs, texts):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packed_sequences_hold_the_tokens(spark, docs, texts):
+    import corpus_pipeline
+
+    e = UnitEncoder("byte_bpe_50k.json", "space")
+    want = {i: e.encode([t or ""])[0] + np.array([1], "<u4").tobytes() for i, t in enumerate(texts)}
+    sequences = packing.packed_sequences(docs).collect()
+    assert len({s.sequence_id for s in sequences}) == len(sequences)
+    assert sum(len(s.ids) for s in sequences) == sum(map(len, want.values())) + len(want[0])
+    for s in sequences:
+        assert sum(p.length for p in s.pieces) == len(s.ids) // 4 <= 2048
+        for p in s.pieces:
+            assert s.ids[4 * p.offset : 4 * (p.offset + p.length)] == want[p.doc_id][4 * p.start : 4 * (p.start + p.length)]
+    for r in corpus_pipeline.packing(spark, docs, "").collect():
+        assert r.ids == want[r.doc_id][4 * r.start : 4 * (r.start + r.length)] and zlib.crc32(r.ids) == r.ids_crc32
+
+
 def test_cutting_stock_meets_every_demand():
     weight, demand = np.array([3, 5, 7, 11, 16]), np.array([40, 33, 21, 18, 9])
     plan = packing.cutting_stock(weight, demand, 32)
