@@ -1,7 +1,7 @@
 """URL filters: rules first, then templates of paths learnt per host. DataFrame functions only.
 
-Every host has a tree of path templates. Segments that are numbers or ids become wildcards at once. Level by level, a child
-keeps a branch of its own only if enough pages stand on it and the share of bad labels there differs from its siblings'; the
+Every host has a tree of path templates. Segments that are numbers or ids become wildcards at once. Level by level, down to
+the last segment, a child keeps a branch of its own only if the share of bad labels there differs from its siblings'; the
 others merge into a wildcard. A template is rejected when its smoothed share of bad labels exceeds the threshold.
 
 A null url, or one without ://, has an empty host and path and is judged with the template of both. Pages without label count
@@ -11,6 +11,8 @@ gives no row, and no other columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,45 +38,53 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segments(path: Column, depth: int) -> Column:
-    """The first segments of a path, numbers and ids as wildcards; deeper ones only as the mark that there are some."""
+def segments(path: Column) -> Column:
+    """The segments of a path, numbers and ids as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     shape = lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]"), "{id}").otherwise(s)
-    return F.concat(F.transform(F.slice(parts, 1, depth), shape), F.when(F.size(parts) > depth, F.array(F.lit("{more}"))).otherwise(F.array().cast("array<string>")))
+    return F.transform(parts, shape)
 
 
-def path_templates(paths: DataFrame, depth: int, support: int, z: float) -> DataFrame:
+def path_templates(paths: DataFrame, z: float) -> DataFrame:
     """paths (host, segs, n, labelled, bad) with the template each falls under.
 
     A level costs aggregations that combine before they shuffle and joins on (host, template, segment); a hot host is many keys.
+    A path alone under its template meets no siblings further down, so it ends there with the rest of its segments.
+    Both shares are drawn to the parent's by one label, as the variance has it: a branch without labels differs from nothing.
     """
-    known = paths.withColumn("template", F.lit(""))
-    for level in range(depth + 1):
-        here = known.withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
-        children = here.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
+    left, done, level = paths.withColumn("template", F.lit("")), [], 0
+    while True:
+        here = left.withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
+        children = here.groupBy("host", "template", "seg").agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("paths", "n", "labelled", "bad")))
         judged = children.join(parents, ["host", "template"])
         rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-        gap = F.abs((F.col("bad") + 1) / (F.col("labelled") + 2) - (rest_bad + 1) / (rest + 2))
+        gap = F.abs((F.col("bad") + share) / (F.col("labelled") + 1) - (rest_bad + share) / (rest + 1))
         differs = gap > z * F.sqrt(share * (1 - share) * (1 / (F.col("labelled") + 1) + 1 / (rest + 1)))
-        own = (F.col("seg") == "") | F.startswith("seg", F.lit("{")) | (F.col("n") == F.col("all_n")) | ((F.col("n") >= support) & differs)
-        branch = judged.select("host", "template", "seg", F.when(own, F.col("seg")).otherwise("*").alias("branch"))
+        own = (F.col("seg") == "") | F.startswith("seg", F.lit("{")) | (F.col("n") == F.col("all_n")) | differs
+        branch = judged.select("host", "template", "seg", F.when(own, F.col("seg")).otherwise("*").alias("branch"), (F.col("all_paths") == 1).alias("alone"))
         joined = here.join(branch, ["host", "template", "seg"])
-        known = written(joined.select("host", "segs", "n", "labelled", "bad", F.when(F.col("branch") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")).alias("template")))
-    return known
+        ahead = F.array_join(F.transform(F.slice("segs", F.lit(level + 1), F.size("segs")), lambda s: F.concat(F.lit("/"), s)), "")
+        template = F.when(F.col("branch") == "", F.col("template")).when(F.col("alone"), F.concat("template", ahead)).otherwise(F.concat("template", F.lit("/"), "branch"))
+        ends = (F.col("branch") == "") | F.col("alone")
+        moved = written(joined.select("host", "segs", "n", "labelled", "bad", template.alias("template"), ends.alias("ends")))
+        done.append(moved.filter("ends").drop("ends"))
+        left, level = moved.filter("not ends").drop("ends"), level + 1
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = 4, support: int = 20, z: float = 2.0, prior: float = 10.0, reject_above: float = 0.6) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = 2.0, prior: float = 10.0, reject_above: float = 0.6) -> DataFrame:
     """page_id, host, path, rule, verdict, template, badness for every row of pages; labels are (page_id, bad) of some pages."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = labels.filter(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
-    keyed = urls.withColumn("segs", segments(F.col("path"), depth))
+    keyed = urls.withColumn("segs", segments(F.col("path")))
     paths = written(
         keyed.join(known, "page_id", "left").groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     )
-    templated = path_templates(paths, depth, support, z)
+    templated = path_templates(paths, z)
     total = templated.agg(F.sum("bad"), F.sum("labelled")).first()
     base = (total[0] or 0) / (total[1] or 1)
     of_template = templated.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))

@@ -239,6 +239,21 @@ def test_urls_get_rules_and_templates(spark):
     assert judge_urls(pages.limit(0), labels).count() == 0
 
 
+def test_templates_reach_the_last_segment_and_small_branches(spark):
+    deep = [(i, f"http://d.com/a/b/c/d/{'good' if i % 2 else 'bad'}/x/{i}") for i in range(80)]
+    small = [(i, f"http://s.com/{'spam' if i < 119 else 'news'}/p{i}") for i in range(100, 300)]
+    # branches without labels stay with their host's: here every label is bad
+    blind = [(i, f"http://b.com/t{i}") for i in range(300, 400)]
+    pages = spark.createDataFrame(deep + small + blind + [(400, "http://l.com/" + "s/" * 300), (401, "http://l.com/x")], "page_id long, url string")
+    labels = [(i, i % 2 == 0) for i, _ in deep] + [(i, i < 119) for i, _ in small] + [(i, True) for i in range(300, 350)] + [(i, False) for i in range(900, 1000)]
+    got = {r.page_id: r for r in judge_urls(pages, spark.createDataFrame(labels, "page_id long, bad boolean")).collect()}
+    assert {i: got[i].verdict for i, _ in deep} == {i: "allow" if i % 2 else "block" for i, _ in deep}
+    assert got[0].template == "/a/b/c/d/bad/x/{n}"
+    assert {i: got[i].verdict for i, _ in small} == {i: "block" if i < 119 else "allow" for i, _ in small}
+    assert {got[i].template for i, _ in blind} == {"/*"} and {got[i].verdict for i, _ in blind} == {"block"}
+    assert got[400].template == "/*/*" + "/s" * 298
+
+
 def test_the_pipeline_keeps_clean_documents(spark, docs):
     import corpus_pipeline
 
