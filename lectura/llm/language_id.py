@@ -3,8 +3,8 @@
 Subwords are the byte n-grams of the lower-cased (A-Z) text with white space runs as single bytes. The model is trained by
 stochastic gradient descent in numpy, on a bounded sample of labelled rows: about `per_language` of each language, chosen by a
 hash of the row, of each a window of `window` bytes. A part of the sample is kept from training and calibrates it: a
-temperature for the probabilities, and the score below which a prediction is rejected, so that of such texts at most the share
-`reject` is lost. Prediction reads whole texts: since the softmax is linear, embedding and output weights collapse into one
+temperature for the probabilities, and the score below which a prediction is rejected, so that of such short texts about the
+share `reject` is lost (with fewer than 1 / reject of them: those below the least score). Prediction reads whole texts: since the softmax is linear, embedding and output weights collapse into one
 table of scores by subword, whose mean over the text gives the scores.
 
 Null texts and texts without a letter get the language und and the score 0, and count as rejected. Repeated rows get the same
@@ -71,7 +71,7 @@ class Model:
         return p.argmax(axis=1), p.max(axis=1)
 
 
-def train(texts: list[bytes], langs: list[str], bits: int = 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, reject: float = 0.001, seed: int = 1) -> Model:
+def train(texts: list[bytes], langs: list[str], bits: int = 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, reject: float = 0.01, seed: int = 1) -> Model:
     """Stochastic gradient descent over single texts, in an order fixed by the seed; the learning rate falls linearly."""
     languages = sorted(set(langs))
     y = np.array([languages.index(x) for x in langs])
@@ -102,8 +102,10 @@ def train(texts: list[bytes], langs: list[str], bits: int = 15, dim: int = 16, e
             embedding[ids] -= lr * 10 * share * back  # a text's gradient is thin over its many subwords
     table = (embedding[:, :, None] * output[None]).sum(axis=1).astype(np.float32)
     # calibration on short pieces of texts that training didn't see: whole texts hardly err, so they can't tell a temperature
-    short = [np.concatenate(subwords(texts[i][len(texts[i]) // 2 :][:SHORT], bits) or [np.zeros(0, np.uint32)]) for i in held]
-    scores = np.array([table[g].mean(axis=0) if len(g) else np.zeros(len(languages)) for g in short]).reshape(len(held), len(languages))
+    # pieces without a subword say nothing: their score is the same in every model
+    short = [(i, np.concatenate(g)) for i in held if (g := subwords(texts[i][len(texts[i]) // 2 :][:SHORT], bits))]
+    held = np.array([i for i, _ in short], np.int64)
+    scores = np.array([table[g].mean(axis=0) for _, g in short]).reshape(len(held), len(languages))
 
     def probabilities(t: float) -> np.ndarray:
         p = np.exp((scores - scores.max(axis=1, keepdims=True, initial=-1e30)) / t)
@@ -114,9 +116,10 @@ def train(texts: list[bytes], langs: list[str], bits: int = 15, dim: int = 16, e
         right = y[held]
         losses = {t: float(-np.log(probabilities(t)[np.arange(len(held)), right] + 1e-12).mean()) for t in np.geomspace(0.05, 20, 40).tolist()}
         temperature = min(losses, key=losses.get)
-        # the finite-sample quantile: a new text of a learned language falls below it with a chance of at most `reject`
+        # the finite-sample quantile: a new text of a learned language falls below it with a chance of at most `reject`, or of
+        # 1 / (held + 1) if that is more
         top = np.sort(probabilities(temperature).max(axis=1))
-        threshold = float(top[k - 1]) if (k := int(reject * (len(top) + 1))) else float(top[0]) * 0.9
+        threshold = float(top[max(1, int(reject * (len(top) + 1))) - 1])
     return Model(languages, table, bits, temperature, min(threshold, 1 - 1e-9))
 
 

@@ -202,6 +202,18 @@ def test_language_is_learnt_and_odd_texts_are_rejected(spark):
     assert identify(df.limit(0)).count() == 0
 
 
+def test_foreign_texts_and_junk_with_letters_are_rejected(spark):
+    kinds = {"ww": "abcd ", "xx": "efgh ", "yy": "ijkl ", "zz": "mnop "}
+    known = [(i, "".join(random.Random(i).choices(kinds[lang], k=300)), lang) for i, lang in enumerate(sorted(kinds) * 100)]
+    blank = [(500 + i, "A", "ww") for i in range(60)]  # labelled, but without a subword
+    foreign = [(700 + i, "".join(random.Random(i).choices("qrstuv ", k=300)), None) for i in range(20)]
+    junk = [(800, "".join(random.Random(9).choices("QX0123456789#$%", k=200)), None), (801, "Быстрая лиса прыгает через собаку", None)]
+    df = spark.createDataFrame(known + blank + foreign + junk, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rejected for r in identify(df).collect()}
+    assert all(got[i] for i, _, _ in foreign + junk)
+    assert np.mean([got[i] for i, _, _ in known]) <= 0.02
+
+
 def test_top_k_like_brute_force(spark):
     r = np.random.default_rng(5)
     rows = [(i, [float(x) for x in r.normal(size=8).astype(np.float32)]) for i in range(200)]
