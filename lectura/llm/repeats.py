@@ -9,11 +9,12 @@ places. Consecutive suffixes with the same minimiser travel as one context, the
   3. Of the others each distinct context is read once and goes to a shard by its minimiser. A shard builds an enhanced suffix
      array, and a stack scan over its common prefixes gives the interval tree; an interval whose occurrences have different
      bytes on the left (or start a context) is a maximal repeat. It carries all its occurrences, not just neighbours.
-     Minimisers with very many distinct contexts are dealt by the suffix's first `length` bytes instead, counted the same way.
+     The contexts of a crowded minimiser are cut into blocks of suffixes that share a core, and cores share shards instead.
   4. Repeats become spans of each text; their union is removed.
-A repeat longer than its context comes out as overlapping groups, one per minimiser, whose union is the whole repeat.
+A repeat longer than its context (or block) comes out as overlapping groups, whose union is the whole repeat.
 
-A null text is empty. Repeated rows are texts of their own, so each repeats the other. Texts shorter than `length` stay
+A key with over a thousandth of all rows (a passage that stands everywhere) is joined by a broadcast, so no task gets its rows
+alone. A null text is empty. Repeated rows are texts of their own, so each repeats the other. Texts shorter than `length` stay
 as they are; an empty table gives no row; columns beside doc_id and text are not read. Texts are told apart by a 64-bit hash
 of doc_id and text, and strings by 64-bit hashes of their bytes.
 """
@@ -28,13 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import merge, shards
-from .tables import written
+from .tables import Scratch, join_hot, written
 
 GRAM = 32
 #: Positions of a scan's piece fit so many bits; longer texts are scanned in overlapping pieces.
 PLACE_BITS = 20
-#: Distinct contexts of a shard, about, and of a minimiser up to which its contexts share a shard.
-SHARD, TOGETHER = 1000, 300
+#: Distinct contexts of a shard, about, and of a minimiser (or core) up to which they share a shard.
+SHARD, TOGETHER = 2000, 4000
+#: Suffixes of a block, into which the contexts of a crowded minimiser are cut, and then those of a crowded core.
+BLOCKS = (16, 1)
+PLACES = "group long, h long, c long, times long, low long, high long"
 #: Rows up to which spans or contexts to be read go to the texts by broadcast (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 ODD1, ODD2, ODD3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -136,126 +140,215 @@ def suffixes_in_order(data: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def interval_tree(common: list[int]):
-    """(common prefix, first, last) of every interval of a sorted list of suffixes; common[i] is what i and i+1 share."""
-    stack = [(-1, 0)]
-    for i, c in enumerate([*common, -1]):
-        left = i
+def interval_tree(common: list[int], left: list[int]):
+    """(common prefix, first, last) of the left-diverse intervals of a sorted list of suffixes, inner ones before outer ones.
+
+    common[i] is what i and i+1 share, 0 where nothing that counts; left[i] is the byte before suffix i. One scan with a stack
+    of open intervals, each with the left byte that all of it have so far, or -1.
+    """
+    stack = [(0, 0, -1)]
+    for i, c in enumerate([*common, 0]):
+        first, byte = i, left[i]
         while stack[-1][0] > c:
-            value, left = stack.pop()
-            yield value, left, i
+            value, first, other = stack.pop()
+            if byte != other:
+                byte = -1
+            if byte < 0:
+                yield value, first, i
         if stack[-1][0] < c:
-            stack.append((c, left))
-
-
-def shared(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
-    return int((x != y).argmax())
+            stack.append((c, first, byte))
+        elif c and stack[-1][2] != byte:
+            stack[-1] = (c, stack[-1][1], -1)
 
 
-def maximal_repeats(texts: list[bytes], counts: list[int], length: int):
-    """(group, context, place, length) of every occurrence of every maximal repeat among the contexts of a shard."""
-    sizes = np.array([len(t) for t in texts])
-    starts = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(data)) - starts[owner]
-    at = np.flatnonzero(place + length <= sizes[owner])
-    rank = suffixes_in_order(data, length)[at]
-    order = np.argsort(rank, kind="stable")
-    at, rank = at[order], rank[order]
-    first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
-    # bytes on the left; a context's start may be anything, so it differs from all
-    left = np.where(place[at] > 0, data[at - 1].astype(np.int64), 256 + owner[at])
-    diverse = np.minimum.reduceat(left, first) != np.maximum.reduceat(left, first)
-    last = np.append(first[1:], len(at))
-    for a, b in zip(first[diverse].tolist(), last[diverse].tolist()):
-        found = [(texts[owner[p]][place[p] + length :], int(owner[p]), int(place[p])) for p in at[a:b]]
-        found.sort()
-        common = [shared(x[0], y[0]) for x, y in zip(found, found[1:])]
-        for more, i, j in interval_tree(common):
-            own = found[i : j + 1]
-            before = {texts[c][p - 1] if p else 256 + c for _, c, p in own}
-            if len(before) > 1:
-                _, c, p = own[0]
-                group = int.from_bytes(hashlib.blake2b(texts[c][p : p + length + more], digest_size=8).digest(), "little", signed=True)
-                for _, c, p in own:
-                    yield group, c, p, length + more
-
-
-def repeated_contexts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Contexts that repeat as a whole (h, c, key, start, n), the occurrences of those that may repeat in part, and for these
-    the places of their repeats (group, h, c, at, size)."""
-    keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-
-    def scan(parts):
-        for part in parts:
-            keys = part.column(0).to_numpy()
-            for rows in shards(part.column(1), 1 << 20):
-                text, start, n, h, c = contexts(part.column(1)[rows].to_pylist(), length)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(keys[rows][text], pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32())], ["h", "c", "key", "start", "n"])
-
-    found = written(keyed.filter(F.length("text") >= length).mapInArrow(scan, "h long, c long, key long, start long, n int"))
-    shared_h = found.groupBy("h").agg(F.count("*").alias("times"), (F.min("c") == F.max("c")).alias("same")).filter("times > 1").select("h", "same")
-    repeated = written(found.join(shared_h, "h"))
-    whole = repeated.filter("same")
-    mixed = repeated.filter("not same")
-    distinct = written(mixed.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("key", "start", "n")).alias("rep")))
-    crowd = distinct.groupBy("h").agg(F.count("*").alias("crowd"))
-    total = distinct.count()
-    n_shards = max(1, -(-total // SHARD))
-    wanted = distinct.join(crowd, "h").select(F.col("rep.key").alias("key"), F.struct("h", "c", "times", "rep.start", "rep.n", (F.col("crowd") > TOGETHER).alias("crowded")).alias("want")).groupBy("key").agg(F.collect_list("want").alias("wants"))
-    to_read = keyed.dropDuplicates(["key"]) if total > BROADCAST_ROWS else keyed
-    read = written(to_read.join(F.broadcast(wanted) if total <= BROADCAST_ROWS else wanted, "key").select("text", F.explode("wants").alias("w")).select("w.*", F.expr("substring(text, int(w.start) + 1, w.n + %d)" % (length - 1)).alias("bytes")).dropDuplicates(["h", "c"]))
-
-    def build(table: pa.Table) -> pa.Table:
-        texts = table.column("bytes").to_pylist()
-        rows = list(zip(*maximal_repeats(texts, [], length))) or [(), (), (), ()]
-        at = pa.array(rows[1], pa.int64())
-        return pa.table({"group": pa.array(rows[0], pa.int64()), "h": table.column("h").take(at), "c": table.column("c").take(at), "at": pa.array(rows[2], pa.int64()), "size": pa.array(rows[3], pa.int64())})
-
-    def suffix_hashes(parts):
-        for part in parts:
-            for k in range(part.num_rows):
-                data = part.column(3)[k].as_py()
-                at = np.arange(len(data) - length + 1)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(Hashes(data).of(at, at + length).view(np.int64)), pa.array(np.full(n, part.column(0)[k].as_py())), pa.array(np.full(n, part.column(1)[k].as_py())), pa.array(at), pa.array(np.full(n, part.column(2)[k].as_py()))], ["group", "h", "c", "at", "times"])
-
-    together = read.filter("not crowded").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(n_shards)))
-    by_tree = together.select("shard", "h", "c", "bytes").groupBy("shard").applyInArrow(build, "group long, h long, c long, at long, size long")
-    dealt = read.filter("crowded").select("h", "c", "times", "bytes").mapInArrow(suffix_hashes, "group long, h long, c long, at long, times long")
-    often = dealt.groupBy("group").agg(F.sum("times").alias("all")).filter("all > 1").select("group")
-    by_hash = dealt.join(often, "group").select("group", "h", "c", "at", F.lit(length).cast("long").alias("size"))
-    copied = read.filter("times > 1").select(F.col("c").alias("group"), "h", "c", F.lit(0).cast("long").alias("at"), (F.col("n") + length - 1).cast("long").alias("size"))
-    places = by_tree.unionByName(by_hash).unionByName(copied)
-    return whole, mixed, places
+class Shard:
+    """The enhanced suffix array of a shard's contexts and the intervals of its maximal repeats.
 
+    Only suffixes whose first `length` bytes stand elsewhere with another byte before them enter the array's last part, where
+    they are ordered by all the bytes of their context: the others lie in no interval that counts.
+    """
 
-def repeat_groups(docs: DataFrame, length: int = 200) -> DataFrame:
-    """group, key, start, size: every occurrence of every repeat; key is xxhash64(doc_id, text)."""
-    whole, mixed, places = repeated_contexts(docs, length)
-    partly = mixed.select("h", "c", "key", "start").join(places, ["h", "c"]).select("group", "key", (F.col("start") + F.col("at")).alias("start"), "size")
-    return whole.select(F.col("c").alias("group"), "key", "start", (F.col("n") + length - 1).cast("long").alias("size")).unionByName(partly)
+    def __init__(self, texts: list[bytes], length: int):
+        self.texts, self.length = texts, length
+        sizes = np.array([len(t) for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        place = np.arange(len(data)) - starts[owner]
+        at = np.flatnonzero(place + length <= sizes[owner])
+        rank = suffixes_in_order(data, length)[at]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        first = np.flatnonzero(np.diff(rank, prepend=-1))
+        # bytes on the left; a context's start may be anything, so it differs from all
+        left = np.where(place[at] > 0, data[at - 1].astype(np.int64), 256 + owner[at])
+        diverse = np.minimum.reduceat(left, first) != np.maximum.reduceat(left, first) if len(at) else np.zeros(0, bool)
+        keep = np.repeat(diverse, np.diff(np.append(first, len(at))))
+        at, rank, left = at[keep], rank[keep], left[keep]
+        more = sizes[owner[at]] - place[at] - length
+        width = int(more.max(initial=0)) or 1
+        padded = np.concatenate([data, np.zeros(length + width, np.uint8)])
+        rows = padded[(at + length)[:, None] + np.arange(width)]
+        rows[np.arange(width) >= more[:, None]] = 0
+        order = np.lexsort((more, rows.reshape(-1).view(f"S{width}"), rank))
+        at, rank, more, rows, left = at[order], rank[order], more[order], rows[order], left[order]
+        unequal = rows[1:] != rows[:-1]
+        common = np.where(unequal.any(axis=1), unequal.argmax(axis=1), width)
+        common = length + np.minimum(common, np.minimum(more[1:], more[:-1]))
+        self.common = np.where(rank[1:] == rank[:-1], common, 0)
+        self.owner, self.place = owner[at], place[at]
+        self.intervals = list(interval_tree(self.common.tolist(), left.tolist())) if len(at) else []
+
+    def occurrences(self):
+        """(group, contexts, places, length) of every maximal repeat."""
+        for size, a, b in self.intervals:
+            text, at = self.texts[self.owner[a]], int(self.place[a])
+            group = int.from_bytes(hashlib.blake2b(text[at : at + size], digest_size=8).digest(), "little", signed=True)
+            yield group, self.owner[a : b + 1], self.place[a : b + 1], size
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """context, low, high: what the maximal repeats cover, those that overlap or touch merged."""
+        reach = np.zeros(len(self.owner), np.int64)
+        for size, a, b in reversed(self.intervals):  # outer ones first, so that the longest repeat at a place counts
+            reach[a : b + 1] = size
+        at = np.flatnonzero(reach)
+        at = at[np.lexsort((self.place[at], self.owner[at]))]
+        owner, low = self.owner[at], self.place[at]
+        far = np.int64(1) << 32
+        high = np.maximum.accumulate(owner * far + low + reach[at])
+        new = np.ones(len(at), bool)
+        new[1:] = owner[1:] * far + low[1:] > high[:-1]
+        first = np.flatnonzero(new)
+        return owner[first], low[first], (high - owner * far)[np.append(first[1:], len(at)) - 1] if len(at) else low
+
+
+def deal(texts: list[bytes], minimisers: np.ndarray, length: int, block: int):
+    """Parts of contexts: (context, start, number of suffixes, core, hash of the bytes); equal suffixes lie in parts of one core.
+
+    A suffix stands some bytes before its context's minimiser; a block is `block` such distances in a row, and its core the
+    bytes that all its suffixes share, of length - block + 1. Equal suffixes have equal distances, so equal blocks and cores.
+    A block of one suffix needs no distance: its core is the suffix.
+    """
+    out = []
+    for i, (t, h) in enumerate(zip(texts, minimisers)):
+        hashes, s = Hashes(t), np.arange(len(t) - length + 1)
+        if block == 1:
+            first, core = s, hashes.of(s, s + length)
+        else:
+            grams = np.flatnonzero(hashes.grams() == h)
+            g = grams[np.searchsorted(grams, s)]
+            number = (g - s) // block
+            first = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(g, prepend=-1) != 0))
+            begin = g[first] - number[first] * block - block + 1
+            # where the context has no full block the core may begin before it, but its bytes within every suffix are the same
+            core = mix(hashes.of(begin + block - 1, begin + length) * ODD1 + number[first].astype(np.uint64))
+        n = np.diff(np.append(first, len(s)))
+        out.append((np.full(len(first), i), first, n, core, hashes.of(first, first + n - 1 + length)))
+    return [np.concatenate(c) for c in zip(*out)]
 
 
-def repeat_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """key, start, end: where the occurrences of the repeats lie, with the overlapping ones of a context merged."""
-    whole, mixed, places = repeated_contexts(docs, length)
+class Repeats:
+    """The steps that find the repeats of docs; `tables` keeps what they write until the caller has written its own result."""
+
+    def __init__(self, docs: DataFrame, length: int, tables: Scratch):
+        self.length, self.tables = length, tables
+
+        def scan(parts):
+            for part in parts:
+                keys = part.column(0).to_numpy()
+                for rows in shards(part.column(1), 1 << 20):
+                    text, start, n, h, c = contexts(part.column(1)[rows].to_pylist(), length)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(keys[rows][text], pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32())], ["h", "c", "key", "start", "n"])
+
+        self.keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+        found = tables.written(self.keyed.filter(F.length("text") >= length).mapInArrow(scan, "h long, c long, key long, start long, n int"))
+        often = tables.written(found.groupBy("h").agg(F.count("*").alias("times"), (F.min("c") == F.max("c")).alias("same")).filter("times > 1"))
+        repeated = tables.written(join_hot(found, often, ["h"], "times", found.count()).select("h", "c", "key", "start", "n", "same"))
+        #: contexts that are equal wherever their minimiser stands: they repeat as a whole
+        self.whole = repeated.filter("same").select("c", "key", "start", "n")
+        self.mixed = repeated.filter("not same").select("h", "c", "key", "start", "n")
+        self.distinct = tables.written(self.mixed.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("key", "start", "n")).alias("rep")))
+
+    def read(self) -> DataFrame:
+        """h, c, times, bytes of every distinct context that may repeat in part, each read once."""
+        length, total = self.length, self.distinct.count()
+        wants = self.distinct.select(F.col("rep.key").alias("key"), F.struct("h", "c", "times", "rep.start", "rep.n").alias("want")).groupBy("key").agg(F.collect_list("want").alias("wants"))
+
+        def cut(parts):
+            for part in parts:
+                for text, own in zip(part.column(0), part.column(1).to_pylist()):
+                    text = memoryview(text.as_buffer())
+                    yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in own], pa.int64()) for c in ("h", "c", "times")] + [pa.array([bytes(text[w["start"] : w["start"] + w["n"] + length - 1]) for w in own], pa.binary())], ["h", "c", "times", "bytes"])
+
+        few = total <= BROADCAST_ROWS
+        joined = self.keyed.join(F.broadcast(wants), "key") if few else self.keyed.dropDuplicates(["key"]).join(wants, "key")
+        cut_out = joined.select("text", "wants").mapInArrow(cut, "h long, c long, times long, bytes binary")
+        # repeated rows have one key, so a context may have been read more than once
+        return self.tables.written(cut_out.dropDuplicates(["h", "c"]) if few else cut_out)
+
+    def places(self, parts: DataFrame, groups: bool, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+        """What repeats of the parts (h, c, times, bytes): with groups every occurrence of every maximal repeat, else merged spans.
+
+        Minimisers of up to TOGETHER contexts have them in one shard. Those of a crowded one are cut into blocks of suffixes, and
+        the core that these share takes the minimiser's part. Where even a core is crowded, its suffixes are parts of their own.
+        """
+        length, tables = self.length, self.tables
+
+        def build(table: pa.Table) -> pa.Table:
+            shard = Shard(table.column("bytes").to_pylist(), length)
+            if groups:
+                rows = list(shard.occurrences())
+                n = [len(r[1]) for r in rows]
+                at, low = (np.concatenate([r[k] for r in rows] or [np.zeros(0, np.int64)]) for k in (1, 2))
+                group, high = np.repeat(np.array([r[0] for r in rows], np.int64), n), low + np.repeat(np.array([r[3] for r in rows], np.int64), n)
+            else:
+                at, low, high = shard.spans()
+                group = np.zeros(len(at), np.int64)
+            told = table.select(["h", "c", "times"]).take(pa.array(at, pa.int64()))
+            return pa.table({"group": pa.array(group, pa.int64())} | {c: told.column(c) for c in told.column_names} | {"low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+
+        def in_shards(parts: DataFrame) -> DataFrame:
+            shard = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-parts.count() // SHARD))))
+            return parts.withColumn("shard", shard).groupBy("shard").applyInArrow(build, PLACES)
+
+        copied = parts.filter("times > 1").select(F.col("c").alias("group"), "h", "c", "times", F.lit(0).cast("long").alias("low"), F.octet_length("bytes").cast("long").alias("high"))
+        crowd = parts.groupBy("h").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > TOGETHER).select("h")
+        if not blocks or not crowd.limit(1).count():
+            return in_shards(parts).unionByName(copied)
+        if parts.count() // (TOGETHER + 1) <= BROADCAST_ROWS:  # no more than that can be crowded
+            crowd = F.broadcast(crowd)
+        few = tables.written(parts.join(crowd, "h", "left_anti"))
+
+        def cut(batches):
+            for b in batches:
+                for rows in shards(b.column(3), 1 << 20):
+                    own = b.slice(rows.start, rows.stop - rows.start)
+                    texts = own.column(3).to_pylist()
+                    at, start, n, core, c = deal(texts, own.column(0).to_numpy().view(np.uint64), length, blocks[0])
+                    told = own.select([0, 1, 2]).take(pa.array(at))
+                    bytes_ = [texts[i][s : s + k + length - 1] for i, s, k in zip(at.tolist(), start.tolist(), n.tolist())]
+                    yield pa.RecordBatch.from_arrays([*told.columns, pa.array(core.view(np.int64)), pa.array(c.view(np.int64)), pa.array(start, pa.int64()), pa.array(bytes_, pa.binary())], ["h", "c", "times", "core", "part", "start", "bytes"])
+
+        many = parts.join(crowd, "h", "left_semi").select("h", "c", "times", "bytes")
+        dealt = tables.written(many.mapInArrow(cut, "h long, c long, times long, core long, part long, start long, bytes binary"))
+        inner = tables.written(dealt.groupBy("core", "part").agg(F.sum("times").alias("times"), F.max("bytes").alias("bytes"), F.count("*").alias("rows")))
+        found = self.places(inner.select(F.col("core").alias("h"), F.col("part").alias("c"), "times", "bytes"), groups, blocks[1:])
+        rows = inner.select("core", "part", "rows").join(found.select(F.col("h").alias("core"), F.col("c").alias("part"), "group", "low", "high"), ["core", "part"])
+        back = join_hot(dealt.drop("bytes"), tables.written(rows), ["core", "part"], "rows", dealt.count())
+        shifted = back.select("group", "h", "c", "times", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
+        return in_shards(few).unionByName(copied).unionByName(shifted)
+
+    def occurrences(self, groups: bool) -> DataFrame:
+        """group, key, start, end of all that repeats, in every text."""
+        partly = self.tables.written(self.places(self.read(), groups))
+        there = join_hot(self.mixed, partly, ["h", "c"], "times", self.mixed.count()).select("group", "key", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
+        return self.whole.select(F.col("c").alias("group"), "key", "start", (F.col("start") + F.col("n") + self.length - 1).cast("long").alias("end")).unionByName(there)
 
-    def joined(parts):
-        for part in parts:
-            cuts = [merge([(s["at"], s["at"] + s["size"]) for s in own]) for own in part.column(2).to_pylist()]
-            rows = np.repeat(np.arange(part.num_rows), [len(c) for c in cuts])
-            flat = [x for c in cuts for x in c]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array([a for a, _ in flat], pa.int64()), pa.array([b for _, b in flat], pa.int64())], ["h", "c", "low", "high"])
 
-    merged = places.groupBy("h", "c").agg(F.collect_set(F.struct("at", "size")).alias("own")).mapInArrow(joined, "h long, c long, low long, high long")
-    partly = mixed.select("h", "c", "key", "start").join(merged, ["h", "c"]).select("key", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
-    return whole.select("key", "start", (F.col("start") + F.col("n") + length - 1).alias("end")).unionByName(partly)
+def repeat_groups(docs: DataFrame, length: int = 200) -> DataFrame:
+    """group, key, start, size: every occurrence of every repeat; key is xxhash64(doc_id, text)."""
+    with Scratch(docs.sparkSession) as tables:
+        return written(Repeats(docs, length, tables).occurrences(True).select("group", "key", "start", (F.col("end") - F.col("start")).alias("size")).distinct())
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
@@ -266,7 +359,7 @@ def merged_spans(spans: DataFrame) -> DataFrame:
             own = [[{"start": a, "end": b} for a, b in merge([(s["start"], s["end"]) for s in x])] for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["key", "spans"])
 
-    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(join, "key long, spans array<struct<start:long,end:long>>")
+    return spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(join, "key long, spans array<struct<start:long,end:long>>")
 
 
 def without_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = False) -> DataFrame:
@@ -274,7 +367,8 @@ def without_repeats(docs: DataFrame, length: int = 200, whole_characters: bool =
 
     With whole_characters a span ends at characters, so what remains is text again.
     """
-    spans = written(merged_spans(repeat_spans(docs, length)))
+    with Scratch(docs.sparkSession) as tables:
+        spans = written(merged_spans(Repeats(docs, length, tables).occurrences(False)))
     size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     hit = F.broadcast(spans) if size <= BROADCAST_ROWS else spans
     others = [c for c in docs.columns if c.lower() not in {"doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"}]

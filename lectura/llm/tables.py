@@ -16,22 +16,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session takes one of its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lectura-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, codec: str = "zstd", folder: str | None = None) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectura-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/lectura-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that nothing needs any more when the block ends; the block's own result has to be written elsewhere by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        return written(df, codec, self.folder)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *failure) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(many: DataFrame, few: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
+    """many joined with few on keys, without a hot key's rows meeting in one task.
+
+    `times` is a column of few: how many rows of many, of `total`, have the key. Keys with over a thousandth of them are at most
+    a thousand, whatever the input, so their rows of few are broadcast; all others go through a shuffle.
+    """
+    heavy = F.col(times) > max(10_000, total // 1000)
+    hot = few.filter(heavy)
+    if not hot.limit(1).count():
+        return many.join(few, keys)
+    others = many.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_anti").join(few.filter(~heavy), keys)
+    return many.join(F.broadcast(hot), keys).unionByName(others)
+
+
 def lower_ascii(col):
     return F.translate(col, A_TO_Z, a_to_z)
 
