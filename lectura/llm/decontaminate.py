@@ -1,19 +1,23 @@
 """Benchmark decontamination with suffix arrays of the training documents.
 
 Every task takes documents in shards and sorts the shard's word suffixes; the benchmark's suffixes are binary-searched in
-that array. A search gives the range of training suffixes that share a window of words with a benchmark suffix, and from there
-the longest verbatim match at each place. Words that the benchmark doesn't have end every match, so only suffixes made of
-benchmark words enter the array; that drops no match.
+that array. A search gives the range of training suffixes that share a window of words with a benchmark suffix; windows that
+follow each other in a document and in an item are one longest verbatim match, with its place in both. Words that the benchmark
+doesn't have end every match, so only suffixes made of benchmark words enter the array; that drops no match.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A benchmark item's windows are its runs of
 `window` words; an item with fewer words is one window, an item without words has none. A null text has no words. Repeated
-documents are judged alike; items that share an item_id count as one item; items without item_id are left out; empty tables
-give no matches (and an empty documents table no rows). Columns beside doc_id, text and item_id are not read.
+documents are judged alike; items that share an item_id count as one item; an item without item_id contaminates like others, but
+has no id to list or count; empty tables give no matches (and an empty documents table no rows). Columns beside doc_id, text and
+item_id are not read.
+
+A benchmark of up to BENCHMARK_BYTES goes to every executor; a larger one is worked through in parts of that size, one after the
+other, each with a scan of its own, so neither driver nor executors ever hold more than a part.
 """
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import byte_size
+from .tables import byte_size, written
 
 #: Lower case for A-Z, a space for whatever isn't part of a word; bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SHARD_BYTES = 8 << 20
-#: A benchmark of up to so many bytes goes to every executor at once; a larger one goes out in parts of this size.
+#: Bytes of a part of the benchmark.
 BENCHMARK_BYTES = 32 << 20
 
 
@@ -43,25 +47,24 @@ def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 
 
 class Benchmark:
-    """Item words as numbers, and the distinct windows, sorted, with the items that hold them."""
+    """Item words as numbers, and the distinct windows, sorted, with the items that hold them and where."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        self.window = window
+    def __init__(self, items: list[tuple[int | None, str]], window: int):
         words, starts = split_words([(t or "").encode() for _, t in items])
         self.vocabulary = pc.unique(words)
         ids = pc.index_in(words, self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int32)
-        self.items = [ids[a:b] for a, b in zip(starts, starts[1:])]
-        self.item_ids = [i for i, _ in items]
-        held: dict[bytes, set[int]] = {}
-        for item, own in zip(self.item_ids, self.items):
+        self.item_ids = [None if i is None else str(i) for i, _ in items]
+        held: dict[bytes, list[tuple[int, int]]] = {}
+        for item, (a, b) in enumerate(zip(starts, starts[1:])):
+            own = ids[a:b].astype(">i4")
             n = min(window, len(own))
             for at in range(len(own) - n + 1 if n else 0):
-                held.setdefault(own[at : at + n].astype(">i4").tobytes(), set()).add(item)
-        #: by length in words: the windows in order as rows of numbers, and their items
+                held.setdefault(own[at : at + n].tobytes(), []).append((item, at))
+        #: by length in words: the windows in order as rows of numbers, and their items and places
         self.by_length = {}
         for n in sorted({len(w) // 4 for w in held}):
             keys = sorted(w for w in held if len(w) == 4 * n)
-            self.by_length[n] = (keys, [sorted(held[w]) for w in keys])
+            self.by_length[n] = (keys, [held[w] for w in keys])
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +110,7 @@ def search(ids: np.ndarray, order: np.ndarray, keys: list[bytes], n: int) -> tup
 
 
 def shard_matches(texts: list[bytes], bench: Benchmark):
-    """For a shard of texts: word counts, and per (text, window found) its position, length and items."""
+    """For a shard of texts: word counts, and (text, item's number, item start, text start, words) of every longest match."""
     words, starts = split_words(texts)
     ids = pc.index_in(words, bench.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
@@ -130,56 +133,86 @@ def shard_matches(texts: list[bytes], bench: Benchmark):
         back = np.full(len(joined), -1, np.int64)
         back[place] = at
         order, _ = suffix_array(joined, max(bench.by_length))
-        for n, (keys, items) in bench.by_length.items():
+        for n, (keys, held) in bench.by_length.items():
             shifted = [(np.frombuffer(k, ">i4") + 1).astype(">i4").tobytes() for k in keys]
             low, high = search(joined, order, shifted, n)
+            hits = []
             for w in np.flatnonzero(high > low).tolist():
-                for p in back[order[low[w] : high[w]]].tolist():
-                    found.append((int(owner[p]), p - int(starts[owner[p]]), n, items[w]))
-    return np.diff(starts), found
+                places = back[order[low[w] : high[w]]]
+                hits += [(places, item, q) for item, q in held[w]]
+            if hits:
+                found.append(longest(np.concatenate([h[0] for h in hits]), *(np.repeat([h[k] for h in hits], [len(h[0]) for h in hits]) for k in (1, 2)), owner, n))
+    if not found:
+        return np.diff(starts), []
+    doc, item, q, p, n = (np.concatenate(c) for c in zip(*found))
+    return np.diff(starts), list(zip(doc.tolist(), item.tolist(), q.tolist(), (p - starts[doc]).tolist(), n.tolist()))
 
 
-def bench_parts(bench: DataFrame, window: int) -> list:
-    """The benchmark as broadcast parts, each of a bounded size. Its text is read once per part."""
-    items = bench.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    n = max(1, -(-byte_size(items, "text") // BENCHMARK_BYTES))
-    sc = bench.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [sc.broadcast(Benchmark(sorted((r["item_id"], r["text"]) for r in items.filter(part == k).collect()), window)) for k in range(n)]
+def longest(p: np.ndarray, item: np.ndarray, q: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """text, item, place in the item, place in the text, words: windows of n words that move on together, as one match."""
+    order = np.lexsort((p, p - q, item))
+    p, item, q = p[order], item[order], q[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (item[1:] != item[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] != p[:-1] + 1) | (owner[p[1:]] != owner[p[:-1]])
+    first = np.flatnonzero(new)
+    return owner[p[first]], item[first], q[first], p[first], np.diff(np.append(first, len(p))) + n - 1
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, share: int = 20, carry: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (ids that occur), spans (word ranges hit), contaminated. One scan, no shuffle.
+MATCH = "struct<item:string,item_start:long,start:long,words:long>"
+FOUND = f"n_words long, matches array<{MATCH}>"
 
-    contaminated: some word is hit, and share times the hit words is at least all words. With carry, the columns of docs as
-    one struct, row, stand in doc_id's place.
-    """
-    parts_of_bench = bench_parts(bench, window)
-    schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+def found_in(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """docs (a first column of any kind, bytes) with n_words and matches in place of bytes; items fit the driver. One scan."""
+    collected = sorted(((r["item_id"], r["text"]) for r in items.collect()), key=lambda r: (r[0] is None, str(r[0]), r[1]))
+    bench = docs.sparkSession.sparkContext.broadcast(Benchmark(collected, window))
+    name, kind = docs.dtypes[0]
+    types = pa.list_(pa.struct([("item", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("words", pa.int64())]))
 
     def judge(parts):
         for part in parts:
             texts = part.column(1)
             for rows in shards(texts):
-                data = [t.as_py() or b"" for t in texts[rows]]
-                spans, items = [[] for _ in data], [set() for _ in data]
-                for b in parts_of_bench:
-                    n_words, found = shard_matches(data, b.value)
-                    for doc, at, n, own in found:
-                        spans[doc].append((at, at + n))
-                        items[doc].update(own)
-                merged = [merge(s) for s in spans]
-                told = pa.RecordBatch.from_arrays(
-                    [pa.array(n_words, pa.int64()), pa.array([sum(b - a for a, b in m) for m in merged], pa.int64()), pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], schema.field("spans").type)],
-                    schema=schema,
-                )
-                yield pa.RecordBatch.from_arrays([part.column(0)[rows], *told.columns], [name, *schema.names])
+                matches = [[] for _ in range(rows.stop - rows.start)]
+                n_words, found = shard_matches([t.as_py() or b"" for t in texts[rows]], bench.value)
+                for doc, item, q, p, n in found:
+                    matches[doc].append({"item": bench.value.item_ids[item], "item_start": q, "start": p, "words": n})
+                yield pa.RecordBatch.from_arrays([part.column(0)[rows], pa.array(n_words, pa.int64()), pa.array(matches, types)], [name, "n_words", "matches"])
+
+    return docs.mapInArrow(judge, f"{name} {kind}, {FOUND}")
+
 
+def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, share: int = 20, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (ids that occur), matches (item, item_start, start, words), contaminated.
+
+    contaminated: some word is hit, and share times the hit words is at least all words. With carry, the columns of docs as
+    one struct, row, stand in doc_id's place.
+    """
+    items = bench.select("item_id", "text").filter(F.col("text").isNotNull())
+    n = max(1, -(-byte_size(items, "text") // BENCHMARK_BYTES))
     key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col("doc_id")
-    given = docs.select(key, F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    name, kind = given.dtypes[0]
-    judged = given.mapInArrow(judge, f"{name} {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
-    return judged.select(name, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    given = docs.select(key, text.alias("bytes"))
+    if n == 1:
+        told = found_in(given, items, window)
+    else:  # equal texts have equal matches, so these are joined back by the text
+        part = F.pmod(F.xxhash64("text"), F.lit(n))
+        texts = docs.select(F.xxhash64("text").alias("text_hash"), text.alias("bytes"))
+        each = [written(found_in(texts, items.filter(part == k), window).filter("size(matches) > 0").dropDuplicates(["text_hash"])) for k in range(n)]
+        matches = reduce(DataFrame.unionByName, each).groupBy("text_hash").agg(F.flatten(F.collect_list("matches")).alias("more"))
+        counted = found_in(docs.select(F.struct(key, F.xxhash64("text").alias("text_hash")).alias("of"), text.alias("bytes")), items.limit(0), window)
+        name = given.columns[0]
+        told = counted.join(matches, F.col("of.text_hash") == F.col("text_hash"), "left").select(f"of.{name}", "n_words", F.coalesce("more", "matches").alias("matches"))
+    name = given.columns[0]
+    covered = F.aggregate(
+        F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("a"), (m["start"] + m["words"]).alias("b")))),
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
+        lambda s, m: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), m["b"] - F.greatest(m["a"], s["end"]))).alias("n"), F.greatest(m["b"], s["end"]).alias("end")),
+        lambda s: s["n"],
+    )
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item"]), lambda i: i.isNotNull())))
+    judged = told.withColumn("n_hit", covered).withColumn("items", ids)
+    return judged.select(name, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "matches", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def shards(texts: pa.Array, size: int = SHARD_BYTES):
@@ -201,7 +234,3 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -8,16 +8,20 @@ results), rare ones first. Linked sets share a shingle among their first n - nee
 where need is the least intersection a set of n can have with any partner.
   light sets, up to a boundary: every pair of shingles of that longer prefix is a key;
   heavy sets, above it: every shingle of the prefix is a key, whose rows are its inverted list;
-  the boundary is where a set's pairs cost as much as scanning its lists, by the sketch's mean list length. Sets next to it
-  take both kinds, since partners differ in size by at most the threshold.
-Lists aren't expanded into pairs. Every member is compared with few chosen members of its lists; the links found give
-components. Then only members outside the largest component of a list are compared with the list's members of other
-components. Pairs within one component need no comparison: their documents are connected already. So no link between
-components is lost, and a list of thousands of near copies costs little more than its length.
-
-A null text or one without words has an empty set, which links with nothing. Repeated rows and texts share a set. Rows keep
-their doc_id as it is; a component's id is its least doc_id. An empty table gives no row. Columns beside doc_id and text are
-not read. Shingles and sets are told apart by 64-bit hashes.
+  the boundary is where a set's pairs cost as much as scanning its lists: a row each, and the comparisons with chosen members,
+  of which there are no more than the list is long. Sets next to it take both kinds, since partners differ in size by at most
+  the threshold.
+Where a key stands in its set says how large a partner can be that it is the first thing in common with: the sizes after it
+bound the intersection. Every entry of a list carries that reach, and two entries are candidates only if each lies within the
+other's. So sets with many shingles of their own, whose common ones come late, aren't paired with each other at all.
+Lists aren't expanded into pairs. Every member is compared with few chosen members of its lists, the ones of the farthest reach;
+the links found give components. Then only members outside the largest component of a list are compared with the list's members
+of other components that they can reach. Pairs within one component need no comparison: their documents are connected already.
+So no link between components is lost, and a list of thousands of near copies costs little more than its length.
+
+A null text or one without words has an empty set, which links with nothing. Repeated rows and texts share a set. A component's
+id is its least doc_id; documents without doc_id link like others, come last, and a component of them alone has none. An empty
+table gives no row. Columns beside doc_id and text are not read. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import shards
 from .repeats import ODD1, ODD2, mix
-from .tables import written
+from .tables import Scratch, join_hot, written
 
 #: A-Z in lower case, the other characters that part words as spaces.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -42,6 +46,9 @@ COUNTERS = 1 << 22
 CELLS = 64
 #: Chosen partners per member in the first comparison.
 CHOSEN = 3
+#: Buckets of tasks whose sketches are added first.
+BUCKETS = 256
+BLOCK = "block int, bucket int, counts binary"
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,71 +97,89 @@ def rarity(docs: DataFrame, shingle: int) -> tuple[np.ndarray, float]:
     rows = 64
 
     def count(parts):
+        from pyspark import TaskContext
+
         total = np.zeros(COUNTERS, np.int64)
         for part in parts:
             for s in shards(part.column(0), 2 << 20):
                 h, _ = shingle_sets(part.column(0)[s].to_pylist(), shingle)
                 total += np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=COUNTERS)
-        blocks = total.reshape(rows, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array([zlib.compress(b.astype("<i8").tobytes(), 1) for b in blocks], pa.binary())], ["block", "counts"])
+        blocks = [zlib.compress(b.astype("<i8").tobytes(), 1) for b in total.reshape(rows, -1)]
+        bucket = TaskContext.get().partitionId() % BUCKETS
+        yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array([bucket] * rows, pa.int32()), pa.array(blocks, pa.binary())], ["block", "bucket", "counts"])
+
+    def summed(table: pa.Table) -> np.ndarray:
+        return sum(np.frombuffer(zlib.decompress(c.as_py()), "<i8") for c in table.column("counts"))
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(c.as_py()), "<i8") for c in table.column("counts"))
+        return table.slice(0, 1).set_column(2, "counts", pa.array([zlib.compress(summed(table).astype("<i8").tobytes(), 1)], pa.binary()))
+
+    def close(table: pa.Table) -> pa.Table:
+        total = summed(table)
         level = np.minimum(255, np.log2(total + 1.0) * 8).astype(np.uint8)
         return pa.table({"block": table.column("block")[:1], "levels": pa.array([level.tobytes()], pa.binary()), "n": pa.array([float(total.sum())]), "squares": pa.array([float((total.astype(float) ** 2).sum())])})
 
-    found = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, levels binary, n double, squares double").collect()
+    counted = docs.select("text").mapInArrow(count, BLOCK)
+    in_buckets = counted.groupBy("block", "bucket").applyInArrow(add, BLOCK)  # so that no task holds the sketches of all tasks
+    found = in_buckets.groupBy("block").applyInArrow(close, "block int, levels binary, n double, squares double").collect()
     if not found:
         return np.zeros(COUNTERS, np.uint8), 1.0
     n, squares = sum(r["n"] for r in found), sum(r["squares"] for r in found)
     return np.frombuffer(b"".join(r["levels"] for r in sorted(found)), np.uint8), max(1.0, (squares - n * n / COUNTERS) / max(n, 1))
 
 
-def keys_of(h: np.ndarray, percent: int, light_to: int, heavy_from: int) -> np.ndarray:
-    """Keys of one set whose shingles stand rare first."""
+def keys_of(h: np.ndarray, percent: int, light_to: int, heavy_from: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set whose shingles stand rare first, and of each the size of the largest partner it can be common with first."""
     n = len(h)
     need = -(-percent * n // 100)
-    out = []
+    out, left = [], []  # left: what two sets can have in common at most
     if n <= light_to:
         first = h[: n - need + 2]
         if n == 1:  # a set of one shingle has no pair
             out.append(mix(first ^ ODD2))
+            left.append(np.ones(1, np.int64))
         a, b = np.triu_indices(len(first), 1)
         x, y = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
         out.append(mix(x * ODD1 + y))
+        left.append(n + 1 - b)
     if n >= heavy_from:
         out.append(mix(h[: n - need + 1] * ODD2))
-    return np.concatenate(out)
+        left.append(n - np.arange(n - need + 1))
+    keys, at = np.unique(np.concatenate(out), return_index=True)
+    # intersection >= percent * (n + m) / (100 + percent)
+    return keys, (100 + percent) * np.concatenate(left)[at] // percent - n
 
 
 def sets_of(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, sig, n, profile, keys: each document's set by its hash, size and profile, and its keys."""
+    """doc_id, text_hash, sig, n, profile, keys, reach: each document's set by its hash, size and profile, and its keys."""
     levels, length = rarity(docs, shingle)
     told = docs.sparkSession.sparkContext.broadcast(levels)
-    # C(p + 1, 2) pairs against p lists of that mean length; a list costs at least its own row and at most a few, being rare
-    prefix = min(4.0, max(2.0, length)) * 2
-    boundary = int(prefix / (1 - percent / 100))
+    # C(p + 1, 2) rows of pairs against p lists, each a row and the comparisons with chosen members
+    scan = 1 + min(CHOSEN, length)
+    boundary = int((2 * scan - 1) / (1 - percent / 100))
     light_to, heavy_from = -(-boundary * 100 // percent), boundary + 1
 
     def build(parts):
         for part in parts:
-            for s in shards(part.column(1), 2 << 20):
-                texts = part.column(1)[s].to_pylist()
+            for s in shards(part.column(2), 2 << 20):
+                texts = part.column(2)[s].to_pylist()
                 h, owner, count = distinct_sets(*shingle_sets(texts, shingle), len(texts))
                 order = np.lexsort((h, told.value[(h >> np.uint64(42)).astype(np.int64)], owner))
                 h = h[order]
                 ends = np.cumsum(count)
                 cells = np.bincount(owner * CELLS + (h >> np.uint64(36)).astype(np.int64) % CELLS, minlength=len(texts) * CELLS).astype("<u4").reshape(-1, CELLS)
                 sig, keys = [], []
+                nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 for a, b in zip((ends - count).tolist(), ends.tolist()):
                     own = h[a:b]
                     sig.append(signature(own) if b > a else None)
-                    keys.append(np.unique(keys_of(own, percent, light_to, heavy_from)).view(np.int64) if b > a else np.zeros(0, np.int64))
-                flat = pa.array(np.concatenate(keys))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0)[s], pa.array(sig, pa.int64()), pa.array(count, pa.int64()), pa.array([c.tobytes() for c in cells], pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "sig", "n", "profile", "keys"])
+                    keys.append(keys_of(own, percent, light_to, heavy_from) if b > a else nothing)
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in keys])]), pa.int32())
+                key, reach = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([k[i] for k in keys]).astype(t))) for i, t in ((0, np.int64), (1, np.int32)))
+                told_of = [pa.array(sig, pa.int64()), pa.array(count, pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary()), key, reach]
+                yield pa.RecordBatch.from_arrays([part.column(0)[s], part.column(1)[s], *told_of], ["doc_id", "text_hash", "sig", "n", "profile", "keys", "reach"])
 
-    return docs.mapInArrow(build, "doc_id long, sig long, n long, profile binary, keys array<long>")
+    return docs.mapInArrow(build, "doc_id long, text_hash long, sig long, n int, profile binary, keys array<long>, reach array<int>")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,18 +212,18 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return told.select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Scratch) -> DataFrame:
     """node, label (the least node reachable) of every node of edges (a, b): least labels of neighbours, then of labels.
 
     Joins and minima only, which combine before they shuffle; the rounds grow with the logarithm of the longest path.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"))
+    both = tables.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = tables.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near")).select(F.col("a").alias("node"), "near")
-        lower = written(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next")))
+        lower = tables.written(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next")))
         jump = lower.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
-        moved = written(lower.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("beyond", "next")).alias("next")))
+        moved = tables.written(lower.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("beyond", "next")).alias("next")))
         changed = moved.filter("next < label").limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
@@ -206,18 +231,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    members = written(sets_of(texts, shingle, percent))
-    sets = written(members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("profile").alias("profile"), F.first("keys").alias("keys")))
-    entries = sets.select(F.explode("keys").alias("key"), "sig", "n")
-    # of each list, the member that a hash of list and member puts first: another one in each list
-    lists = entries.groupBy("key").agg(F.count("*").alias("long"), F.min_by(F.struct("sig", "n"), F.xxhash64("key", "sig")).alias("centre")).filter("long > 1")
-    listed = written(entries.join(lists, "key").select("key", "sig", "n", "centre"))
-
-    alike = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-    chosen = listed.filter((F.col("sig") != F.col("centre.sig")) & alike(F.col("n"), F.col("centre.n"))).groupBy("sig").agg(F.array_distinct(F.collect_list("centre.sig")).alias("partners"))
-    first = chosen.select("sig", F.explode(F.slice(F.array_sort("partners"), 1, CHOSEN)).alias("p")).select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b")).distinct()
+    """doc_id, n_shingles, component_id for every row of docs, and text_hash (xxhash64 of the text) and first.
+
+    first: the row stands for its component, having the least doc_id and of its texts the least hash; so has every repeated row
+    of it. A row without words is first.
+    """
+    with Scratch(docs.sparkSession) as tables:
+        return written(_near_duplicates(docs, shingle, percent, tables))
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, tables: Scratch) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    members = tables.written(sets_of(texts, shingle, percent))
+    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    of_sig = [F.min(named).alias("rep"), F.count("*").alias("times"), F.max("n").alias("n"), *(F.first(c).alias(c) for c in ("profile", "keys", "reach"))]
+    sets = tables.written(members.filter("n > 0").groupBy("sig").agg(*of_sig))
+    entries = sets.select(F.explode(F.arrays_zip("keys", "reach")).alias("e"), "sig", "n").select(F.col("e.keys").alias("key"), "sig", "n", F.col("e.reach").alias("reach"))
+    far = F.struct((-F.col("reach") * 1000 / F.col("n")).cast("int"), F.xxhash64("sig"))
+    of_key = [F.count("*").alias("long"), F.max("reach").alias("reaches"), F.min("n").alias("least"), F.max(F.col("reach") - F.col("n")).alias("over"), F.min_by(F.struct("sig", "n", "reach"), far).alias("centre")]
+    # of two linked sets the smaller one reaches beyond its own size
+    lists = entries.groupBy("key").agg(*of_key).filter("long > 1 and over >= 0").drop("long", "over")
+    listed = tables.written(entries.join(lists, "key").filter("n <= reaches and reach >= least").select("key", "sig", "n", "reach", "centre"))
+
+    within = lambda m, of_m, n, of_n: (F.col(n) <= F.col(of_m)) & (F.col(m) <= F.col(of_n))
+    chosen = listed.filter((F.col("sig") != F.col("centre.sig")) & within("n", "reach", "centre.n", "centre.reach")).groupBy("sig").agg(F.array_distinct(F.collect_list("centre.sig")).alias("partners"))
+    first = tables.written(chosen.select("sig", F.explode(F.slice(F.array_sort("partners"), 1, CHOSEN)).alias("p")).select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b")).distinct())
 
     def read(parts):
         for part in parts:
@@ -225,33 +264,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
                 raw = part.column(1)[s].to_pylist()
                 h, _, count = distinct_sets(*shingle_sets(raw, shingle), len(raw))
                 ends = np.cumsum(count)
-                own = [h[a:b] for a, b in zip((ends - count).tolist(), ends.tolist())]
-                meant = [i for i, (sig, x) in enumerate(zip(part.column(0)[s].to_pylist(), own)) if len(x) and signature(x) == sig]
-                yield pa.RecordBatch.from_arrays([part.column(0)[s].take(pa.array(meant, pa.int64())), pa.array([own[i].astype("<u8").tobytes() for i in meant], pa.binary())], ["sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0)[s], pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip((ends - count).tolist(), ends.tolist())], pa.binary())], ["sig", "shingles"])
 
     def linked_of(pairs: DataFrame) -> DataFrame:
         """The pairs that link; only texts of plausible pairs are read again, one per set."""
-        pairs = written(plausible(pairs, sets, percent))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets.select("sig", "doc_id"), "sig")
-        # a doc_id may stand for several texts, so the signature decides which one is meant
-        where = written(members.select("doc_id", "sig").join(wanted, ["doc_id", "sig"], "left_semi").distinct())
+        pairs = tables.written(plausible(pairs, sets, percent))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets.select("sig", "rep"), "sig")
+        where = tables.written(wanted.select("sig", F.col("rep.doc_id").alias("_d"), F.col("rep.text_hash").alias("_t")))
         few = where.count() <= 500_000
-        hit = texts.join(F.broadcast(where) if few else where, "doc_id")
-        shingles = hit.select("sig", "text").mapInArrow(read, "sig long, shingles binary")
-        told = written(shingles)
-        return written(linked(pairs, told, percent))
+        hit = texts.join(F.broadcast(where) if few else where, (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+        # repeated rows are read more than once, and joined by their first
+        shingles = hit.select("sig", "text").mapInArrow(read, "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+        return tables.written(linked(pairs, tables.written(shingles), percent))
 
     edges = linked_of(first)
-    labels = components(edges)
-    placed = written(listed.select("key", "sig", "n").join(labels, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("label", "sig").alias("label")))
+    labels = components(edges, tables)
+    placed = tables.written(listed.select("key", "sig", "n", "reach").join(labels, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "reach", F.coalesce("label", "sig").alias("label")))
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("many"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", "many").alias("largest")).filter("labels > 1")
-    apart = written(placed.join(largest.select("key", "largest"), "key"))
-    outside = apart.filter("label <> largest").select("key", F.col("sig").alias("x"), F.col("n").alias("m"), F.col("label").alias("other"))
-    second = outside.join(apart, "key").filter((F.col("other") != F.col("label")) & alike(F.col("m"), F.col("n"))).select(F.least("sig", "x").alias("a"), F.greatest("sig", "x").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    apart = tables.written(placed.join(largest.select("key", "largest"), "key"))
+    outside = apart.filter("label <> largest").select("key", F.col("sig").alias("x"), F.col("n").alias("m"), F.col("reach").alias("of_m"), F.col("label").alias("other"))
+    second = outside.join(apart, "key").filter((F.col("other") != F.col("label")) & within("m", "of_m", "n", "reach")).select(F.least("sig", "x").alias("a"), F.greatest("sig", "x").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = linked_of(second)
-    joined = written(components(written(edges.unionByName(more))))
-
-    of_set = members.select("doc_id", "sig", "n").join(joined, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("label", "sig").alias("class"))
-    least = of_set.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return of_set.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    joined = components(tables.written(edges.unionByName(more)), tables)
+
+    classed = tables.written(sets.select("sig", "times", "rep").join(joined, F.col("sig") == F.col("node"), "left").select("sig", "times", "rep", F.coalesce("label", "sig").alias("class")))
+    least = classed.groupBy("class").agg(F.min("rep").alias("least"), F.count("*").alias("sets"))
+    of_set = join_hot(classed, tables.written(least), ["class"], "sets", classed.count()).select("sig", "times", "least")
+    worded = join_hot(members.filter("n > 0").select("doc_id", "text_hash", "sig", "n"), tables.written(of_set), ["sig"], "times", members.count())
+    is_first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    told = worded.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "text_hash", is_first.alias("first"))
+    empty = members.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(True).alias("first"))
+    return told.unionByName(empty)

@@ -1,8 +1,8 @@
 """Language identification: hashed subword embeddings, averaged over a text, under a linear softmax.
 
 Subwords are the byte n-grams of the lower-cased (A-Z) text with white space runs as single bytes. The model is trained by
-stochastic gradient descent in numpy, on a bounded sample of labelled rows: about `per_language` of each language, chosen by a
-hash of the row, of each a window of `window` bytes. A part of the sample is kept from training and calibrates it: a
+stochastic gradient descent in numpy, on a bounded sample of labelled rows: at most `per_language` of each of the `languages`
+most frequent languages, chosen by a hash of the row, of each a window of `window` characters. A part of the sample is kept from training and calibrates it: a
 temperature for the probabilities, and the score below which a prediction is rejected, so that of such short texts about the
 share `reject` is lost (with fewer than 1 / reject of them: those below the least score). Prediction reads whole texts: since the softmax is linear, embedding and output weights collapse into one
 table of scores by subword, whose mean over the text gives the scores.
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import shards
@@ -123,26 +123,32 @@ def train(texts: list[bytes], langs: list[str], bits: int = 15, dim: int = 16, e
     return Model(languages, table, bits, temperature, min(threshold, 1 - 1e-9))
 
 
-def labelled_sample(docs: DataFrame, per_language: int, window: int) -> tuple[list[bytes], list[str]]:
-    """About per_language rows of each language, by a hash of the whole row: a bounded number of bounded windows."""
+def labelled_sample(docs: DataFrame, per_language: int, window: int, languages: int) -> tuple[list[bytes], list[str]]:
+    """per_language rows of each language (all, if fewer), by a hash of the whole row: a bounded number of bounded windows.
+
+    A first draw by the hash leaves about twice as many, so that few rows are ranked; equal rows rank by their task's numbers.
+    """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return [], []
-    draw = F.pmod(F.xxhash64("doc_id", "lang", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    quota = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
+    number = F.monotonically_increasing_id()
+    draw = F.pmod(F.xxhash64("doc_id", "lang", "text", number, F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    quota = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2 * (per_language + 50) / n))]), F.col("lang"))
     at = F.greatest(F.lit(1), (F.length("text") / 2 - window / 2).cast("int"))
-    rows = known.filter(draw < quota).select("doc_id", "lang", F.substring("text", at, F.lit(window)).alias("text")).collect()
+    drawn = known.withColumn("draw", draw).filter(F.col("lang").isin(list(counts)) & (F.col("draw") < quota))
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    rows = drawn.select("doc_id", "lang", "draw", F.substring("text", at, F.lit(window)).alias("text")).withColumn("at", F.row_number().over(first)).filter(F.col("at") <= per_language).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["text"]))
     return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
 
 
-def identify(docs: DataFrame, training: DataFrame | None = None, per_language: int = 800, window: int = 1500, carry: bool = False, **settings) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame | None = None, per_language: int = 800, window: int = 1500, languages: int = 500, carry: bool = False, **settings) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row of docs; learnt from the labelled rows of `training` (default: docs).
 
     With carry, the columns of docs as one struct, row, stand in doc_id's place.
     """
-    texts, langs = labelled_sample(docs if training is None else training, per_language, window)
+    texts, langs = labelled_sample(docs if training is None else training, per_language, window, languages)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, langs, **settings) if texts else None)
     key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col("doc_id")
 

@@ -26,7 +26,7 @@ from .subwords import batches, encoder
 
 TOKENIZER, END = "byte_bpe_50k.json", 1
 #: Bytes of text whose pieces are packed together, about.
-GROUP_BYTES = 96 << 20
+GROUP_BYTES = 24 << 20
 PIECES = "part long, doc_id long, start long, doc_tokens long, ids binary"
 SEQUENCES = "sequence_id long, pieces array<struct<offset:long,doc_id:long,start:long,length:long,doc_tokens:long>>, ids binary"
 
@@ -165,7 +165,7 @@ def places(lengths: np.ndarray, rank: np.ndarray, length: int, grain: int) -> tu
     return sequence, place
 
 
-def packed_sequences(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: int = END, grain: int = 8, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def packed_sequences(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: int = END, grain: int = 16, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row per sequence: sequence_id, its pieces (offset, doc_id, start, length, doc_tokens) and its ids as little-endian uint32.
 
     The pieces are shuffled once, to groups of a bounded size, as many as the texts need; each group has its own histogram and
@@ -204,7 +204,7 @@ def packed_sequences(docs: DataFrame, length: int = 2048, tokenizer: str = TOKEN
     return cut.groupBy("part").applyInArrow(pack_group, SEQUENCES)
 
 
-def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: int = END, grain: int = 8, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end: int = END, grain: int = 16, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row per piece with its sequence_id, its offset and its ids, all three read from the packed sequences."""
     own = lambda p: F.substring(F.col("ids"), (4 * p["offset"] + 1).cast("int"), (4 * p["length"]).cast("int"))
     rows = packed_sequences(docs, length, tokenizer, end, grain, group_bytes).select(

@@ -25,11 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import merge, shards
-from .tables import Scratch, join_hot, written
+from .tables import Scratch, hot_limit, join_hot, written
 
 GRAM = 32
 #: Positions of a scan's piece fit so many bits; longer texts are scanned in overlapping pieces.
@@ -262,17 +262,43 @@ class Repeats:
 
         self.keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
         found = tables.written(self.keyed.filter(F.length("text") >= length).mapInArrow(scan, "h long, c long, key long, start long, n int"))
-        often = tables.written(found.groupBy("h").agg(F.count("*").alias("times"), (F.min("c") == F.max("c")).alias("same")).filter("times > 1"))
-        repeated = tables.written(join_hot(found, often, ["h"], "times", found.count()).select("h", "c", "key", "start", "n", "same"))
+        repeated = tables.written(self._repeated(found))
         #: contexts that are equal wherever their minimiser stands: they repeat as a whole
         self.whole = repeated.filter("same").select("c", "key", "start", "n")
-        self.mixed = repeated.filter("not same").select("h", "c", "key", "start", "n")
-        self.distinct = tables.written(self.mixed.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("key", "start", "n")).alias("rep")))
+        self.mixed = repeated.filter("not same")
+
+    def _repeated(self, found: DataFrame) -> DataFrame:
+        """Contexts whose minimiser stands more than once, with `same` (so does the whole context, always), `times` and `at`: how
+        often the context stands, and which of its occurrences a row is.
+
+        One shuffle by the minimiser. Minimisers that a sample shows with over a thousandth of all rows, a thousand or so whatever
+        the input, are counted apart, by sums that combine before they shuffle; the sample decides the way, not the result.
+        """
+        limit, one_in = hot_limit(found.count()), 64
+        drawn = found.filter(F.pmod(F.xxhash64("key", "start"), F.lit(one_in)) == 0).groupBy("h").count()
+        hot = self.tables.written(drawn.filter(F.col("count") > limit // one_in).select("h"))
+        any_hot = hot.limit(1).count() > 0
+        rest = found.join(F.broadcast(hot), "h", "left_anti") if any_hot else found
+        of_h, of_c = Window.partitionBy("h"), Window.partitionBy("h", "c")
+        row = ["h", "c", "key", "start", "n"]
+        told = (
+            rest.select(*row, F.count("*").over(of_h).alias("all"), (F.min("c").over(of_h) == F.max("c").over(of_h)).alias("same"))
+            .filter("all > 1")
+            .select(*row, "same", F.count("*").over(of_c).alias("times"), F.row_number().over(of_c.orderBy("key", "start")).alias("at"))
+        )
+        if not any_hot:
+            return told
+        many = found.join(F.broadcast(hot), "h")
+        each = self.tables.written(many.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("rep")))
+        kinds = each.groupBy("h").agg((F.count("*") == 1).alias("same"))
+        rows = join_hot(many, self.tables.written(each.join(F.broadcast(kinds), "h")), ["h", "c"], "times", found.count())
+        at = F.when(F.struct("key", "start") == F.col("rep"), 1).otherwise(2)
+        return told.unionByName(rows.filter("times > 1 or not same").select(*row, "same", "times", at.alias("at")))
 
     def read(self) -> DataFrame:
         """h, c, times, bytes of every distinct context that may repeat in part, each read once."""
-        length, total = self.length, self.distinct.count()
-        wants = self.distinct.select(F.col("rep.key").alias("key"), F.struct("h", "c", "times", "rep.start", "rep.n").alias("want")).groupBy("key").agg(F.collect_list("want").alias("wants"))
+        length = self.length
+        wants = self.mixed.filter("at = 1").select("key", F.struct("h", "c", "times", "start", "n").alias("want")).groupBy("key").agg(F.collect_set("want").alias("wants"))
 
         def cut(parts):
             for part in parts:
@@ -280,11 +306,9 @@ class Repeats:
                     text = memoryview(text.as_buffer())
                     yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in own], pa.int64()) for c in ("h", "c", "times")] + [pa.array([bytes(text[w["start"] : w["start"] + w["n"] + length - 1]) for w in own], pa.binary())], ["h", "c", "times", "bytes"])
 
-        few = total <= BROADCAST_ROWS
-        joined = self.keyed.join(F.broadcast(wants), "key") if few else self.keyed.dropDuplicates(["key"]).join(wants, "key")
-        cut_out = joined.select("text", "wants").mapInArrow(cut, "h long, c long, times long, bytes binary")
-        # repeated rows have one key, so a context may have been read more than once
-        return self.tables.written(cut_out.dropDuplicates(["h", "c"]) if few else cut_out)
+        # repeated rows have one key
+        texts = self.keyed.dropDuplicates(["key"])
+        return self.tables.written(texts.join(wants, "key").select("text", "wants").mapInArrow(cut, "h long, c long, times long, bytes binary"))
 
     def places(self, parts: DataFrame, groups: bool, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
         """What repeats of the parts (h, c, times, bytes): with groups every occurrence of every maximal repeat, else merged spans.
@@ -341,7 +365,7 @@ class Repeats:
     def occurrences(self, groups: bool) -> DataFrame:
         """group, key, start, end of all that repeats, in every text."""
         partly = self.tables.written(self.places(self.read(), groups))
-        there = join_hot(self.mixed, partly, ["h", "c"], "times", self.mixed.count()).select("group", "key", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
+        there = join_hot(self.mixed.drop("times"), partly, ["h", "c"], "times", self.mixed.count()).select("group", "key", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
         return self.whole.select(F.col("c").alias("group"), "key", "start", (F.col("start") + F.col("n") + self.length - 1).cast("long").alias("end")).unionByName(there)
 
 

@@ -97,7 +97,9 @@ class UnitEncoder:
         # a line break before a letter or sign is a pre-token of its own, and what follows it has no space
         breaks = ["\n" if self.front and u[:1] == "\n" else "" for u in new]
         bodies = [u[len(b):] for u, b in zip(new, breaks)]
-        cores = [c if (c := u.rstrip(",.!?;:")).isalpha() else u for u in bodies]
+        # the lower case of a letter may end in a combining mark, which the tokenizer keeps together with punctuation behind it
+        whole = lambda c: c.isalpha() and (not self.lower or c.isascii() or c.lower().isalpha())
+        cores = [c if whole(c := u.rstrip(",.!?;:")) else u for u in bodies]
         tails = [u[len(c):] for u, c in zip(bodies, cores)]
         fronts = [c if b else self.front + c for c, b in zip(cores, breaks)]
         asked = [w for w in {*breaks, *fronts, *tails} if w not in self.words]

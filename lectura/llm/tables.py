@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a key needs at least to be joined apart from the others.
+HOT_ROWS = 10_000
 A_TO_Z, a_to_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,13 +53,17 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hot_limit(total: int) -> int:
+    return max(HOT_ROWS, total // 1000)
+
+
 def join_hot(many: DataFrame, few: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
     """many joined with few on keys, without a hot key's rows meeting in one task.
 
     `times` is a column of few: how many rows of many, of `total`, have the key. Keys with over a thousandth of them are at most
     a thousand, whatever the input, so their rows of few are broadcast; all others go through a shuffle.
     """
-    heavy = F.col(times) > max(10_000, total // 1000)
+    heavy = F.col(times) > hot_limit(total)
     hot = few.filter(heavy)
     if not hot.limit(1).count():
         return many.join(few, keys)

@@ -119,6 +119,8 @@ class WaveletMatrix:
         return values
 
 
+#: Bytes of text of a part, about, which is a task's work.
+PART_BYTES = 128 << 20
 #: So many shards' starts, of 20 bytes or so, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 FILE = "first_id long, part int, shard int, doc_ids array<long>, lengths array<int>, n_ids long, matrix binary"
@@ -155,20 +157,25 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
         if keys:
             yield row(len(keys))
 
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # a doc_id of many rows (or none) spreads over ranges by the rows' numbers
+    numbered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    ordered = numbered.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     ordered.mapInArrow(encode, FILE).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """A row per document from the files: its ids (little-endian uint32) and start, the ids of all documents before it.
 
-    Only the shards' sizes are ordered in one place; a shard stands for millions of ids.
+    Only the parts' sizes are ordered in one place, a row for gigabytes of text; shards are ordered within their part.
     """
     shards = spark.read.schema(FILE).parquet(path)
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("first_id", "part", "shard", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).select("part", "shard", "before")
+    sizes = shards.select("part", "shard", "n_ids")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("ahead"))
+    within = sizes.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("inside"))
+    starts = within.join(parts, "part").select("part", "shard", (F.col("ahead") + F.col("inside")).alias("before"))
 
     def decode(parts):
         for part in parts:

@@ -2,7 +2,8 @@
 
 Every host has a tree of path templates. Segments that are numbers or ids become wildcards at once. Level by level, down to
 the last segment, a child keeps a branch of its own only if the share of bad labels there differs from its siblings'; the
-others merge into a wildcard. A template is rejected when its smoothed share of bad labels exceeds the threshold.
+others merge into a wildcard, *. Of those that differ, the ones that are alike merge again: all that are worse than their
+siblings into *+, all better ones into *-, but for those that differ even there. A template is rejected when its smoothed share of bad labels exceeds the threshold.
 
 A null url, or one without ://, has an empty host and path and is judged with the template of both. Pages without label count
 as pages, not as labels; repeated labels of a page count once (bad wins). Repeated rows are judged alike, an empty table
@@ -41,29 +42,41 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
 def segments(path: Column) -> Column:
     """The segments of a path, numbers and ids as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shape = lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]"), "{id}").otherwise(s)
+    own = lambda s: F.when(s.rlike(r"^[*{\\\\]"), F.concat(F.lit("\\"), s)).otherwise(s)  # noqa: E731  what looks like a wildcard
+    shape = lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]"), "{id}").otherwise(own(s))
     return F.transform(parts, shape)
 
 
+def unlike(labelled: Column, bad: Column, all_labelled: Column, all_bad: Column, z: float) -> tuple[Column, Column]:
+    """Whether a branch's share of bad labels differs from that of the rest of all, and whether it is higher.
+
+    Both shares are drawn to that of all by one label, as the variance has it: a branch without labels differs from nothing.
+    """
+    rest, rest_bad = all_labelled - labelled, all_bad - bad
+    share = (all_bad + 1) / (all_labelled + 2)
+    gap = (bad + share) / (labelled + 1) - (rest_bad + share) / (rest + 1)
+    return F.abs(gap) > z * F.sqrt(share * (1 - share) * (1 / (labelled + 1) + 1 / (rest + 1))), gap > 0
+
+
 def path_templates(paths: DataFrame, z: float) -> DataFrame:
     """paths (host, segs, n, labelled, bad) with the template each falls under.
 
     A level costs aggregations that combine before they shuffle and joins on (host, template, segment); a hot host is many keys.
     A path alone under its template meets no siblings further down, so it ends there with the rest of its segments.
-    Both shares are drawn to the parent's by one label, as the variance has it: a branch without labels differs from nothing.
     """
     left, done, level = paths.withColumn("template", F.lit("")), [], 0
     while True:
         here = left.withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
         children = here.groupBy("host", "template", "seg").agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
         parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("paths", "n", "labelled", "bad")))
-        judged = children.join(parents, ["host", "template"])
-        rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-        gap = F.abs((F.col("bad") + share) / (F.col("labelled") + 1) - (rest_bad + share) / (rest + 1))
-        differs = gap > z * F.sqrt(share * (1 - share) * (1 / (F.col("labelled") + 1) + 1 / (rest + 1)))
-        own = (F.col("seg") == "") | F.startswith("seg", F.lit("{")) | (F.col("n") == F.col("all_n")) | differs
-        branch = judged.select("host", "template", "seg", F.when(own, F.col("seg")).otherwise("*").alias("branch"), (F.col("all_paths") == 1).alias("alone"))
+        differs, worse = unlike(F.col("labelled"), F.col("bad"), F.col("all_labelled"), F.col("all_bad"), z)
+        fixed = (F.col("seg") == "") | F.startswith("seg", F.lit("{")) | (F.col("n") == F.col("all_n"))
+        sort = F.when(fixed, "fixed").when(~differs, "*").when(worse, "*+").otherwise("*-")
+        sorted_ = children.join(parents, ["host", "template"]).withColumn("sort", sort)
+        peers = sorted_.filter("sort in ('*+', '*-')").groupBy("host", "template", "sort").agg(F.count("*").alias("peers"), *(F.sum(c).alias(f"peer_{c}") for c in ("labelled", "bad")))
+        apart, _ = unlike(F.col("labelled"), F.col("bad"), F.col("peer_labelled"), F.col("peer_bad"), z)
+        own = (F.col("sort") == "fixed") | F.coalesce((F.col("peers") == 1) | apart, F.lit(False))
+        branch = sorted_.join(peers, ["host", "template", "sort"], "left").select("host", "template", "seg", F.when(own, F.col("seg")).otherwise(F.col("sort")).alias("branch"), (F.col("all_paths") == 1).alias("alone"))
         joined = here.join(branch, ["host", "template", "seg"])
         ahead = F.array_join(F.transform(F.slice("segs", F.lit(level + 1), F.size("segs")), lambda s: F.concat(F.lit("/"), s)), "")
         template = F.when(F.col("branch") == "", F.col("template")).when(F.col("alone"), F.concat("template", ahead)).otherwise(F.concat("template", F.lit("/"), "branch"))

@@ -217,15 +217,16 @@ def test_foreign_texts_and_junk_with_letters_are_rejected(spark):
 def test_top_k_like_brute_force(spark):
     r = np.random.default_rng(5)
     rows = [(i, [float(x) for x in r.normal(size=8).astype(np.float32)]) for i in range(200)]
-    rows += [(200, rows[3][1]), (201, None), (202, [None] * 8), (203, [float("nan")] * 8), (204, [1.0] * 7), (3, rows[3][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    v = {i: np.floor(1024 * np.array(e, np.float32).astype(float)).astype(int) for i, e in rows if e and None not in e and not np.isnan(e).any()}
+    rows += [(200, rows[3][1]), (201, None), (202, [None] * 8), (203, [float("nan")] * 8), (204, [1.0] * 7), (205, []), (3, rows[3][1]), (3, rows[9][1]), (50, rows[7][1]), (None, rows[1][1])]
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "vec_id long, embedding array<float>, row int, score int")
+    v = [(i, np.floor(1024 * np.array(e, np.float32).astype(float)).astype(int)) for i, e in rows if i is not None and e is not None and None not in e and not np.isnan(e).any()]
     want = []
-    for q in (0, 50, 100, 150, 200):
-        best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q])))[:10]
-        want += [(q, k + 1, c, -score) for k, (score, c) in enumerate(best)]
+    for n, (q, own) in enumerate(v):
+        if q % 50 == 0:  # each row of a vec_id is a query, and a candidate of the others
+            best = sorted((-int(own @ e), c, m) for m, (c, e) in enumerate(v) if m != n and len(e) == len(own))[:10]
+            want += [(q, k + 1, c, -score) for k, (score, c, _) in enumerate(best)]
     got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in top_k(df, F.col("vec_id") % 50 == 0, chunk=32, block=2).collect())
-    assert got == want
+    assert got == sorted(want)
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
