@@ -24,12 +24,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component (five words, a similarity of 0.8) the document of the least doc_id stays; of repeated rows one."""
-    found = written(near_duplicates(docs, shingle=5, percent=80))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    stay = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return stay.dropDuplicates(["doc_id", "text"]) if again else stay
+    """Of each component (five words, a similarity of 0.8) the document of the least doc_id stays; of its repeated rows one.
+
+    Rows are told apart by doc_id and text, so that a doc_id of several texts loses only those that are near duplicates. Rows
+    without words all stay.
+    """
+    found = near_duplicates(docs, shingle=5, percent=80)
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keys = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "first", (F.col("n_shingles") > 0).alias("worded"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_t"))
+    gone = keys.filter("not first").select("_d", "_t").distinct()
+    again = keys.filter("first and worded").groupBy("_d", "_t").agg(F.count("*").alias("n")).filter("n > 1").select("_d", "_t")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    gone, again = small(written(gone)), written(again)
+    stay = hashed.join(gone, same, "left_anti")
+    if not again.limit(1).count():
+        return stay.select(*docs.columns)
+    again = small(again)
+    repeated = stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return stay.join(again, same, "left_anti").unionByName(repeated).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +71,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No stage but the fourth can be said in SQL; tests hold each against a brute-force version.
+#: No stage but the fourth can be said in SQL; tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
