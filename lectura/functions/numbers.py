@@ -10,8 +10,7 @@ from .text import ascii_lower, let, trimmed
 # The words of the number language.
 WORDS = {"a": 1, "an": 1, "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 FRACTIONS = {"¼": 1 / 4, "½": 1 / 2, "¾": 3 / 4, "⅓": 1 / 3, "⅔": 2 / 3, "⅛": 1 / 8, "⅜": 3 / 8, "⅝": 5 / 8, "⅞": 7 / 8}
-CJK_DIGITS = "〇零一二三四五六七八九壱弐参"
-CJK_VALUES = "0012345678" + "9123"
+CJK_DIGITS = {"〇": 0, "零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "壱": 1, "弐": 2, "参": 3}
 PLACES = {"十": 10, "百": 100, "千": 1000}
 MYRIADS = {"兆": 1e12, "億": 1e8, "万": 1e4}
 
@@ -84,9 +83,9 @@ def english_number(text: Column) -> Column:
 def cjk_section(text: Column) -> Column:
     """Up to 千: a digit before a place multiplies it; with 〇 or 零 the digits are positional."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    digits = F.translate(text, CJK_DIGITS, CJK_VALUES)
+    digits = F.translate(text, "".join(CJK_DIGITS), "".join(map(str, CJK_DIGITS.values())))
     positional = F.when(text.rlike("[〇零]") & digits.rlike("^[0-9]+$"), digits.try_cast("double"))
-    value = _table(dict(zip(CJK_DIGITS, map(float, CJK_VALUES))))
+    value = _table(CJK_DIGITS)
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1.0).alias("digit"), F.lit(10000.0).alias("place"), F.lit(True).alias("ok"))
 
     def step(acc, c):

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import number
+from .numbers import WORDS, number
 from .readings import quantity, reading
 from .text import let
-from .units import unit_of
+from .units import meant, unit_of
 
 NUMBER = r"[+-]?[0-9.][0-9.,_]*(?: ?[¼½¾⅓⅔⅛⅜⅝⅞])?"
 CJK = r"[〇零一二三四五六七八九壱弐参十百千万億兆0-9.,]+"
@@ -20,10 +20,20 @@ CJK = r"[〇零一二三四五六七八九壱弐参十百千万億兆0-9.,]+"
 SHAKU, SUN, KEN, TATAMI, TSUBO = 10.0 / 33.0, 1.0 / 33.0, 60.0 / 33.0, 1.62, 400.0 / 121.0
 
 
+#: Ways to write the number before a unit: digits, digits grouped by blanks, with large units, CJK numerals, words.
+HEADS = (
+    r"[+-]?[0-9]{1,3}(?:[ \u00a0\u202f\u2009][0-9]{3})+(?:[.,][0-9]+)?",
+    r"[0-9][0-9.,]*[万億兆][0-9〇零一二三四五六七八九壱弐参十百千万億兆.,]*",
+    NUMBER,
+    r"[〇零一二三四五六七八九壱弐参十百千万億兆]+",
+    rf"(?i:(?:(?:{'|'.join([*WORDS, 'hundred', 'thousand', 'and'])})[ -])*(?:{'|'.join([*WORDS, 'hundred', 'thousand'])})(?= ))",
+)
+NUMBER_UNIT = rf"^({'|'.join(HEADS)}) *([^0-9.,_\s+-].*)$"
+
+
 def split_number_unit(text: Column) -> tuple[Column, Column]:
     """The number a text begins with and the rest; empty where it doesn't begin with one."""
-    pattern = rf"^({NUMBER}) *([^0-9.,_\s+-].*)$"
-    return F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    return F.regexp_extract(text, NUMBER_UNIT, 1), F.regexp_extract(text, NUMBER_UNIT, 2)
 
 
 def registered(value: Column, unit: Column) -> Column:
@@ -31,6 +41,18 @@ def registered(value: Column, unit: Column) -> Column:
     return let(unit, lambda u: F.when(u.isNotNull(), read(u)))
 
 
+def typo_corrected(value: Column, token: Column, strictness: str, registry: tuple[str, ...] | None) -> Column:
+    """A number with a misspelt unit: the unit meant, where one spelling is near enough. Unless forgiving, that needs a confirmation."""
+    def told(m: Column) -> Column:
+        fits = m.isNotNull() & value.isNotNull()
+        if strictness != "forgiving":
+            return reading("refused", fits, code="TYPO_CORRECTED", suggestion=m["unit"])
+        read = quantity(value * m["factor"], m["canonical"], m["dimension"], 0.82, approximate=m["approximate"], code="TYPO_CORRECTED", suggestion=m["unit"])
+        return F.when(fits, read)
+
+    return let(meant(token, registry), told)
+
+
 def compound(text: Column, number_format: str = "auto") -> Column:
     """Two or more pairs of number and unit of one dimension, in falling order, each below the unit above it: their sum.
 

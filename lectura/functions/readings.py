@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import let
 
-FIELDS = {"kind": "string", "value": "double", "unit": "string", "dimension": "string", "date": "string", "low": "double", "high": "double", "approximate": "boolean", "confidence": "double", "code": "string", "others": "array<double>"}
+FIELDS = {"kind": "string", "value": "double", "unit": "string", "dimension": "string", "date": "string", "low": "double", "high": "double", "approximate": "boolean", "confidence": "double", "code": "string", "others": "array<double>", "timezone": "string", "dates": "array<string>", "suggestion": "string"}
 DDL = "struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">"
 
 

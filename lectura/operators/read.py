@@ -42,6 +42,9 @@ UPPER_BOUND = r"(?i)^(?:less than|under|below|up to|at most|最大|上限|≤|<)
 ENDS = r"^(?:between (.+) and (.+)|from (.+) to (.+)|(.+?) ?[〜～~] ?(.+)|(.+?) (?:to|\.\.) (.+)|(.*?[0-9]) ?- ?([0-9].*))$"
 AROUND = r"^(.+?) ?(?:±|\+/-|\+-) ?(.+)$"
 
+# Words for temperatures and their ranges in degrees Celsius, where a column holds temperatures.
+TEMPERATURES = ((("暑い",), 27.0, 35.0), (("暖か",), 20.0, 27.0), (("寒い",), 0.0, 10.0), (("hot",), 27.0, 35.0), (("warm",), 20.0, 27.0), (("cold",), 0.0, 10.0))
+
 
 class Heads:
     """Collects texts to be read by one expensive expression, which then stands once, over an array column of all of them."""
@@ -80,6 +83,7 @@ def single(text: Column, unit: Column, whole: Column, ctx: Context, num, formatt
     none = reading("number", F.lit(False))
     reference = F.lit(ctx.reference_date).cast("date")
     order = {
+        "slash_fraction": lambda: F.when(whole, times.slash_fraction(text, reference, ctx.locale, num)),
         "slash_date": lambda: F.when(whole, times.slash_date(text, ctx.locale)),
         "date": lambda: times.relative_date(text, reference),
         "japanese_length": lambda: quantities.japanese_length(text, num),
@@ -89,7 +93,7 @@ def single(text: Column, unit: Column, whole: Column, ctx: Context, num, formatt
         "compound": lambda: F.when(whole, quantities.compound(text, ctx.number_format)) if ctx.compounds else none,
         "metric_idiom": lambda: quantities.metric_idiom(text, num),
         "registered": lambda: quantities.registered(formatted(head), unit),
-        "zoned_clock": lambda: times.zoned_clock(text),
+        "zoned_clock": lambda: times.zoned_clock(text, reference),
         "clock": lambda: times.clock(text),
         "duration": lambda: times.duration(text),
         "feet_inches": lambda: quantities.feet_inches(text, num),
@@ -97,6 +101,8 @@ def single(text: Column, unit: Column, whole: Column, ctx: Context, num, formatt
         "currency": lambda: money.currency(text, formatted),
         "ambiguous_number": lambda: F.when(whole, ambiguous_number(text, ctx)),
         "number": lambda: let(formatted(text), lambda n: reading("number", n.isNotNull(), value=n, confidence=0.99)),
+        "typo_corrected": lambda: quantities.typo_corrected(formatted(head), F.when(unit.isNull(), tail), ctx.strictness, ctx.registry),
+        "unsupported_zone": lambda: times.unsupported_zone(text),
     }
     return F.coalesce(*[grammar() for name, grammar in order.items() if ctx.only is None or name in ctx.only])
 
@@ -135,6 +141,10 @@ def fuzzy(text: Column, ctx: Context, unit) -> Column:
     """A few of a unit is two to four; further terms come from the context."""
     few = unit(F.regexp_extract(text, r"(?i)^a few (.+)$", 1))
     out = reading("range", few.isNotNull(), low=2.0 * few["factor"], high=4.0 * few["factor"], unit=few["canonical"], dimension=few["dimension"], approximate=True, confidence=0.648, code="APPROXIMATION")
+    if "temperature" in ctx.dimensions:
+        for words, low, high in TEMPERATURES:
+            warm = F.lower(text).rlike("|".join(words))
+            out = F.coalesce(out, reading("range", warm, low=low, high=high, unit="C", dimension="temperature", approximate=True, confidence=0.612, code="APPROXIMATION"))
     for term, low, high, unit_name, dimension in ctx.fuzzy_terms:
         out = F.coalesce(out, reading("range", F.lower(text) == term.lower(), low=low, high=high, unit=unit_name, dimension=dimension, approximate=True, confidence=0.612, code="APPROXIMATION"))
     return out

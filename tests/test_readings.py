@@ -51,6 +51,57 @@ def test_nulls_blanks_and_unreadable_texts_have_defined_readings(spark):
     assert rows[0].reading is None and rows[1].reading.code == "EMPTY" and rows[2].reading.code == "NO_VALUE"
 
 
+VARIED = {
+    # words, numerals and grouping before a unit
+    "twenty-five kg": ("quantity", 25.0, "kg", None), "two hundred and five km": ("quantity", 205000.0, "m", None),
+    "五キログラム": ("quantity", 5.0, "kg", None), "百二十平方メートル": ("quantity", 120.0, "m2", None),
+    "3万5000 m": ("quantity", 35000.0, "m", None), "1 234,56 m": ("quantity", 1234.56, "m", None), "an hour": ("quantity", 3600.0, "s", None),
+    # misspelt units
+    "12 metrs": ("quantity", 12.0, "m", "TYPO_CORRECTED"), "3 kilogrmos": ("quantity", 3.0, "kg", "TYPO_CORRECTED"),
+    "7 kilomètres": ("quantity", 7000.0, "m", "TYPO_CORRECTED"), "7 minites": ("quantity", 420.0, "s", "TYPO_CORRECTED"),
+    "5 pouunds": ("quantity", 2.26796185, "kg", "TYPO_CORRECTED"), "10平目": ("quantity", 10.0, "m2", "TYPO_CORRECTED"),
+    "8 heurs": ("quantity", 28800.0, "s", "TYPO_CORRECTED"), "5 zzzzzz": ("none", None, None, "NO_VALUE"), "5 €€": ("none", None, None, "NO_VALUE"),
+    # durations and clocks with zones
+    "an hour and a half": ("quantity", 5400.0, "s", None), "9:00 Asia/Tokyo": ("quantity", 0.0, "s", None),
+    "3pm America/New_York": ("quantity", 68400.0, "s", None), "3pm Mars/Olympus": ("refused", None, None, "TIMEZONE_UNSUPPORTED"),
+    "5pm UTC+5:30": ("quantity", 41400.0, "s", None), "5pm UTC+25": ("none", None, None, "NO_VALUE"),
+}
+
+
+def test_varied_texts_read(spark):
+    df = spark.createDataFrame([(t,) for t in VARIED], "text string")
+    got = {r.text: r.reading for r in read(df, "text", Context(reference_date="2026-07-19")).collect()}
+    for text, (kind, value, unit, code) in VARIED.items():
+        r = got[text]
+        assert (r.kind, r.unit, r.code) == (kind, unit, code), (text, r)
+        assert r.value == (None if value is None else pytest.approx(value)), (text, r)
+    strict = read(df.filter("text = '12 metrs'"), "text", Context(strictness="strict")).first().reading
+    assert (strict.kind, strict.code, strict.suggestion) == ("refused", "TYPO_CORRECTED", "m")
+
+
+def test_dates_in_several_languages(spark):
+    want = {
+        "mañana": "2026-07-20", "pasado mañana": "2026-07-21", "vendredi prochain": "2026-07-24", "sexta-feira que vem": "2026-07-24", "demain": "2026-07-20",
+        "明後日": "2026-07-21", "一昨日": "2026-07-17", "来週金曜日": "2026-07-24", "今週金曜日": "2026-07-24", "先週金曜日": "2026-07-17", "后天": "2026-07-21",
+        "下周五": "2026-07-24", "next sunday": "2026-07-26", "this sunday": "2026-07-19", "last sunday": "2026-07-12", "next lunes": "2026-07-20", "next year": None,
+    }
+    assert column(spark, want, lambda t: times.relative_date(t, F.lit("2026-07-19").cast("date"))["date"]) == list(want.values())
+
+
+def test_slash_texts_are_fractions_that_may_be_dates(spark):
+    reads = lambda locale: column(spark, ["5/6", "5/25", "2/31", "4/0", "x/2"], lambda t: times.slash_fraction(t, F.lit("2026-07-19").cast("date"), locale))
+    told = [(r.value, r.dates) if r else None for r in reads(None)]
+    assert told == [(pytest.approx(5 / 6), ["2026-05-06", "2026-06-05"]), (0.2, ["2026-05-25"]), None, None, None]
+    assert reads("en-GB")[0].dates == ["2026-06-05", "2026-05-06"]
+
+
+def test_fuzzy_temperatures_need_the_dimension(spark):
+    df = spark.createDataFrame([("warm",), ("とても寒い",), ("7",)], "text string")
+    got = {r.text: (r.reading.low, r.reading.high) for r in read(df, "text", Context(dimensions=("temperature",), only=("number",))).collect()}
+    assert got == {"warm": (20.0, 27.0), "とても寒い": (0.0, 10.0), "7": (None, None)}
+    assert {r.reading.kind for r in read(df, "text", Context(only=("number",))).collect()} == {"none", "number"}
+
+
 def test_a_stream_reads_like_a_batch(spark, tmp_path):
     spark.createDataFrame([("5 cm",), ("7 kg",)], "text string").write.parquet(str(tmp_path / "in"))
     ctx = Context(only=("registered",), ranges=False, conversions=False, fuzzy=False)
