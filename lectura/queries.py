@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.render import describe, humanize
+from .operators.complete import complete, complete_readings
 from .operators.extract import extract
 from .operators.policy import accepts, canonicalize, issues
 from .operators.read import Context, read, suggestions
+from .operators.views import message, summary_json
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -235,3 +238,132 @@ def hostile_documents(spark, sf_dir):
     """Whole documents are no quantities; each still gets a reading or a finding."""
     df = texted(spark, sf_dir, "documents", "doc_id", F.col("text"), narrow("registered", "temperature", "currency", "number")).filter("text is not null")
     return df.select("id", (F.col("reading.value").isNotNull() | F.col("reading.code").isNotNull()).alias("told"))
+
+
+def literal(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def cases(name: str, rows: list[tuple], columns: str, run) -> None:
+    """A query over fixed texts: the first column of each row is the text, the others what comes of it."""
+
+    def over(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(spark.createDataFrame([(r[0],) for r in rows], "text string"))
+
+    over.__name__ = name
+    QUERIES[name] = over
+    names = columns.replace(" ", "").split(",")
+    told = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    ORACLE_SQL[name] = f"SELECT * FROM (VALUES {told}) AS v({', '.join(names)})"
+
+
+def fields_of(ctx: Context, *fields: str):
+    field = lambda f: F.round(f"reading.{f}", 6) if f in ("value", "low", "high") else F.col(f"reading.{f}")
+    return lambda df: read(df, "text", ctx).select("text", *[field(f).alias(f) for f in fields])
+
+
+DAY = "2026-07-19"
+#: Numbers of one to fifty in words and in CJK numerals.
+TENS = ["", "", "twenty", "thirty", "forty", "fifty"]
+SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+
+
+def in_words(n: int) -> str:
+    return SMALL[n] if n < 20 else TENS[n // 10] + (f"-{SMALL[n % 10]}" if n % 10 else "")
+
+
+def in_cjk(n: int) -> str:
+    digits = "〇一二三四五六七八九"
+    return ("" if n < 20 else digits[n // 10]) + ("十" if n >= 10 else "") + (digits[n % 10] if n % 10 else "")
+
+
+def spelled(spell) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for n in range(1, 51) for x in (n, spell(n))]), F.col("p_size"))
+
+
+def by_size(name: str, text, sql: str, ctx: Context, *fields: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return told(texted(spark, sf_dir, "part", "p_partkey", text(), ctx), *fields)
+
+    run.__name__ = name
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+by_size("worded_head", lambda: F.concat(spelled(in_words), F.lit(" kg")), "SELECT p_partkey AS id, 'quantity' AS kind, p_size * 1.0::DOUBLE AS value, 'kg' AS unit FROM part", UNIT, "kind", "value", "unit")
+by_size("cjk_head", lambda: F.concat(spelled(in_cjk), F.lit("キログラム")), "SELECT p_partkey AS id, 'quantity' AS kind, p_size * 1.0::DOUBLE AS value, 'kg' AS unit FROM part", UNIT, "kind", "value", "unit")
+by_size("spaced_group", lambda: F.format_string("%d %03d,5 m", F.col("p_partkey") % 900 + 1, F.col("p_size")), "SELECT p_partkey AS id, 'quantity' AS kind, ((p_partkey % 900 + 1) * 1000 + p_size + 0.5)::DOUBLE AS value, 'm' AS unit FROM part", UNIT, "kind", "value", "unit")
+by_size("typo_unit", lambda: F.concat(s("p_size"), F.lit(" metrs")), "SELECT p_partkey AS id, 'quantity' AS kind, p_size * 1.0::DOUBLE AS value, 'm' AS unit, 'TYPO_CORRECTED' AS code, 'm' AS suggestion FROM part", narrow("registered", "typo_corrected"), "kind", "value", "unit", "code", "suggestion")
+by_size("typo_refused", lambda: F.concat(s("p_size"), F.lit(" minites")), "SELECT p_partkey AS id, 'refused' AS kind, NULL::DOUBLE AS value, 'TYPO_CORRECTED' AS code, 'min' AS suggestion FROM part", narrow("registered", "typo_corrected", strictness="confirm"), "kind", "value", "code", "suggestion")
+by_size(
+    "slash_fraction", lambda: F.concat((F.col("p_size") % 12 + 1).cast("string"), F.lit("/"), (F.col("p_partkey") % 28 + 1).cast("string")),
+    "SELECT p_partkey AS id, 'number' AS kind, round((p_size % 12 + 1)::DOUBLE / (p_partkey % 28 + 1), 6) AS value, 'AMBIGUOUS_DATE' AS code FROM part", narrow("slash_fraction", reference_date=DAY), "kind", "value", "code",
+)
+by_size("region_clock", lambda: F.concat((F.col("p_size") % 24).cast("string"), F.lit(":30 Asia/Tokyo")), "SELECT p_partkey AS id, 'quantity' AS kind, (((p_size % 24) * 3600 + 1800 - 32400 + 86400) % 86400)::DOUBLE AS value, 'UTC' AS timezone FROM part", narrow("zoned_clock", reference_date=DAY), "kind", "value", "timezone")
+by_size("unresolved_zone", lambda: F.concat((F.col("p_size") % 24).cast("string"), F.lit(":30 Mars/Olympus")), "SELECT p_partkey AS id, 'refused' AS kind, 'TIMEZONE_UNSUPPORTED' AS code FROM part", narrow("zoned_clock", "unsupported_zone", reference_date=DAY), "kind", "code")
+
+cases(
+    "dates_in_languages",
+    [(t, "date", d) for t, d in (
+        ("mañana", "2026-07-20"), ("pasado mañana", "2026-07-21"), ("demain", "2026-07-20"), ("amanhã", "2026-07-20"), ("明天", "2026-07-20"), ("后天", "2026-07-21"), ("明後日", "2026-07-21"), ("一昨日", "2026-07-17"), ("昨日", "2026-07-18"),
+        ("vendredi prochain", "2026-07-24"), ("lundi prochain", "2026-07-20"), ("sexta-feira que vem", "2026-07-24"), ("domingo que vem", "2026-07-26"), ("来週月曜日", "2026-07-20"), ("今週金曜日", "2026-07-24"), ("先週日曜日", "2026-07-12"), ("下周五", "2026-07-24"),
+        ("next wed", "2026-07-22"), ("this sunday", "2026-07-19"), ("last tues", "2026-07-14"), ("in 45 days", "2026-09-02"), ("200 days ago", "2025-12-31"), ("3日後", "2026-07-22"), ("2日前", "2026-07-17"),
+    )] + [("next year", "none", None), ("prochain", "none", None)],
+    "text, kind, date", fields_of(narrow("date", reference_date=DAY), "kind", "date"),
+)
+cases(
+    "misspelt_units",
+    [("12 metrs", 12.0, "m"), ("3 kilogrmos", 3.0, "kg"), ("5 quilometors", 5000.0, "m"), ("7 kilomètres", 7000.0, "m"), ("2 meterrs", 2.0, "m"), ("3 kilomters", 3000.0, "m"), ("4 litrs", 4.0, "L"), ("5 pouunds", 2.267962, "kg"), ("6 onces", 0.170097, "kg"), ("7 minites", 420.0, "s"), ("8 heurs", 28800.0, "s"), ("9 metrez", 9.0, "m"), ("10平目", 10.0, "m2"), ("5 zzzzz", None, None), ("5 €€", None, None)],
+    "text, value, unit", fields_of(narrow("registered", "typo_corrected"), "value", "unit"),
+)
+cases(
+    "fuzzy_temperature", [("warm", "range", 20.0, 27.0), ("really COLD", "range", 0.0, 10.0), ("暑いです", "range", 27.0, 35.0), ("mild", "none", None, None)],
+    "text, kind, low, high", fields_of(narrow("number", fuzzy=True, dimensions=("temperature",)), "kind", "low", "high"),
+)
+cases("duration_phrases", [("an hour and a half", 5400.0), ("one hour and a half", 5400.0), ("an hour", 3600.0), ("two hours", 7200.0), ("90 min", 5400.0)], "text, value", fields_of(narrow("registered", "duration"), "value"))
+
+
+@query("SELECT p_partkey AS id, regexp_replace((p_size * 0.0254::DOUBLE)::VARCHAR, '\\.0$', '') || ' m' AS told, 'lectura.quantity' AS object, 6 AS n_fields FROM part")
+def humanized(spark, sf_dir):
+    df = read(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(s("p_size"), F.lit(" in")).alias("text")), "text", UNIT)
+    view = describe(F.col("reading"))
+    return df.select("id", humanize(F.col("reading")).alias("told"), view["object"].alias("object"), F.size(view["fields"]).alias("n_fields"))
+
+
+cases(
+    "humanized_japanese", [("1.6060606060606062 m", "5尺3寸 (approx.)"), ("9.72 m2", "6帖 (approx.)"), ("9.917355371900827 m2", "3坪 (approx.)"), ("0.1 m", "0.1 m"), ("20 kg", "20 kg"), ("1e5 m", "unresolved")],
+    "text, told", lambda df: read(df, "text", UNIT).select("text", humanize(F.col("reading"), "ja").alias("told")),
+)
+cases(
+    "summary_json",
+    [
+        ("5 kg", '{"ok":true,"input":"5 kg","best":{"kind":"quantity","value":5,"unit":"kg","dimension":"mass"},"issues":[]}'),
+        ("0.1 mm", '{"ok":true,"input":"0.1 mm","best":{"kind":"quantity","value":0.0001,"unit":"m","dimension":"length"},"issues":[]}'),
+        ('a "b"\\', '{"ok":false,"input":"a \\"b\\"\\\\","best":null,"issues":[{"code":"NO_VALUE","severity":"error","rank":100,"ref_text":"a \\"b\\"\\\\"}]}'),
+        ("", '{"ok":false,"input":"","best":null,"issues":[{"code":"EMPTY","severity":"error","rank":100,"ref_text":""}]}'),
+    ],
+    "text, json", lambda df: read(df, "text", UNIT).select("text", summary_json(F.col("text"), F.col("reading")).alias("json")),
+)
+cases(
+    "repair_messages",
+    [("5 kg", None), ("no", "[NO_VALUE] width: no supported reading matched at `no`."), ("7 minites", "[TYPO_CORRECTED] width: the unit's spelling was corrected at `7 minites`. Did you mean `min`?".replace("'", "''"))],
+    "text, message", lambda df: read(df, "text", narrow("registered", "typo_corrected", strictness="strict")).select("text", message(F.lit("width"), F.col("text"), F.col("reading"), "strict").alias("message")),
+)
+QUERIES["completions"] = lambda spark, sf_dir: complete(spark.createDataFrame([("5 tat",), ("NOO",), ("来週木",), ("x",)], "text string"), "text").select("text", "value", "kind", F.round("score", 6).alias("score"), "rank")
+ORACLE_SQL["completions"] = "SELECT text, value, kind, round(0.6 + CASE WHEN a = b THEN 0.4 ELSE 0.4 * a / b END, 6)::DOUBLE AS score, 1 AS rank FROM (VALUES ('5 tat', 'tatami', 'unit', 3, 6), ('NOO', 'noon', 'time', 3, 4), ('来週木', '来週木曜日', 'date', 9, 15)) AS v(text, value, kind, a, b)"
+
+
+@query("SELECT p_partkey AS id, u.offer_unit AS unit, round(p_size * u.factor, 6) AS value FROM part, (VALUES ('m2', 1.0), ('ft2', 0.09290304), ('acre', 4046.8564224), ('ha', 10000.0)) AS u(offer_unit, factor) UNION ALL SELECT p_partkey, 'best', p_size * 1.0 FROM part")
+def completed_readings(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), s("p_size").alias("text"))
+    told_ = complete_readings(df, "text", narrow("number", dimensions=("area",)))
+    return told_.select("id", F.when(F.col("reason") == "best", "best").otherwise(F.element_at(F.split("offer", " "), 2)).alias("unit"), F.round("reading.value", 6).alias("value"))
+
+
+@query(
+    "SELECT p_partkey AS id, '幅' || p_size || 'mm' IS NOT NULL AS told, p_size || 'mm' AS text, 1 AS char_start, 3::BIGINT AS start, (3 + length(p_size::VARCHAR) + 2)::BIGINT AS \"end\", 'length' AS hint, NULL::VARCHAR AS code, round(p_size * 0.001, 6) AS value FROM part "
+    "UNION ALL SELECT p_partkey, true, '3640', length(p_size::VARCHAR) + 6, (length(p_size::VARCHAR) + 14)::BIGINT, (length(p_size::VARCHAR) + 18)::BIGINT, 'length', 'UNIT_ASSUMED', 3640.0 FROM part"
+)
+def editor_places(spark, sf_dir):
+    """Matches with their places in characters and bytes, and a number that only its label makes a length."""
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("幅"), s("p_size"), F.lit("mm、高さ3640, beam12 7")).alias("note"))
+    return extract(df, "note").select("id", F.lit(True).alias("told"), "text", "char_start", "start", "end", "hint", "reading.code", F.round("reading.value", 6).alias("value"))

@@ -1,20 +1,24 @@
 """Readings of small texts, and the registered queries against their SQL."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from lectura.functions import numbers, times
+from lectura.functions.render import exact_number, rounded_number
 from lectura.functions.text import normalized
 from lectura.operators.policy import accepts
 from lectura.operators.read import Context, read
+from lectura.operators.views import input_schema, locale_tag, matches_json, output_schema, read_json, strictness_tag, tool_schema, unreadable
 from lectura.queries import ORACLE_SQL, QUERIES
 from lectura.sources.registry import ROWS
 from lectura.streaming.read import read_stream
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["flagship", "registered_length", "range_hyphen", "iso_date", "suggested_units", "canonical_batch", "editor_extract"]
+QUICK = ["flagship", "registered_length", "range_hyphen", "iso_date", "suggested_units", "canonical_batch", "editor_extract", "editor_places", "completions", "completed_readings", "humanized_japanese", "summary_json", "repair_messages", "misspelt_units", "dates_in_languages"]
 
 
 def column(spark, texts, expression):
@@ -111,6 +115,28 @@ def test_a_stream_reads_like_a_batch(spark, tmp_path):
     assert sorted(r.v for r in spark.sql("select reading.value v from told").collect()) == [0.05, 7.0]
 
 
+def test_exact_numbers(spark):
+    want = {0.1: "0.1", -0.0: "0", 1e23: "1" + "0" * 23, 2e23: "2" + "0" * 23, 1e-7: "0.0000001", -2.5: "-2.5", 1 / 3: "0.3333333333333333", 2.0**70: "1180591620717411300000", float("inf"): "unrepresentable"}
+    df = spark.createDataFrame([(v,) for v in want], "v double").select("v", exact_number(F.col("v")).alias("t"), rounded_number(F.col("v")).alias("r"))
+    rows = {r.v: r for r in df.collect()}
+    assert {v: rows[v].t for v in want} == want
+    assert rows[1 / 3].r == "0.333333" and rows[1e-7].r == "0"
+
+
+def test_json_of_matches_and_tags(spark):
+    df = spark.createDataFrame([(1, "幅3640 and 2、 é 5 m"), (2, "nothing"), (None, None)], "id int, note string")
+    got = {r.id: json.loads(r.json) for r in matches_json(df, "id", "note").collect()}
+    assert [(m["text"], m["byteStart"], m["byteEnd"], m["charStart"], m["charEnd"]) for m in got[1]] == [("3640", 3, 7, 1, 5), ("5 m", 20, 23, 15, 18)]
+    assert [m["parsed"]["issues"][0]["code"] for m in got[1] if m["parsed"]["issues"]] == ["TRAILING_INPUT"]
+    assert got[2] == [] and got[None] == []
+    texts = spark.createDataFrame([("5 kg",), ("5 m\x80",)], "text string")
+    told = lambda **tags: {r.text: json.loads(r.json) for r in read_json(texts, "text", **tags).collect()}
+    assert told(dimensions="mass, nope")["5 kg"]["best"]["value"] == 5
+    assert not told()["5 kg"]["ok"] and told(dimensions="nope")["5 kg"]["issues"][0]["code"] == "REJECTED_BY_POLICY"
+    assert locale_tag("en-UK") == "en-GB" and strictness_tag("x") == "forgiving" and unreadable("nope") and not unreadable(" ")
+    assert all(json.loads(x()) for x in (input_schema, output_schema, tool_schema))
+
+
 def same(spark, name, sql, run):
     con = duckdb.connect()
     for t in "part orders lineitem events documents".split():
