@@ -44,7 +44,9 @@ def _spelled(ascii_: bool, registry: tuple[str, ...] | None) -> list[dict]:
 
 
 def meant(token: Column, registry: tuple[str, ...] | None = None) -> Column:
-    """The unit that a misspelt token means: the nearest spelling, the registry's first among equals; null for a known one.
+    """The unit that a misspelt token means: the nearest spelling, the registry's first among equals.
+
+    Null for the spelling of a unit that the registry leaves out; that isn't misspelt. Spellings it has are the caller's to skip.
 
     ASCII spellings share the token's first letter and are one edit away, two if the token has over five bytes. Others are one
     edit away, two if they have over two characters, and only correct tokens of two to eight characters with a letter beyond ASCII.
@@ -70,4 +72,5 @@ def meant(token: Column, registry: tuple[str, ...] | None = None) -> Column:
         lambda a: F.levenshtein(a, t),
         lambda x: x["d"].between(1, F.when(x["n"] <= 2, 1).otherwise(2)),
     )
-    return F.when(unit_of(token).isNull() & (t != ""), F.coalesce(F.when(size <= 32, plain), F.when((beyond > 0) & n.between(2, 8), wide)))
+    unknown = F.lit(True) if registry is None else unit_of(token).isNull()
+    return F.when(unknown & (t != ""), F.coalesce(F.when(size <= 32, plain), F.when((beyond > 0) & n.between(2, 8), wide)))

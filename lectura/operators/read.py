@@ -180,24 +180,27 @@ def with_unit(texts: DataFrame, token: str, ctx: Context, custom: DataFrame | No
 def read(df: DataFrame, column: str, ctx: Context = Context(), custom: DataFrame | None = None) -> DataFrame:
     """df with a struct column `reading`: what each text says, a code where it is doubtful, and null fields where it says nothing.
 
-    Distinct texts are read once and joined back; a null text reads as null. A blank text has the code EMPTY, an unreadable
-    one NO_VALUE, one outside the context's dimensions REJECTED_BY_POLICY.
+    Distinct texts are read once and joined back by their MD5, so long texts are no keys; a null text reads as null. A blank text
+    has the code EMPTY, an unreadable one NO_VALUE, one outside the context's dimensions REJECTED_BY_POLICY. A column of df that
+    is named reading is replaced; no other name clashes.
     """
-    texts = df.select(F.col(column).alias("_text")).filter(F.col(column).isNotNull()).distinct().withColumn("_norm", normalized(F.col("_text")))
+    given = df.select(F.col(column).alias("_text")).filter(F.col(column).isNotNull()).distinct()
+    texts = given.select(F.md5("_text").alias("_key"), normalized(F.col("_text")).alias("_norm"))
     nothing = reading("none", F.lit(True), code=F.when(F.col("_norm") == "", "EMPTY").otherwise("NO_VALUE"))
     if not (ctx.ranges or ctx.fuzzy or ctx.conversions):
         told = singles(texts, "_norm", F.lit(True), ctx, custom).withColumn("reading", F.coalesce("_single", nothing))
     else:
-        rows = texts.select("_text", "_norm", F.explode(parts(F.col("_norm"), ctx)).alias("_p")).select("_text", "_norm", "_p.role", "_p.part")
+        rows = texts.select("_key", F.explode(parts(F.col("_norm"), ctx)).alias("_p")).select("_key", "_p.role", "_p.part")
         each = singles(rows, "part", F.col("role") == "whole", ctx, custom)
         roles = ["whole", "left", "right", "centre", "delta", "top", "inner"]
         of_role = [F.max_by(F.when(F.col("role") == r, F.col("_single")), F.col("role") == r).alias(f"_{r}") for r in roles]
-        whole = each.groupBy("_text").agg(F.first("_norm").alias("_norm"), *of_role)
+        whole = each.groupBy("_key").agg(F.max(F.when(F.col("role") == "whole", F.col("part"))).alias("_norm"), *of_role)
         num, unit = Heads("_numbers"), Heads("_units")
         first = F.coalesce(combined(F.col("_norm"), {r: F.col(f"_{r}") for r in roles}, ctx, num, unit), nothing)
         told = unit.read(num.read(whole, lambda h: number(h)), lambda t: unit_of(t)).withColumn("reading", first)
-    told = told.select("_text", judged(F.col("reading"), ctx).alias("reading"))
-    return df.join(told, df[column] == told["_text"], "left").drop("_text")
+    told = told.select("_key", judged(F.col("reading"), ctx).alias("reading"))
+    rest = df.drop("reading") if column != "reading" else df
+    return rest.join(told, F.md5(rest[column]) == told["_key"], "left").drop(told["_key"])
 
 
 def judged(r: Column, ctx: Context) -> Column:
@@ -217,11 +220,12 @@ def suggestions(texts: DataFrame, column: str) -> DataFrame:
     One edit for tokens of up to five letters, two for longer ones; the nearest wins, then the first in the registry. The
     table of spellings is small and broadcast; known spellings get none.
     """
-    token = F.lower(F.regexp_extract(F.col(column), r"([A-Za-z]+)$", 1))
-    words = texts.select(token.alias("_w")).filter("length(_w) between 2 and 32").distinct()
+    token = lambda c: F.lower(F.regexp_extract(c, r"([A-Za-z]+)$", 1))
+    words = texts.select(token(F.col(column)).alias("_w")).filter("length(_w) between 2 and 32").distinct()
     spelled = F.broadcast(units(texts.sparkSession).withColumn("_alias", F.explode("aliases")).filter(F.col("_alias").rlike("^[A-Za-z]+$")).select("pos", "unit", F.lower("_alias").alias("_alias")))
     unknown = words.join(spelled, F.col("_w") == F.col("_alias"), "left_anti")
     limit = F.when(F.length("_w") <= 5, 1).otherwise(2)
     near = unknown.join(spelled, (F.substring("_w", 1, 1) == F.substring("_alias", 1, 1)) & (F.abs(F.length("_w") - F.length("_alias")) <= limit) & F.levenshtein("_w", "_alias", 2).between(1, limit))
     best = near.groupBy("_w").agg(F.min_by("unit", F.struct(F.levenshtein("_w", "_alias"), "pos")).alias("suggestion"))
-    return texts.withColumn("_w", token).join(best, "_w", "left").drop("_w")
+    rest = texts.drop("suggestion")
+    return rest.join(best, token(rest[column]) == best["_w"], "left").drop(best["_w"])

@@ -11,7 +11,7 @@ from lectura.functions import numbers, times
 from lectura.functions.render import exact_number, rounded_number
 from lectura.functions.text import normalized
 from lectura.operators.policy import accepts
-from lectura.operators.read import Context, read
+from lectura.operators.read import Context, read, suggestions
 from lectura.operators.views import input_schema, locale_tag, matches_json, output_schema, read_json, strictness_tag, tool_schema, unreadable
 from lectura.queries import ORACLE_SQL, QUERIES
 from lectura.sources.registry import ROWS
@@ -106,13 +106,20 @@ def test_fuzzy_temperatures_need_the_dimension(spark):
     assert {r.reading.kind for r in read(df, "text", Context(only=("number",))).collect()} == {"none", "number"}
 
 
+def test_clashing_columns_survive(spark):
+    df = spark.createDataFrame([("5 cm", 1, 2, 3, 4, 5, "old")], "text string, _text int, _key int, _norm int, u int, _w int, reading string")
+    row = read(df, "text", Context(only=("registered",), ranges=False, conversions=False, fuzzy=False)).first()
+    assert (row["_text"], row["_key"], row["_norm"], row["u"], row["_w"], row.reading.value) == (1, 2, 3, 4, 5, 0.05)
+    assert suggestions(df, "text").first()["_w"] == 5
+
+
 def test_a_stream_reads_like_a_batch(spark, tmp_path):
-    spark.createDataFrame([("5 cm",), ("7 kg",)], "text string").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("5 cm", 8), ("7 kg", 9)], "text string, u int").write.parquet(str(tmp_path / "in"))
     ctx = Context(only=("registered",), ranges=False, conversions=False, fuzzy=False)
-    stream = read_stream(spark.readStream.schema("text string").parquet(str(tmp_path / "in")), "text", ctx)
+    stream = read_stream(spark.readStream.schema("text string, u int").parquet(str(tmp_path / "in")), "text", ctx)
     done = stream.writeStream.format("memory").queryName("told").trigger(availableNow=True).start()
     done.awaitTermination(120)
-    assert sorted(r.v for r in spark.sql("select reading.value v from told").collect()) == [0.05, 7.0]
+    assert sorted((r.v, r.u) for r in spark.sql("select reading.value v, u from told").collect()) == [(0.05, 8), (7.0, 9)]
 
 
 def test_exact_numbers(spark):
