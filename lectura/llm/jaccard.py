@@ -31,12 +31,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import shards
 from .repeats import ODD1, ODD2, mix
-from .tables import Scratch, join_hot, written
+from .tables import Scratch, hot_limit, join_hot, written
 
 #: A-Z in lower case, the other characters that part words as spaces.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -230,6 +230,54 @@ def components(edges: DataFrame, tables: Scratch) -> DataFrame:
             return labels
 
 
+def _hot_keys(rows: DataFrame, total: int, one_in: int, tables: Scratch) -> DataFrame | None:
+    """Keys of over a thousandth of all rows, as a sample of one in so many rows shows them; a thousand or so, whatever the input.
+
+    The sample only decides how a key's rows meet, not what comes of them.
+    """
+    hot = tables.written(rows.groupBy("key").count().filter(F.col("count") > hot_limit(total) // one_in).select("key"))
+    return hot if hot.limit(1).count() else None
+
+
+def _entries(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode(F.arrays_zip("keys", "reach")).alias("e"), "sig", "n").select(F.col("e.keys").alias("key"), "sig", "n", F.col("e.reach").alias("reach"))
+
+
+def _lists(sets: DataFrame, tables: Scratch) -> DataFrame:
+    """key, sig, n, reach, centre: the entries that could have a partner in their list, with the member of the farthest reach.
+
+    Of two linked sets the smaller one reaches beyond its own size, so a list without such an entry links nothing. One shuffle by
+    key; hot keys are summed up before they shuffle, and their few sums broadcast.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    entries = _entries(sets)
+    hot = _hot_keys(_entries(sets.filter(F.pmod(F.xxhash64("sig"), F.lit(64)) == 0)), total, 64, tables)
+    far = F.struct((-F.col("reach") * 1000 / F.col("n")).cast("int"), F.xxhash64("sig"), "sig", "n", "reach")
+    of_list = {"long": F.count("*"), "reaches": F.max("reach"), "least": F.min("n"), "over": F.max(F.col("reach") - F.col("n")), "far": F.min(far)}
+    one = Window.partitionBy("key")
+    rest = entries if hot is None else entries.join(F.broadcast(hot), "key", "left_anti")
+    listed = rest.select("key", "sig", "n", "reach", *[v.over(one).alias(k) for k, v in of_list.items()])
+    if hot is not None:
+        many = entries.join(F.broadcast(hot), "key")
+        sums = tables.written(many.groupBy("key").agg(*[v.alias(k) for k, v in of_list.items()]))
+        listed = listed.unionByName(many.join(F.broadcast(sums), "key"))
+    centre = F.struct("far.sig", "far.n", "far.reach").alias("centre")
+    return listed.filter("long > 1 and over >= 0 and n <= reaches and reach >= least").select("key", "sig", "n", "reach", centre)
+
+
+def _apart(labelled: DataFrame, tables: Scratch) -> DataFrame:
+    """The entries of lists with several labels, with the label that most of a list's entries have."""
+    hot = _hot_keys(labelled.filter(F.pmod(F.xxhash64("sig"), F.lit(64)) == 0), labelled.count(), 64, tables)
+    one, each = Window.partitionBy("key"), Window.partitionBy("key", "label")
+    rest = labelled if hot is None else labelled.join(F.broadcast(hot), "key", "left_anti")
+    told = rest.withColumn("many", F.count("*").over(each)).select("key", "sig", "n", "reach", "label", F.max(F.struct("many", "label")).over(one).alias("most"), (F.min("label").over(one) < F.max("label").over(one)).alias("several"))
+    if hot is not None:
+        many = labelled.join(F.broadcast(hot), "key")
+        sums = many.groupBy("key", "label").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "label")).alias("most"), (F.count("*") > 1).alias("several"))
+        told = told.unionByName(many.join(F.broadcast(tables.written(sums)), "key"))
+    return told.filter("several").select("key", "sig", "n", "reach", "label", F.col("most.label").alias("largest"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs, and text_hash (xxhash64 of the text) and first.
 
@@ -247,12 +295,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, tables: Scratc
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     of_sig = [F.min(named).alias("rep"), F.count("*").alias("times"), F.max("n").alias("n"), *(F.first(c).alias(c) for c in ("profile", "keys", "reach"))]
     sets = tables.written(members.filter("n > 0").groupBy("sig").agg(*of_sig))
-    entries = sets.select(F.explode(F.arrays_zip("keys", "reach")).alias("e"), "sig", "n").select(F.col("e.keys").alias("key"), "sig", "n", F.col("e.reach").alias("reach"))
-    far = F.struct((-F.col("reach") * 1000 / F.col("n")).cast("int"), F.xxhash64("sig"))
-    of_key = [F.count("*").alias("long"), F.max("reach").alias("reaches"), F.min("n").alias("least"), F.max(F.col("reach") - F.col("n")).alias("over"), F.min_by(F.struct("sig", "n", "reach"), far).alias("centre")]
-    # of two linked sets the smaller one reaches beyond its own size
-    lists = entries.groupBy("key").agg(*of_key).filter("long > 1 and over >= 0").drop("long", "over")
-    listed = tables.written(entries.join(lists, "key").filter("n <= reaches and reach >= least").select("key", "sig", "n", "reach", "centre"))
+    listed = tables.written(_lists(sets, tables))
 
     within = lambda m, of_m, n, of_n: (F.col(n) <= F.col(of_m)) & (F.col(m) <= F.col(of_n))
     chosen = listed.filter((F.col("sig") != F.col("centre.sig")) & within("n", "reach", "centre.n", "centre.reach")).groupBy("sig").agg(F.array_distinct(F.collect_list("centre.sig")).alias("partners"))
@@ -279,10 +322,8 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, tables: Scratc
 
     edges = linked_of(first)
     labels = components(edges, tables)
-    placed = tables.written(listed.select("key", "sig", "n", "reach").join(labels, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "reach", F.coalesce("label", "sig").alias("label")))
-    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("many"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", "many").alias("largest")).filter("labels > 1")
-    apart = tables.written(placed.join(largest.select("key", "largest"), "key"))
+    labelled = listed.select("key", "sig", "n", "reach").join(labels, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "reach", F.coalesce("label", "sig").alias("label"))
+    apart = tables.written(_apart(tables.written(labelled), tables))
     outside = apart.filter("label <> largest").select("key", F.col("sig").alias("x"), F.col("n").alias("m"), F.col("reach").alias("of_m"), F.col("label").alias("other"))
     second = outside.join(apart, "key").filter((F.col("other") != F.col("label")) & within("m", "of_m", "n", "reach")).select(F.least("sig", "x").alias("a"), F.greatest("sig", "x").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = linked_of(second)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"\s\s")
 #: Entries of a worker's cache; beyond them it starts anew, so its memory stays bounded.
-CACHE = 700_000
+CACHE = 500_000
 
 
 def path_of(name: str) -> str:
@@ -60,7 +60,6 @@ class UnitEncoder:
         self.tokenizer, self.front = Tokenizer.from_file(path_of(name)), " " if mode == "space" else ""
         self.model, self.lower = self.tokenizer.model, mode == "dropped"
         self.table = byte_characters()
-        self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -89,14 +88,11 @@ class UnitEncoder:
 
     def _ids(self, units: list[str]) -> list[bytes]:
         """Ids of each unit that follows another. Letters and ASCII punctuation behind them are two pre-tokens, whose ids are kept by themselves."""
-        if len(self.units) > CACHE:
-            self.units.clear()
         if len(self.words) > CACHE:
             self.words.clear()
-        new = [u for u in units if u not in self.units]
         # a line break before a letter or sign is a pre-token of its own, and what follows it has no space
-        breaks = ["\n" if self.front and u[:1] == "\n" else "" for u in new]
-        bodies = [u[len(b):] for u, b in zip(new, breaks)]
+        breaks = ["\n" if self.front and u[:1] == "\n" else "" for u in units]
+        bodies = [u[len(b):] for u, b in zip(units, breaks)]
         # the lower case of a letter may end in a combining mark, which the tokenizer keeps together with punctuation behind it
         whole = lambda c: c.isalpha() and (not self.lower or c.isascii() or c.lower().isalpha())
         cores = [c if whole(c := u.rstrip(",.!?;:")) else u for u in bodies]
@@ -105,8 +101,7 @@ class UnitEncoder:
         asked = [w for w in {*breaks, *fronts, *tails} if w not in self.words]
         self.words.update(zip(asked, self._encode_words(asked)))
         words = self.words
-        self.units.update((u, words[b] + words[f] + words[t]) for u, b, f, t in zip(new, breaks, fronts, tails))
-        return [self.units[u] for u in units]
+        return [words[b] + words[f] + words[t] for b, f, t in zip(breaks, fronts, tails)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [bool(self.front) and bool(ODD_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace()) for t in texts]
