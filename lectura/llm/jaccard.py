@@ -31,12 +31,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import shards
 from .repeats import ODD1, ODD2, mix
-from .tables import Scratch, hot_limit, join_hot, written
+from .tables import Scratch, hot_limit, is_one_of, join_hot, written
 
 #: A-Z in lower case, the other characters that part words as spaces.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -230,13 +230,12 @@ def components(edges: DataFrame, tables: Scratch) -> DataFrame:
             return labels
 
 
-def _hot_keys(rows: DataFrame, total: int, one_in: int, tables: Scratch) -> DataFrame | None:
-    """Keys of over a thousandth of all rows, as a sample of one in so many rows shows them; a thousand or so, whatever the input.
+def _is_hot(rows: DataFrame, total: int, one_in: int) -> Column:
+    """Whether a row's key has over a thousandth of all rows, as a sample of one in so many shows; such keys are a thousand or so.
 
     The sample only decides how a key's rows meet, not what comes of them.
     """
-    hot = tables.written(rows.groupBy("key").count().filter(F.col("count") > hot_limit(total) // one_in).select("key"))
-    return hot if hot.limit(1).count() else None
+    return is_one_of(rows.groupBy("key").count().filter(F.col("count") > hot_limit(total) // one_in), "key")
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -251,30 +250,26 @@ def _lists(sets: DataFrame, tables: Scratch) -> DataFrame:
     """
     total = sets.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     entries = _entries(sets)
-    hot = _hot_keys(_entries(sets.filter(F.pmod(F.xxhash64("sig"), F.lit(64)) == 0)), total, 64, tables)
+    hot = _is_hot(_entries(sets.filter(F.pmod(F.xxhash64("sig"), F.lit(64)) == 0)), total, 64)
     far = F.struct((-F.col("reach") * 1000 / F.col("n")).cast("int"), F.xxhash64("sig"), "sig", "n", "reach")
     of_list = {"long": F.count("*"), "reaches": F.max("reach"), "least": F.min("n"), "over": F.max(F.col("reach") - F.col("n")), "far": F.min(far)}
     one = Window.partitionBy("key")
-    rest = entries if hot is None else entries.join(F.broadcast(hot), "key", "left_anti")
-    listed = rest.select("key", "sig", "n", "reach", *[v.over(one).alias(k) for k, v in of_list.items()])
-    if hot is not None:
-        many = entries.join(F.broadcast(hot), "key")
-        sums = tables.written(many.groupBy("key").agg(*[v.alias(k) for k, v in of_list.items()]))
-        listed = listed.unionByName(many.join(F.broadcast(sums), "key"))
+    few = entries.filter(~hot).select("key", "sig", "n", "reach", *[v.over(one).alias(k) for k, v in of_list.items()])
+    many = entries.filter(hot)
+    sums = tables.written(many.groupBy("key").agg(*[v.alias(k) for k, v in of_list.items()]))
+    listed = few.unionByName(many.join(F.broadcast(sums), "key"))
     centre = F.struct("far.sig", "far.n", "far.reach").alias("centre")
     return listed.filter("long > 1 and over >= 0 and n <= reaches and reach >= least").select("key", "sig", "n", "reach", centre)
 
 
 def _apart(labelled: DataFrame, tables: Scratch) -> DataFrame:
     """The entries of lists with several labels, with the label that most of a list's entries have."""
-    hot = _hot_keys(labelled.filter(F.pmod(F.xxhash64("sig"), F.lit(64)) == 0), labelled.count(), 64, tables)
+    hot = _is_hot(labelled.filter(F.pmod(F.xxhash64("sig"), F.lit(64)) == 0), labelled.count(), 64)
     one, each = Window.partitionBy("key"), Window.partitionBy("key", "label")
-    rest = labelled if hot is None else labelled.join(F.broadcast(hot), "key", "left_anti")
-    told = rest.withColumn("many", F.count("*").over(each)).select("key", "sig", "n", "reach", "label", F.max(F.struct("many", "label")).over(one).alias("most"), (F.min("label").over(one) < F.max("label").over(one)).alias("several"))
-    if hot is not None:
-        many = labelled.join(F.broadcast(hot), "key")
-        sums = many.groupBy("key", "label").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "label")).alias("most"), (F.count("*") > 1).alias("several"))
-        told = told.unionByName(many.join(F.broadcast(tables.written(sums)), "key"))
+    told = labelled.filter(~hot).withColumn("many", F.count("*").over(each)).select("key", "sig", "n", "reach", "label", F.max(F.struct("many", "label")).over(one).alias("most"), (F.min("label").over(one) < F.max("label").over(one)).alias("several"))
+    many = labelled.filter(hot)
+    sums = many.groupBy("key", "label").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "label")).alias("most"), (F.count("*") > 1).alias("several"))
+    told = told.unionByName(many.join(F.broadcast(tables.written(sums)), "key"))
     return told.filter("several").select("key", "sig", "n", "reach", "label", F.col("most.label").alias("largest"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import merge, shards
-from .tables import Scratch, hot_limit, join_hot, written
+from .tables import Scratch, hot_limit, is_one_of, join_hot, written
 
 GRAM = 32
 #: Positions of a scan's piece fit so many bits; longer texts are scanned in overlapping pieces.
@@ -276,9 +276,8 @@ class Repeats:
         """
         limit, one_in = hot_limit(found.count()), 64
         drawn = found.filter(F.pmod(F.xxhash64("key", "start"), F.lit(one_in)) == 0).groupBy("h").count()
-        hot = self.tables.written(drawn.filter(F.col("count") > limit // one_in).select("h"))
-        any_hot = hot.limit(1).count() > 0
-        rest = found.join(F.broadcast(hot), "h", "left_anti") if any_hot else found
+        hot = is_one_of(drawn.filter(F.col("count") > limit // one_in), "h")
+        rest = found.filter(~hot)
         of_h, of_c = Window.partitionBy("h"), Window.partitionBy("h", "c")
         row = ["h", "c", "key", "start", "n"]
         told = (
@@ -286,9 +285,7 @@ class Repeats:
             .filter("all > 1")
             .select(*row, "same", F.count("*").over(of_c).alias("times"), F.row_number().over(of_c.orderBy("key", "start")).alias("at"))
         )
-        if not any_hot:
-            return told
-        many = found.join(F.broadcast(hot), "h")
+        many = found.filter(hot)
         each = self.tables.written(many.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("rep")))
         kinds = each.groupBy("h").agg((F.count("*") == 1).alias("same"))
         rows = join_hot(many, self.tables.written(each.join(F.broadcast(kinds), "h")), ["h", "c"], "times", found.count())

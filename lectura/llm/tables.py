@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a key needs at least to be joined apart from the others.
@@ -57,18 +57,22 @@ def hot_limit(total: int) -> int:
     return max(HOT_ROWS, total // 1000)
 
 
+def is_one_of(hot: DataFrame, *keys: str) -> Column:
+    """Whether a row's keys are among those of hot, which are known to be some thousand at most: as a list of their hashes.
+
+    Another key of the same hash counts as hot too, which is why both sides of a join have to be parted by this.
+    """
+    return F.xxhash64(*keys).isin([r[0] for r in hot.select(F.xxhash64(*keys)).distinct().collect()])
+
+
 def join_hot(many: DataFrame, few: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
     """many joined with few on keys, without a hot key's rows meeting in one task.
 
     `times` is a column of few: how many rows of many, of `total`, have the key. Keys with over a thousandth of them are at most
     a thousand, whatever the input, so their rows of few are broadcast; all others go through a shuffle.
     """
-    heavy = F.col(times) > hot_limit(total)
-    hot = few.filter(heavy)
-    if not hot.limit(1).count():
-        return many.join(few, keys)
-    others = many.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_anti").join(few.filter(~heavy), keys)
-    return many.join(F.broadcast(hot), keys).unionByName(others)
+    hot = is_one_of(few.filter(F.col(times) > hot_limit(total)), *keys)
+    return many.filter(hot).join(F.broadcast(few.filter(hot)), keys).unionByName(many.filter(~hot).join(few.filter(~hot), keys))
 
 
 def lower_ascii(col):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectura.llm import decontaminate, jaccard, packing, repeats, tables, token_counts, token_files
 from lectura.llm.chat_format import fold, format_chats
 from lectura.llm.decontaminate import contamination
-from lectura.llm.language_id import identify
+from lectura.llm.language_id import identify, labelled_sample
 from lectura.llm.subwords import UnitEncoder, path_of
 from lectura.llm.topk import top_k
 from lectura.llm.url_filter import judge_urls
@@ -294,6 +294,23 @@ def test_language_is_learnt_and_odd_texts_are_rejected(spark):
     assert identify(df.limit(0)).count() == 0
 
 
+def test_languages_of_held_out_documents(spark):
+    from lectura.llm.queries import op6_language_id
+
+    sf = "/root/testdata/sf0.01"
+    told = op6_language_id(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").filter("lang is not null").select("doc_id", "lang"), "doc_id").collect()
+    assert len(told) > 100 and np.mean([r.lang == r.lang_pred for r in told]) >= 0.97
+    assert np.mean([r.rejected for r in told]) <= 0.03
+
+
+def test_the_labelled_sample_is_bounded(spark):
+    """Rows of one doc_id, or equal rows, are drawn like others."""
+    same = spark.createDataFrame([(7, "abc abc", "xx")] * 500 + [(None, f"text {i}", "yy") for i in range(500)], "doc_id long, text string, lang string")
+    texts, langs = labelled_sample(same, 20, 100, 500)
+    assert Counter(langs) == {"xx": 20, "yy": 20} and len(texts) == 40
+    assert Counter(labelled_sample(same, 20, 100, 1)[1]) == {"xx": 20}
+
+
 def test_foreign_texts_and_junk_with_letters_are_rejected(spark):
     kinds = {"ww": "abcd ", "xx": "efgh ", "yy": "ijkl ", "zz": "mnop "}
     known = [(i, "".join(random.Random(i).choices(kinds[lang], k=300)), lang) for i, lang in enumerate(sorted(kinds) * 100)]
@@ -344,6 +361,70 @@ def test_urls_get_rules_and_templates(spark):
     assert judge_urls(pages.limit(0), labels).count() == 0
 
 
+def unlike(labelled, bad, all_labelled, all_bad, z=2.0):
+    rest, rest_bad, share = all_labelled - labelled, all_bad - bad, (all_bad + 1) / (all_labelled + 2)
+    gap = (bad + share) / (labelled + 1) - (rest_bad + share) / (rest + 1)
+    return abs(gap) > z * (share * (1 - share) * (1 / (labelled + 1) + 1 / (rest + 1))) ** 0.5, gap > 0
+
+
+def templates(paths, level=0):
+    """paths: {segments: (pages, labelled, bad)} of one template; the template's rest for each."""
+    if len(paths) == 1:
+        return {p: "".join(f"/{s}" for s in p[level:]) for p in paths}
+    total = lambda rows: [sum(c) for c in zip(*rows)]
+    children = {}
+    for p, row in paths.items():
+        children.setdefault(p[level] if level < len(p) else "", []).append((p, row))
+    of_all, sums = total(paths.values()), {seg: total(r for _, r in own) for seg, own in children.items()}
+    sort = {}
+    for seg, (n, labelled, bad) in sums.items():
+        differs, worse = unlike(labelled, bad, *of_all[1:])
+        sort[seg] = "fixed" if seg == "" or seg.startswith("{") or n == of_all[0] else "*" if not differs else "*+" if worse else "*-"
+    branches = {}
+    for seg, (n, labelled, bad) in sums.items():
+        peers = [sums[x] for x in sums if sort[x] == sort[seg]]
+        own = sort[seg] == "fixed" or sort[seg] != "*" and (len(peers) == 1 or unlike(labelled, bad, *total(peers)[1:])[0])
+        branches.setdefault(seg if own else sort[seg], {}).update(dict(children[seg]))
+    out = {}
+    for branch, own in branches.items():
+        out |= {p: "" for p in own} if branch == "" else {p: f"/{branch}{rest}" for p, rest in templates(own, level + 1).items()}
+    return out
+
+
+def test_templates_like_a_plain_tree(spark):
+    r = random.Random(12)
+    rows, labels = [], {}
+    for i in range(1500):
+        host = r.choice(["h.com", "i.org"])
+        segs = [r.choice(["news", "blog", "spam", "junk", "*", "{n}"])] + [r.choice(["a", "b", "c", str(r.randint(1, 99)), "deadbeef01"]) for _ in range(r.randint(0, 4))]
+        rows.append((i, f"http://{host}/" + "/".join(segs)))
+        if r.random() < 0.6:
+            labels[i] = r.random() < (0.9 if segs[0] in ("spam", "junk") or "b" in segs[1:2] else 0.1)
+    rows += rows[:3]
+    pages = spark.createDataFrame([(*x, 1, 2) for x in rows], "page_id long, url string, n int, bad int")
+    got = judge_urls(pages, spark.createDataFrame(list(labels.items()), "page_id long, bad boolean")).collect()
+    shape = lambda s: "{n}" if s.isdigit() else "{id}" if re.fullmatch("[0-9a-fA-F-]{8,}", s) and re.search("[0-9]", s) else "\\" + s if s[0] in "*{" else s
+    cut = lambda url: (url.split("/")[2], tuple(shape(s) for s in url.split("/")[3:] if s))
+    by_host = {}
+    for i, url in rows:
+        host, segs = cut(url)
+        row = by_host.setdefault(host, {}).setdefault(segs, [0, 0, 0])
+        row[0], row[1], row[2] = row[0] + 1, row[1] + (i in labels), row[2] + bool(labels.get(i))
+    want = {(host, segs): t for host, paths in by_host.items() for segs, t in templates(paths).items()}
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.template == want[cut(dict(rows)[x.page_id])], x
+    shares = {}
+    for (host, segs), t in want.items():
+        row = shares.setdefault((host, t), [0, 0])
+        row[0], row[1] = row[0] + by_host[host][segs][1], row[1] + by_host[host][segs][2]
+    base = sum(b for _, b in shares.values()) / sum(n for n, _ in shares.values())
+    for x in got:
+        n, bad = shares[x.host, x.template]
+        assert x.badness == pytest.approx((bad + 10 * base) / (n + 10)) and x.verdict == ("block" if x.badness > 0.6 else "allow")
+    assert {"block", "allow"} == {x.verdict for x in got}
+
+
 def test_templates_reach_the_last_segment_and_small_branches(spark):
     deep = [(i, f"http://d.com/a/b/c/d/{'good' if i % 2 else 'bad'}/x/{i}") for i in range(80)]
     small = [(i, f"http://s.com/{'spam' if i < 119 else 'news'}/p{i}") for i in range(100, 300)]
