@@ -10,12 +10,15 @@ from .decontaminate import contamination
 from .jaccard import near_duplicates
 from .language_id import identify
 from .packing import pack
+from .periodic import periodic_runs
 from .repeats import without_repeats
+from .resampling import resample
 from .tables import table
 from .token_counts import token_counts
 from .token_files import token_files
 from .topk import top_k
 from .url_filter import judge_urls
+from .warc import archived
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +87,48 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_chat_format, op4_top_k, op5_decontamination, op6_language_id, op7_repeats, op8_token_counts, op9_token_files, op10_near_duplicates)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by a hash of doc_id, the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("words"), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")
+    changed = F.array_join(F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))), " ")
+    worded = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    placed = worded.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+    return placed.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # runs come by start, then period, so the first of those with the greatest exponent wins
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_chat_format, op4_top_k, op5_decontamination, op6_language_id, op7_repeats, op8_token_counts, op9_token_files, op10_near_duplicates, op11_resampling, op12_warc, op13_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {
     "op4_top_k": """
 WITH v AS (
@@ -96,6 +140,47 @@ WITH v AS (
 )
 SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
+""",
+    "op11_resampling": """
+WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)
+), texts AS (
+  SELECT 's' AS side, row_number() OVER () AS n, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), worded AS (
+  SELECT side, n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), feats AS (
+  SELECT side, n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM worded
+), counted AS (
+  SELECT side, n, f, count(*) AS k FROM feats GROUP BY ALL
+), named AS (
+  SELECT f, list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT f FROM counted)
+), bucketed AS (
+  SELECT f, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 AS bucket FROM named, crc_table
+), held AS (
+  SELECT side, n, bucket, sum(k)::BIGINT AS k FROM counted JOIN bucketed USING (f) GROUP BY ALL
+), sums AS (
+  SELECT bucket, coalesce(sum(k) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(k) FILTER (side = 't'), 0)::DOUBLE AS t FROM held GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS gain FROM sums
+), means AS (
+  SELECT n, sum(k)::BIGINT AS n_features, floor(sum(k * gain)::DOUBLE / sum(k)::DOUBLE)::BIGINT AS weight FROM held JOIN gains USING (bucket) WHERE side = 's' GROUP BY n
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM worded LEFT JOIN means USING (n) WHERE side = 's'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_words >= 20) AS total FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 25 * total // 100 THEN r END AS rank FROM ranked
+""",
+    "op12_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CASE WHEN strlen(coalesce(html, '')) >= 1000 THEN max(page_id) OVER (PARTITION BY coalesce(html, '')) ELSE page_id END AS original FROM pages
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM p
 """,
     "op3_chat_format": """
 WITH log AS (
