@@ -2,7 +2,7 @@
 
 Every record is a gzip member of its own. A reading task gets a byte range of a file, searches it for the magic of a gzip member,
 and takes a candidate for a record only if it decodes to the headers of one, whole and with the right checksum, and if what follows
-it is another member or the file's end. A task owns the records that start in its range and reads on for the last of them, so each
+it is another member or the file's end; members that are written here hold the magic at their start only. A task owns the records that start in its range and reads on for the last of them, so each
 record is read once, however a file is cut. Bytes that belong to no readable record are passed over.
 
 Of the records with equal payloads of `least` bytes or more the one with the largest page_id is a response, the others are
@@ -58,8 +58,19 @@ def record(page_id, url: str | None, html: bytes, digest: str, response: bool, o
     if not response:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(original, digest)}", f"X-Payload-Length: {len(html)}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return pack.compress(("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n") + pack.flush()
+    return member(("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n")
+
+
+def member(data: bytes) -> bytes:
+    """data as a gzip member with the magic only at its start, which makes every find of a reader a true one. Where the compressed
+    bytes happen to hold it, in one member of many megabytes, they are flushed at another place."""
+    cut = 0
+    while True:
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out = pack.compress(data[:cut]) + (pack.flush(zlib.Z_FULL_FLUSH) if cut else b"") + pack.compress(data[cut:]) + pack.flush()
+        if out.find(MAGIC, 1) < 0:
+            return out
+        cut = (cut + 997) % len(data)
 
 
 def with_originals(pages: DataFrame, least: int, scratch: Scratch) -> DataFrame:
