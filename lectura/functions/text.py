@@ -9,6 +9,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = r"[\p{IsWhite_Space}]"
 _FULL = "".join(chr(0xFF10 + i) for i in range(10)) + "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0xFF41 + i) for i in range(26))
 _HALF = "0123456789" + UPPER + LOWER
+#: Characters of no width, which are dropped.
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 # Compatibility signs and what they stand for.
 SIGNS = {"㍍": "m", "㌢": "cm", "㍉": "mm", "㌔": "km", "㌘": "g", "㎏": "kg", "㎎": "mg", "㎜": "mm", "㎝": "cm", "㎞": "km", "㏄": "cc"}
 
@@ -29,7 +31,7 @@ def trimmed(text: Column) -> Column:
 def normalized(text: Column) -> Column:
     """Full width to ASCII, wide blanks to spaces, zero width characters dropped, compatibility signs spelt out; then trimmed."""
     out = F.translate(text, _FULL + "．。＋－−–／＊×＾％\u3000\u00a0", _HALF + "..+---/**^%  ")
-    out = F.regexp_replace(out, "[​‌‍﻿]", "")
+    out = F.regexp_replace(out, f"[{ZERO_WIDTH}]", "")
     out = F.regexp_replace(out, r"([0-9][ ]*)[，、]", "$1,")
     for sign, plain in SIGNS.items():
         out = F.replace(out, F.lit(sign), F.lit(plain))

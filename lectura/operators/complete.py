@@ -31,30 +31,38 @@ CURRENCIES = (
 MOST, UNITS = 24, 12
 
 
-def vocabulary(spark: SparkSession) -> DataFrame:
-    """value, canonical, kind, dimension of every word that can complete: some 600 rows."""
-    spelled = units(spark).select(F.explode("aliases").alias("value"), F.col("unit").alias("canonical"), F.lit("unit").alias("kind"), "dimension")
+#: Rows of custom units up to which the words are broadcast; with more of them they are joined by a shuffle.
+CUSTOM_ROWS = 20_000
+
+
+def vocabulary(spark: SparkSession, custom: DataFrame | None = None) -> DataFrame:
+    """value, canonical, kind, dimension of every word that can complete: some 600 rows, and the spellings of custom units."""
+    each = units(spark) if custom is None else units(spark).unionByName(custom.select(F.lit(0).alias("pos"), "unit", "canonical", "dimension", "factor", "approximate", "aliases"))
+    spelled = each.select(F.explode("aliases").alias("value"), F.col("unit").alias("canonical"), F.lit("unit").alias("kind"), "dimension")
     rows = [(v, c, "unit", d) for v, c, d in TRADITIONAL] + [(v, None, "date", None) for v in DATES] + [(v, None, "time", "time") for v in TIMES] + [(v, c, "currency", "currency") for v, c in CURRENCIES]
     return spelled.unionByName(spark.createDataFrame(rows, spelled.schema)).distinct()
 
 
-def complete(prefixes: DataFrame, column: str, dimensions: tuple[str, ...] = (), expect: str | None = None) -> DataFrame:
+def complete(prefixes: DataFrame, column: str, dimensions: tuple[str, ...] = (), expect: str | None = None, custom: DataFrame | None = None) -> DataFrame:
     """Rows of prefixes with value, canonical, kind, dimension, score and rank: the words that the last word of a text can become.
 
     A word of the prefix itself scores 1, a longer one less the longer it is. dimensions and expect (date, number, quantity,
-    range) leave out what a field can't hold. The words are few and broadcast, and joined on their first letter.
+    range) leave out what a field can't hold. custom are units of the caller's, in the columns of units(). Every beginning of a
+    word is a key of its own, so prefixes meet words by equality; words are broadcast while the custom ones are few.
     """
     spark = prefixes.sparkSession
-    words = vocabulary(spark)
+    words = vocabulary(spark, custom)
     if dimensions:
         words = words.filter(F.col("dimension").isin(*dimensions))
     if expect in ("date", "number", "quantity"):
         words = words.filter(F.col("kind").isin({"date": ["date"], "number": [], "quantity": ["unit", "time", "currency"]}[expect]))
     low = ascii_lower(trimmed(F.col("value")))
-    words = words.select(F.struct("value", "canonical", "kind", "dimension").alias("_word"), low.alias("_low"), F.substring(low, 1, 1).alias("_first"))
+    words = words.select(F.struct("value", "canonical", "kind", "dimension").alias("_word"), low.alias("_low"))
+    begun = words.select("_word", "_low", F.explode(F.transform(F.sequence(F.lit(1), F.length("_low")), lambda n: F.substring("_low", F.lit(1), n))).alias("_begun"))
+    few = custom is None or custom.limit(CUSTOM_ROWS + 1).count() <= CUSTOM_ROWS
     last = ascii_lower(F.regexp_extract(normalized(F.col("_typed")), r"(\S+)$", 1))
     typed = prefixes.select(F.col(column).alias("_typed")).distinct().withColumn("_prefix", last)
-    near = typed.join(F.broadcast(words), (F.substring("_prefix", 1, 1) == F.col("_first")) & F.startswith("_low", F.col("_prefix")))
+    near = typed.join(F.broadcast(begun) if few else begun, F.col("_prefix") == F.col("_begun"))
     size = F.octet_length("_prefix")
     score = F.when(F.col("_low") == F.col("_prefix"), 1.0).otherwise(0.6 + 0.4 * size / F.greatest(F.octet_length("_low"), size))
     order = Window.partitionBy("_typed").orderBy(F.desc("score"), "value", "kind")
@@ -83,5 +91,8 @@ def complete_readings(texts: DataFrame, column: str, ctx: Context = Context()) -
     bare = typed.withColumn("_number", number(normalized(F.col("_typed")), ctx.number_format)).filter(F.col("_number").isNotNull())
     offered = told.select("_typed", F.explode(F.concat(best, others)).alias("o")).unionByName(bare.select("_typed", F.explode(fanned(F.col("_number"))).alias("o")))
     order = Window.partitionBy("_typed").orderBy(F.desc("score"), "offer", "pos")
-    ranked = offered.select("_typed", "o.*").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST).drop("pos")
+    # a reading that an earlier offer has too isn't offered again
+    same = Window.partitionBy("_typed", *[F.col(f"reading.{k}") for k in ("kind", "value", "unit", "date", "low", "high")]).orderBy(F.desc("score"), "pos")
+    each = offered.select("_typed", "o.*").withColumn("_again", F.row_number().over(same)).filter("_again = 1").drop("_again")
+    ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST).drop("pos")
     return texts.join(ranked, texts[column] == ranked["_typed"]).drop("_typed")

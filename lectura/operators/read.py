@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, quantities, times
@@ -46,6 +46,10 @@ AROUND = r"^(.+?) ?(?:±|\+/-|\+-) ?(.+)$"
 TEMPERATURES = ((("暑い",), 27.0, 35.0), (("暖か",), 20.0, 27.0), (("寒い",), 0.0, 10.0), (("hot",), 27.0, 35.0), (("warm",), 20.0, 27.0), (("cold",), 0.0, 10.0))
 
 
+#: Fuzzy terms up to which they are broadcast.
+BROADCAST_TERMS = 100_000
+
+
 class Heads:
     """Collects texts to be read by one expensive expression, which then stands once, over an array column of all of them."""
 
@@ -56,10 +60,22 @@ class Heads:
         self.texts.append(text)
         return F.get(F.col(self.column), F.lit(len(self.texts) - 1))
 
-    def read(self, df: DataFrame, reader) -> DataFrame:
+    def all(self, reader) -> dict[str, Column]:
+        """The array column of what reader makes of the texts, by its name; nothing if there are none."""
         if not self.texts:
-            return df
-        return df.withColumn(self.column, F.transform(F.array(*[F.coalesce(t, F.lit("")) for t in self.texts]), reader))
+            return {}
+        return {self.column: F.transform(F.array(*[F.coalesce(t, F.lit("")) for t in self.texts]), reader)}
+
+
+_built: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, *key, build):
+    """What build gives, built once in an application: expressions that name columns only serve every frame that has these."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
 
 
 def parts(text: Column, ctx: Context) -> Column:
@@ -78,7 +94,10 @@ def parts(text: Column, ctx: Context) -> Column:
 
 
 def single(text: Column, unit: Column, whole: Column, ctx: Context, num, formatted) -> Column:
-    """One value, by grammars in their order. Compounds, cups and doubtful numbers count only where they are the whole text."""
+    """One value, by grammars in their order. Compounds, cups and doubtful numbers count only where they are the whole text.
+
+    Where units are read, 5m3 is one of them and no metres and centimetres.
+    """
     head, tail = quantities.split_number_unit(text)
     none = reading("number", F.lit(False))
     reference = F.lit(ctx.reference_date).cast("date")
@@ -91,7 +110,7 @@ def single(text: Column, unit: Column, whole: Column, ctx: Context, num, formatt
         "square_metres": lambda: quantities.square_metres(text, num),
         "temperature": lambda: quantities.temperature(text, num),
         "compound": lambda: F.when(whole, quantities.compound(text, ctx.number_format)) if ctx.compounds else none,
-        "metric_idiom": lambda: quantities.metric_idiom(text, num),
+        "metric_idiom": lambda: F.when(unit.isNull() | F.lit(ctx.only is not None and "registered" not in ctx.only), quantities.metric_idiom(text, num)),
         "registered": lambda: quantities.registered(formatted(head), unit),
         "zoned_clock": lambda: times.zoned_clock(text, reference),
         "clock": lambda: times.clock(text),
@@ -145,11 +164,22 @@ def fuzzy(text: Column, ctx: Context, unit) -> Column:
         for words, low, high in TEMPERATURES:
             warm = F.lower(text).rlike("|".join(words))
             out = F.coalesce(out, reading("range", warm, low=low, high=high, unit="C", dimension="temperature", approximate=True, confidence=0.612, code="APPROXIMATION"))
-    for term, low, high, unit_name, dimension in ctx.fuzzy_terms:
-        out = F.coalesce(out, reading("range", F.lower(text) == term.lower(), low=low, high=high, unit=unit_name, dimension=dimension, approximate=True, confidence=0.612, code="APPROXIMATION"))
+    if ctx.fuzzy_terms:
+        p = F.col("_profile")
+        out = F.coalesce(out, reading("range", p.isNotNull(), low=p["low"], high=p["high"], unit=p["unit"], dimension=p["dimension"], approximate=True, confidence=0.612, code="APPROXIMATION"))
     return out
 
 
+def with_profile(texts: DataFrame, text: str, ctx: Context) -> DataFrame:
+    """Adds _profile, the context's fuzzy term that a text is: a join, so that a plan doesn't grow with the terms."""
+    first: dict[str, tuple] = {}
+    for term, *rest in ctx.fuzzy_terms:
+        first.setdefault(term.lower(), (term.lower(), *map(float, rest[:2]), *rest[2:]))
+    terms = texts.sparkSession.createDataFrame(list(first.values()), "term string, low double, high double, unit string, dimension string")
+    keyed = terms.select(F.col("term").alias("_term"), F.struct("low", "high", "unit", "dimension").alias("_profile"))
+    return texts.join(F.broadcast(keyed) if len(first) <= BROADCAST_TERMS else keyed, F.lower(text) == F.col("_term"), "left").drop("_term")
+
+
 def ambiguous_number(text: Column, ctx: Context) -> Column:
     if ctx.number_format != "auto":
         return reading("number", F.lit(False))
@@ -159,12 +189,15 @@ def ambiguous_number(text: Column, ctx: Context) -> Column:
 
 def singles(rows: DataFrame, text: str, whole: Column, ctx: Context, custom: DataFrame | None = None) -> DataFrame:
     """rows with `_single`, the single value that the column `text` holds."""
-    num, formatted = Heads("_numbers"), Heads("_formatted")
-    keyed = with_unit(rows.withColumn("_token", quantities.split_number_unit(F.col(text))[1]), "_token", ctx, custom)
-    read_ = single(F.col(text), F.col("u"), whole, ctx, num, formatted)
-    keyed = num.read(keyed, lambda h: number(h))
-    keyed = formatted.read(keyed, lambda h: number(h, ctx.number_format))
-    return keyed.withColumn("_single", read_).drop("_token", "u", "_numbers", "_formatted")
+
+    def build():
+        num, formatted = Heads("_numbers"), Heads("_formatted")
+        read_ = single(F.col(text), F.col("u"), whole, ctx, num, formatted)
+        return read_, num.all(lambda h: number(h)) | formatted.all(lambda h: number(h, ctx.number_format)), quantities.split_number_unit(F.col(text))[1]
+
+    read_, heads, token = once(rows.sparkSession, "single", text, str(whole), ctx, build=build)
+    keyed = with_unit(rows.withColumn("_token", token), "_token", ctx, custom)
+    return keyed.withColumns(heads).withColumn("_single", read_).drop("_token", "u", "_numbers", "_formatted")
 
 
 def with_unit(texts: DataFrame, token: str, ctx: Context, custom: DataFrame | None = None) -> DataFrame:
@@ -177,7 +210,7 @@ def with_unit(texts: DataFrame, token: str, ctx: Context, custom: DataFrame | No
     return joined.withColumn("u", F.coalesce("_exact", "_any")).drop("_a", "_b", "_exact", "_any")
 
 
-def read(df: DataFrame, column: str, ctx: Context = Context(), custom: DataFrame | None = None) -> DataFrame:
+def read(df: DataFrame, column: str, ctx: Context = Context(), custom: DataFrame | None = None, judge_dimensions: bool = True) -> DataFrame:
     """df with a struct column `reading`: what each text says, a code where it is doubtful, and null fields where it says nothing.
 
     Distinct texts are read once and joined back by their MD5, so long texts are no keys; a null text reads as null. A blank text
@@ -190,24 +223,32 @@ def read(df: DataFrame, column: str, ctx: Context = Context(), custom: DataFrame
     if not (ctx.ranges or ctx.fuzzy or ctx.conversions):
         told = singles(texts, "_norm", F.lit(True), ctx, custom).withColumn("reading", F.coalesce("_single", nothing))
     else:
-        rows = texts.select("_key", F.explode(parts(F.col("_norm"), ctx)).alias("_p")).select("_key", "_p.role", "_p.part")
+        spark = df.sparkSession
+        rows = texts.select("_key", F.explode(once(spark, "parts", ctx, build=lambda: parts(F.col("_norm"), ctx))).alias("_p")).select("_key", "_p.role", "_p.part")
         each = singles(rows, "part", F.col("role") == "whole", ctx, custom)
         roles = ["whole", "left", "right", "centre", "delta", "top", "inner"]
         of_role = [F.max_by(F.when(F.col("role") == r, F.col("_single")), F.col("role") == r).alias(f"_{r}") for r in roles]
         whole = each.groupBy("_key").agg(F.max(F.when(F.col("role") == "whole", F.col("part"))).alias("_norm"), *of_role)
-        num, unit = Heads("_numbers"), Heads("_units")
-        first = F.coalesce(combined(F.col("_norm"), {r: F.col(f"_{r}") for r in roles}, ctx, num, unit), nothing)
-        told = unit.read(num.read(whole, lambda h: number(h)), lambda t: unit_of(t)).withColumn("reading", first)
-    told = told.select("_key", judged(F.col("reading"), ctx).alias("reading"))
+        if ctx.fuzzy and ctx.fuzzy_terms:
+            whole = with_profile(whole, "_norm", ctx)
+
+        def build():
+            num, unit = Heads("_numbers"), Heads("_units")
+            first = F.coalesce(combined(F.col("_norm"), {r: F.col(f"_{r}") for r in roles}, ctx, num, unit), nothing)
+            return first, num.all(lambda h: number(h)) | unit.all(lambda t: unit_of(t))
+
+        first, heads = once(spark, "combined", ctx, build=build)
+        told = whole.withColumns(heads).withColumn("reading", first)
+    told = told.select("_key", judged(F.col("reading"), ctx, judge_dimensions).alias("reading"))
     rest = df.drop("reading") if column != "reading" else df
     return rest.join(told, F.md5(rest[column]) == told["_key"], "left").drop(told["_key"])
 
 
-def judged(r: Column, ctx: Context) -> Column:
+def judged(r: Column, ctx: Context, judge_dimensions: bool = True) -> Column:
     """Policies over a reading: no infinities, only the dimensions asked for, and nothing approximate under strict."""
     wild = F.coalesce(F.abs(r["value"]) == float("inf"), F.lit(False)) | F.coalesce(F.isnan(r["value"]), F.lit(False))
     out = F.when(wild, reading("none", F.lit(True), code="NO_VALUE")).otherwise(r)
-    if ctx.dimensions:
+    if ctx.dimensions and judge_dimensions:
         out = F.when(r["dimension"].isNotNull() & ~r["dimension"].isin(*ctx.dimensions), reading("refused", F.lit(True), code="REJECTED_BY_POLICY")).otherwise(out)
     if ctx.strictness == "strict":
         out = F.when(r["approximate"], reading("refused", F.lit(True), code="APPROXIMATION")).otherwise(out)
