@@ -50,7 +50,8 @@ def _separated(spaced: Column, number_format: str) -> Column:
         return F.when(spaced.rlike(western) | spaced.rlike(indian), _cast(no_comma)).when(~F.contains(spaced, F.lit(",")), plain)
     both = F.contains(spaced, F.lit(",")) & F.contains(spaced, F.lit("."))
     return (
-        F.when(spaced.rlike(western) | spaced.rlike(indian), _cast(no_comma))
+        F.when(spaced.rlike("^[0-9]+$"), spaced.try_cast("double"))
+        .when(spaced.rlike(western) | spaced.rlike(indian), _cast(no_comma))
         .when(both & spaced.rlike(european), _cast(comma_decimal))
         .when(spaced.rlike(r"^[+-]?[0-9]{1,3}(\.[0-9]{3}){2,}$"), _cast(no_dot))
         .when(~F.contains(spaced, F.lit(".")) & spaced.rlike(single_comma), _cast(comma_decimal))
@@ -121,7 +122,9 @@ def number(text: Column, number_format: str = "auto") -> Column:
 def _number(t: Column, number_format: str) -> Column:
     cjk = F.when(t.rlike("^[〇零一二三四五六七八九壱弐参十百千]+$"), cjk_section(t))
     words = F.when(t.rlike("(?i)^[a-z][a-z -]*$"), english_number(t))
-    return F.coalesce(F.when(t.rlike("[兆億万]"), large_number(t)), fraction_number(t), words, cjk, locale_number(t, number_format))
+    # digits and separators alone are none of the others
+    beside = F.when(t.rlike("[^0-9.,+-]"), F.coalesce(F.when(t.rlike("[兆億万]"), large_number(t)), fraction_number(t), words, cjk))
+    return F.coalesce(beside, locale_number(t, number_format))
 
 
 def competing_numbers(text: Column) -> tuple[Column, Column]:

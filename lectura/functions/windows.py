@@ -62,8 +62,8 @@ def hint_of(before: str) -> str | None:
 
 def windows_of(text: str | None) -> list[dict]:
     """The candidates of a text, in order and apart: place, label and windows, the widest first."""
-    out, chars, size = [], 0, 0
-    for clause, (a, b) in enumerate(clauses(text or "")):
+    text, out, chars, size = text or "", [], 0, 0
+    for clause, (a, b) in enumerate(clauses(text)):
         for at, m in enumerate(WIDEST.finditer(text, a, b)):
             start = m.start()
             hint = hint_of(text[max(a, start - LABEL_CHARS) : start])

@@ -39,7 +39,7 @@ UPPER_BOUND = r"(?i)^(?:less than|under|below|up to|at most|最大|上限|≤|<)
 
 
 #: How the two sides of a range are written, the texts of the roles left and right.
-ENDS = r"^(?:between (.+) and (.+)|from (.+) to (.+)|(.+?) ?[〜～~] ?(.+)|(.+?) (?:to|\.\.) (.+)|(.*?[0-9]) ?- ?([0-9].*))$"
+ENDS = r"^(?:between (.+) and (.+)|from (.+) to (.+)|(.+?) ?[〜～~] ?(.+)|(.+?)(?: to | ?\.\. ?)(.+)|(.*?[0-9]) ?- ?([0-9].*))$"
 AROUND = r"^(.+?) ?(?:±|\+/-|\+-) ?(.+)$"
 
 # Words for temperatures and their ranges in degrees Celsius, where a column holds temperatures.

@@ -1,16 +1,16 @@
 """Lengths and areas in free text, by the longest window that reads.
 
 A window begins at a number and may cross blanks on the guess that digits behind them belong to the number, or that a unit follows.
-The distinct windows of all texts are read once by the full grammars and joined back by a hash, so no text is carried along
-with its candidates. Where the widest window reads as nothing, the next narrower one counts, and what it leaves is the residue.
+The distinct windows of all texts are read once by the full grammars and joined back by a hash; a text isn't carried along with
+its candidates. Where the widest window reads as nothing, the next narrower one counts, and what it leaves is the residue.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import NARROWER, windows
+from ..functions.windows import windows
 from .read import Context, read
 
 GRAMMARS = ("japanese_length", "traditional_area", "square_metres", "metric_idiom", "registered", "feet_inches", "number", "typo_corrected")
@@ -29,27 +29,20 @@ def scan(docs: DataFrame, column: str, dimensions: tuple[str, ...] = MEASURES, r
     """
     names = ["clause", "at", "text", "char_start", "char_end", "start", "end", "hint", "reading", "residue", "code"]
     own = [c for c in docs.columns if c != column and c not in names]
-    found = docs.select(*[F.col(f"`{c}`") for c in own], F.explode(windows(F.col(column))).alias("_w"))
-    ways = found.select(F.explode("_w.ways").alias("way")).distinct()
-    told = read(ways, "way", reader).select(F.md5("way").alias("_k"), "reading")
-    tries = 1 + len(NARROWER)
-    for i in range(tries):
-        way = F.get(F.col("_w.ways"), F.lit(i))
-        found = found.join(told.select(F.col("_k").alias(f"_k{i}"), F.col("reading").alias(f"_r{i}")), F.md5(way) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+    rest = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    found = docs.select(rest.alias("_own"), F.explode(windows(F.col(column))).alias("_w"))
+    each = read(found.select("_own", "_w", F.posexplode("_w.ways").alias("_i", "_way")), "_way", reader)
     hint = F.col("_w.hint")
-
-    def fits(r: Column) -> Column:
-        measure = (r["kind"] == "quantity") & r["dimension"].isin(*[d for d in dimensions if d in MEASURES]) & (hint.isNull() | (hint == r["dimension"]))
-        bare = (r["kind"] == "number") & (hint == "length") & F.lit("length" in dimensions)
-        return F.coalesce(measure | bare, F.lit(False))
-
-    chosen = F.coalesce(*[F.when(fits(F.col(f"_r{i}")), F.struct(F.get(F.col("_w.ways"), F.lit(i)).alias("text"), F.col(f"_r{i}").alias("reading"))) for i in range(tries)])
-    kept = found.withColumn("_c", chosen).filter(F.col("_c").isNotNull())
+    measure = (F.col("reading.kind") == "quantity") & F.col("reading.dimension").isin(*[d for d in dimensions if d in MEASURES]) & (hint.isNull() | (hint == F.col("reading.dimension")))
+    bare = (F.col("reading.kind") == "number") & (hint == "length") & F.lit("length" in dimensions)
+    # a candidate is told by all that its row holds; equal rows are counted and come back as many
+    key = F.sha2(F.to_json(F.struct("_own", "_w")), 256).alias("_key")
+    chosen = F.min(F.when(F.coalesce(measure | bare, F.lit(False)), F.struct("_i", F.col("_way").alias("text"), "reading"))).alias("_c")
+    kept = each.groupBy(key).agg(F.any_value("_own").alias("_own"), F.any_value("_w").alias("_w"), chosen, F.sum(F.when(F.col("_i") == 0, 1).otherwise(0)).alias("_n")).filter(F.col("_c").isNotNull())
     widest, text, start = F.get(F.col("_w.ways"), F.lit(0)), F.col("_c.text"), F.col("_w.start")
     residue = F.nullif(F.trim(F.substring(widest, F.length(text) + 1, F.length(widest))), F.lit(""))
-    bare = F.col("_c.reading.kind") == "number"
-    return kept.select(
-        *[F.col(f"`{c}`") for c in own], "_w.clause", "_w.at", text.alias("text"), "_w.char_start", (F.col("_w.char_start") + F.length(text)).alias("char_end"),
-        start.alias("start"), (start + F.octet_length(text)).alias("end"), hint.alias("hint"), "_c.reading", residue.alias("residue"),
-        F.when(residue.isNotNull(), "TRAILING_INPUT").when(bare, "UNIT_ASSUMED").otherwise(F.col("_c.reading.code")).alias("code"),
+    code = F.when(residue.isNotNull(), "TRAILING_INPUT").when(F.col("_c.reading.kind") == "number", "UNIT_ASSUMED").otherwise(F.col("_c.reading.code"))
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(
+        *[F.col(f"_own.`{c}`") for c in own], "_w.clause", "_w.at", text.alias("text"), "_w.char_start", (F.col("_w.char_start") + F.length(text)).alias("char_end"),
+        start.alias("start"), (start + F.octet_length(text)).alias("end"), hint.alias("hint"), "_c.reading", residue.alias("residue"), code.alias("code"),
     )
