@@ -162,9 +162,10 @@ def qualified(spark, sf_dir):
     return told(texted(spark, sf_dir, "part", "p_partkey", F.concat(F.lit("about "), s("p_size"), F.lit("kg")), narrow("registered", fuzzy=True)), "value", "unit", "approximate", "code")
 
 
-@query("SELECT p_partkey AS id, 120.0 AS low, 240.0 AS high, 's' AS unit FROM part")
+@query("SELECT p_partkey AS id, 2 * f AS low, 4 * f AS high, unit FROM part JOIN (VALUES (0, 60.0::DOUBLE, 's'), (1, 3600.0, 's'), (2, 1.0, 'kg')) AS v(i, f, unit) ON p_partkey % 3 = v.i")
 def a_few(spark, sf_dir):
-    return told(texted(spark, sf_dir, "part", "p_partkey", F.lit("a few minutes"), narrow("registered", fuzzy=True)), "low", "high", "unit")
+    text = F.get(F.array(*map(F.lit, ("a few minutes", "A few hours", "a few kilograms"))), (F.col("p_partkey") % 3).cast("int"))
+    return told(texted(spark, sf_dir, "part", "p_partkey", text, narrow("registered", fuzzy=True)), "low", "high", "unit")
 
 
 @query("SELECT o_orderkey AS id, 'date' AS kind, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders")
@@ -233,33 +234,39 @@ def every_grammar(spark, sf_dir):
     return told(texted(spark, sf_dir, "part", "p_partkey", text), "kind", "value")
 
 
-@query("SELECT doc_id AS id, true AS told FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS id, CASE WHEN trim(text) = '' THEN 'EMPTY' ELSE 'NO_VALUE' END AS code FROM documents WHERE text IS NOT NULL")
 def hostile_documents(spark, sf_dir):
-    """Whole documents are no quantities; each still gets a reading or a finding."""
+    """Whole documents are no quantities, and each says so."""
     df = texted(spark, sf_dir, "documents", "doc_id", F.col("text"), narrow("registered", "temperature", "currency", "number")).filter("text is not null")
-    return df.select("id", (F.col("reading.value").isNotNull() | F.col("reading.code").isNotNull()).alias("told"))
+    return df.select("id", "reading.code")
 
 
 def literal(v) -> str:
     return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
 
 
-def cases(name: str, rows: list[tuple], columns: str, run) -> None:
-    """A query over fixed texts: the first column of each row is the text, the others what comes of it."""
+def cases(name: str, rows: list[tuple], columns: str, run, number: bool = False) -> None:
+    """A query over part, whose rows take the texts in turn by their key; the other columns are what comes of a text.
+
+    With number, the text is p_size and what stands here, and the columns value and low and high are times p_size.
+    """
 
     def over(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(spark.createDataFrame([(r[0],) for r in rows], "text string"))
+        tail = F.get(F.array(*[F.lit(r[0]) for r in rows]), (F.col("p_partkey") % len(rows)).cast("int"))
+        text = F.concat(s("p_size"), tail) if number else tail
+        return run(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")))
 
     over.__name__ = name
     QUERIES[name] = over
     names = columns.replace(" ", "").split(",")
-    told = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
-    ORACLE_SQL[name] = f"SELECT * FROM (VALUES {told}) AS v({', '.join(names)})"
+    told = ", ".join("(" + ", ".join(map(literal, (i, *r))) + ")" for i, r in enumerate(rows))
+    of = {n: f"v.{n}" for n in names} | ({"text": "p_size || v.text", "value": "round(p_size * v.value, 6)"} if number else {})
+    ORACLE_SQL[name] = f"SELECT p_partkey AS id, {', '.join(f'{of[n]} AS {n}' for n in names)} FROM part JOIN (VALUES {told}) AS v(i, {', '.join(names)}) ON p_partkey % {len(rows)} = v.i"
 
 
 def fields_of(ctx: Context, *fields: str):
     field = lambda f: F.round(f"reading.{f}", 6) if f in ("value", "low", "high") else F.col(f"reading.{f}")
-    return lambda df: read(df, "text", ctx).select("text", *[field(f).alias(f) for f in fields])
+    return lambda df: read(df, "text", ctx).select("id", "text", *[field(f).alias(f) for f in fields])
 
 
 DAY = "2026-07-19"
@@ -312,8 +319,8 @@ cases(
 )
 cases(
     "misspelt_units",
-    [("12 metrs", 12.0, "m"), ("3 kilogrmos", 3.0, "kg"), ("5 quilometors", 5000.0, "m"), ("7 kilomètres", 7000.0, "m"), ("2 meterrs", 2.0, "m"), ("3 kilomters", 3000.0, "m"), ("4 litrs", 4.0, "L"), ("5 pouunds", 2.267962, "kg"), ("6 onces", 0.170097, "kg"), ("7 minites", 420.0, "s"), ("8 heurs", 28800.0, "s"), ("9 metrez", 9.0, "m"), ("10平目", 10.0, "m2"), ("5 zzzzz", None, None), ("5 €€", None, None)],
-    "text, value, unit", fields_of(narrow("registered", "typo_corrected"), "value", "unit"),
+    [(" metrs", 1.0, "m"), (" kilogrmos", 1.0, "kg"), (" quilometors", 1000.0, "m"), (" kilomètres", 1000.0, "m"), (" meterrs", 1.0, "m"), (" kilomters", 1000.0, "m"), (" litrs", 1.0, "L"), (" pouunds", 0.45359237, "kg"), (" onces", 0.028349523125, "kg"), (" minites", 60.0, "s"), (" heurs", 3600.0, "s"), (" metrez", 1.0, "m"), ("平目", 1.0, "m2"), (" zzzzz", None, None), (" €€", None, None)],
+    "text, value, unit", fields_of(narrow("registered", "typo_corrected"), "value", "unit"), number=True,
 )
 cases(
     "fuzzy_temperature", [("warm", "range", 20.0, 27.0), ("really COLD", "range", 0.0, 10.0), ("暑いです", "range", 27.0, 35.0), ("mild", "none", None, None)],
@@ -331,7 +338,7 @@ def humanized(spark, sf_dir):
 
 cases(
     "humanized_japanese", [("1.6060606060606062 m", "5尺3寸 (approx.)"), ("9.72 m2", "6帖 (approx.)"), ("9.917355371900827 m2", "3坪 (approx.)"), ("0.1 m", "0.1 m"), ("20 kg", "20 kg"), ("1e5 m", "unresolved")],
-    "text, told", lambda df: read(df, "text", UNIT).select("text", humanize(F.col("reading"), "ja").alias("told")),
+    "text, told", lambda df: read(df, "text", UNIT).select("id", "text", humanize(F.col("reading"), "ja").alias("told")),
 )
 cases(
     "summary_json",
@@ -341,15 +348,35 @@ cases(
         ('a "b"\\', '{"ok":false,"input":"a \\"b\\"\\\\","best":null,"issues":[{"code":"NO_VALUE","severity":"error","rank":100,"ref_text":"a \\"b\\"\\\\"}]}'),
         ("", '{"ok":false,"input":"","best":null,"issues":[{"code":"EMPTY","severity":"error","rank":100,"ref_text":""}]}'),
     ],
-    "text, json", lambda df: read(df, "text", UNIT).select("text", summary_json(F.col("text"), F.col("reading")).alias("json")),
+    "text, json", lambda df: read(df, "text", UNIT).select("id", "text", summary_json(F.col("text"), F.col("reading")).alias("json")),
 )
 cases(
     "repair_messages",
     [("5 kg", None), ("no", "[NO_VALUE] width: no supported reading matched at `no`."), ("7 minites", "[TYPO_CORRECTED] width: the unit's spelling was corrected at `7 minites`. Did you mean `min`?".replace("'", "''"))],
-    "text, message", lambda df: read(df, "text", narrow("registered", "typo_corrected", strictness="strict")).select("text", message(F.lit("width"), F.col("text"), F.col("reading"), "strict").alias("message")),
+    "text, message", lambda df: read(df, "text", narrow("registered", "typo_corrected", strictness="strict")).select("id", "text", message(F.lit("width"), F.col("text"), F.col("reading"), "strict").alias("message")),
 )
-QUERIES["completions"] = lambda spark, sf_dir: complete(spark.createDataFrame([("5 tat",), ("NOO",), ("来週木",), ("x",)], "text string"), "text").select("text", "value", "kind", F.round("score", 6).alias("score"), "rank")
-ORACLE_SQL["completions"] = "SELECT text, value, kind, round(0.6 + CASE WHEN a = b THEN 0.4 ELSE 0.4 * a / b END, 6)::DOUBLE AS score, 1 AS rank FROM (VALUES ('5 tat', 'tatami', 'unit', 3, 6), ('NOO', 'noon', 'time', 3, 4), ('来週木', '来週木曜日', 'date', 9, 15)) AS v(text, value, kind, a, b)"
+@query(
+    "SELECT p_partkey AS id, p_size || v.typed AS text, v.value AS value, v.kind AS kind, round(0.6 + CASE WHEN a = b THEN 0.4 ELSE 0.4 * a / b END, 6)::DOUBLE AS score, 1 AS rank "
+    "FROM part JOIN (VALUES (0, ' tat', 'tatami', 'unit', 3, 6), (1, ' NOO', 'noon', 'time', 3, 4), (2, ' 来週木', '来週木曜日', 'date', 9, 15)) AS v(i, typed, value, kind, a, b) ON p_partkey % 4 = v.i"
+)
+def completions(spark, sf_dir):
+    typed = F.get(F.array(*map(F.lit, (" tat", " NOO", " 来週木", " qx"))), (F.col("p_partkey") % 4).cast("int"))
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(s("p_size"), typed).alias("text"))
+    return complete(df, "text").select("id", "text", "value", "kind", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "WITH w AS (SELECT p_partkey AS id, lower(split_part(p_type, ' ', 1)) AS word, p_size FROM part) "
+    "SELECT id, word AS value, 'custom ' || word AS canonical, 0.6 + 0.4 * 3 / strlen(word)::DOUBLE AS score FROM w WHERE strlen(word) > 3"
+)
+def custom_completions(spark, sf_dir):
+    """Words of the parts' types as custom units, each completed from its first three letters in capitals."""
+    word = F.lower(F.split("p_type", " ")[0])
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), word.alias("word"))
+    custom = parts.select("word").distinct().select(F.col("word").alias("unit"), F.lit("m").alias("canonical"), F.lit("length").alias("dimension"), F.lit(1.0).alias("factor"), F.lit(False).alias("approximate"), F.array("word").alias("aliases"))
+    typed = parts.select("id", "word", F.upper(F.substring("word", 1, 3)).alias("text"))
+    found = complete(typed, "text", custom=custom).filter("value = word and canonical = word and kind = 'unit' and length(word) > 3")
+    return found.select("id", "value", F.concat(F.lit("custom "), "canonical").alias("canonical"), "score")
 
 
 @query("SELECT p_partkey AS id, u.offer_unit AS unit, round(p_size * u.factor, 6) AS value FROM part, (VALUES ('m2', 1.0), ('ft2', 0.09290304), ('acre', 4046.8564224), ('ha', 10000.0)) AS u(offer_unit, factor) UNION ALL SELECT p_partkey, 'best', p_size * 1.0 FROM part")
