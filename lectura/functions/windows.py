@@ -19,7 +19,8 @@ _grouped = rf"(?<=[{DIGIT}]){BLANK}+(?=[{DIGIT}])"
 
 def _window(grouping: bool, unit_behind_blank: bool) -> re.Pattern:
     gap, between = (f"|{_grouped}" if grouping else ""), (f"{BLANK}*" if unit_behind_blank else "")
-    return re.compile(rf"{_start}[{BODY}](?:[{BODY}]{gap})*(?:{between}[{UNIT}](?:[{BODY}{UNIT}]{gap})*)?")
+    two_words = rf"{BLANK}*square {BLANK}*(?:meters?|metres?|feet)(?![A-Za-z])|" if unit_behind_blank else ""
+    return re.compile(rf"{_start}[{BODY}](?:[{BODY}]{gap})*(?:{two_words}{between}[{UNIT}](?:[{BODY}{UNIT}]{gap})*)?")
 
 
 #: The widest window crosses blanks between digits and before a unit; narrower ones guess less.

@@ -1,72 +1,17 @@
-"""Lengths and areas inside free text: a row per match, in order and without overlap, with its place in the text."""
+"""Lengths and areas inside free text, as rows whose reading says all: the scan by windows, with its codes in the reading."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import number
-from ..functions.quantities import NUMBER, registered, split_number_unit
-from ..functions.readings import reading
-from ..functions.text import let
-from ..functions.units import unit_of
+from .scan import MEASURES, scan
 
-#: What parts clauses; a comma between digits doesn't.
-CLAUSE = r"[、;；\n\t]|,(?!\s*[0-9])|(?<![0-9]\s{0,8}),"
-#: A number and the word behind it. Behind letters it belongs to an identifier, unless these are a label; behind a currency sign it is money.
-CANDIDATE = rf"(?:(?<![A-Za-z0-9_.,$€£¥￥])|(?<=(?<![A-Za-z0-9])[whdWHD])){NUMBER}(?: ?(?:square (?:meters?|metres?|feet)|(?![whdWHD][0-9])[A-Za-zμµ㎡²³\^]+[23²³]?))?"
-# Labels in front of a value and the dimension that they stand for.
-LABELS = {
-    "area": r"延床|延べ床|床面積|敷地面積|面積|(?<![a-z0-9])(?:area|floor ?area|site ?area)",
-    "length": r"寸法|幅|高さ|壁厚|厚さ|長さ|奥行き?|(?<![a-z0-9])(?:w|h|d|width|height|depth|length|wall ?thickness)",
-}
-LABEL_END = r"[\s:：=＝\-ー―–—]*$"
 
-
-def _starts(lengths: Column) -> Column:
-    """Where consecutive pieces of these lengths start."""
-    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
-    step = lambda s, n: F.struct((s["end"] + n).alias("end"), F.array_append(s["starts"], s["end"]).alias("starts"))
-    return F.aggregate(lengths, begin, step, lambda s: s["starts"])
-
-
-def pieces(text: Column, pattern: str) -> tuple[Column, Column]:
-    """(text, start) of what a pattern parts, and of what it matches."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    size = lambda a: F.transform(a, lambda x: F.length(x))
-    lengths = F.transform(F.arrays_zip(size(between).alias("a"), size(found).alias("b")), lambda p: p["a"] + F.coalesce(p["b"], F.lit(0)))
-    starts = _starts(lengths)
-    parted = F.transform(F.arrays_zip(between.alias("text"), starts.alias("start")), lambda p: F.struct(p["text"].alias("text"), p["start"].alias("start")))
-    matched = F.transform(F.arrays_zip(found.alias("text"), F.slice(between, F.lit(1), F.size(found)).alias("before"), F.slice(starts, F.lit(1), F.size(found)).alias("at")), lambda p: F.struct(p["text"].alias("text"), (p["at"] + F.length(p["before"])).alias("start")))
-    return parted, matched
-
-
-def extract(docs: DataFrame, column: str, dimensions: tuple[str, ...] = ("length", "area")) -> DataFrame:
-    """The rows of docs (without the column) with a row per match of the dimensions, in order:
-
-    clause, at (which candidate of the clause), text, char_start, char_end, start, end (in bytes of the original), hint (the
-    dimension that a label before it stands for), reading, residue. A number without unit counts only behind a label; as a length
-    it may be in millimetres, so its code is UNIT_ASSUMED. A word behind it that names no unit is its residue: TRAILING_INPUT.
-    """
-    text = F.col(column)
-    clauses = docs.select("*", F.posexplode(pieces(text, CLAUSE)[0]).alias("clause", "_clause"))
-    found = clauses.select("*", F.posexplode(pieces(F.col("_clause.text"), CANDIDATE)[1]).alias("at", "_found"))
-    before = F.regexp_replace(F.lower(F.substring(F.col("_clause.text"), F.lit(1), F.col("_found.start"))), LABEL_END, "")
-    hint = F.coalesce(*[F.when(before.rlike(f"(?:{p})$"), k) for k, p in LABELS.items()])
-    whole = F.col("_found.text")
-    head, tail = split_number_unit(whole)
-    digits = F.regexp_extract(whole, rf"^({NUMBER})", 1)
-
-    def bare(n: Column) -> Column:
-        code = F.when(tail != "", "TRAILING_INPUT").when(F.col("hint") == "length", "UNIT_ASSUMED")
-        return reading("number", F.col("hint").isNotNull() & n.isNotNull(), value=n, confidence=0.99, code=code, others=F.when(F.col("hint") == "length", F.array(n)))
-
-    told = F.coalesce(registered(number(head), unit_of(tail)), let(number(digits), bare))
-    read = found.withColumn("hint", hint).withColumn("reading", told)
-    fits = F.coalesce(F.col("reading.dimension"), F.col("hint"))
-    kept = read.filter(F.col("reading").isNotNull() & fits.isin(*dimensions) & (F.col("hint").isNull() | (F.col("hint") == fits)))
-    alone = F.col("reading.kind") == "number"
-    first = F.col("_clause.start") + F.col("_found.start")
-    placed = kept.withColumn("text", F.when(alone, digits).otherwise(whole)).withColumn("residue", F.when(alone & (tail != ""), tail)).withColumn("char_start", first).withColumn("char_end", first + F.length("text"))
-    bytes_to = lambda n: F.octet_length(F.substring(text, F.lit(1), F.col(n))).cast("long")
-    return placed.withColumn("start", bytes_to("char_start")).withColumn("end", bytes_to("char_end")).drop("_clause", "_found", column)
+def extract(docs: DataFrame, column: str, dimensions: tuple[str, ...] = MEASURES) -> DataFrame:
+    """scan's rows without its code: the code is the reading's, and a number taken for a length has itself as the other reading,
+    in millimetres."""
+    found = scan(docs, column, dimensions)
+    bare = (F.col("reading.kind") == "number") & (F.col("hint") == "length")
+    others = F.when(bare, F.array("reading.value")).otherwise(F.col("reading.others"))
+    return found.withColumn("reading", F.col("reading").withField("code", F.col("code")).withField("others", others)).drop("code")

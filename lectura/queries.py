@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.render import describe, humanize
 from .operators.complete import complete, complete_readings
 from .operators.extract import extract
+from .operators.features import narrowed
 from .operators.policy import accepts, canonicalize, issues
 from .operators.read import Context, read, suggestions
 from .operators.views import message, summary_json
@@ -228,10 +229,11 @@ def editor_extract(spark, sf_dir):
     "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 1 THEN 'range' WHEN 3 THEN 'number' ELSE 'quantity' END AS kind, CASE p_partkey % 4 WHEN 0 THEN round(p_size * 0.01, 6) WHEN 2 THEN p_size * 1.0 WHEN 3 THEN p_size * 10000.0 END AS value FROM part"
 )
 def every_grammar(spark, sf_dir):
-    """The full list of grammars over a column of mixed kinds."""
+    """A column of mixed kinds, of which nothing is known before: of all grammars those that it can need."""
     kind = F.col("p_partkey") % 4
     text = F.when(kind == 0, F.concat(s("p_size"), F.lit("cm"))).when(kind == 1, F.concat(F.lit("from 1 to "), (F.col("p_size") + 1).cast("string"), F.lit(" kg"))).when(kind == 2, F.concat(F.lit("EUR "), s("p_size"))).otherwise(F.concat(s("p_size"), F.lit("万")))
-    return told(texted(spark, sf_dir, "part", "p_partkey", text), "kind", "value")
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    return told(read(df, "text", narrowed(df, "text")), "kind", "value")
 
 
 @query("SELECT doc_id AS id, CASE WHEN trim(text) = '' THEN 'EMPTY' ELSE 'NO_VALUE' END AS code FROM documents WHERE text IS NOT NULL")

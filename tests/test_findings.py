@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lectura.functions.windows import windows_of
 from lectura.operators.complete import complete, complete_readings
+from lectura.operators.features import narrowed
 from lectura.operators.findings import FALLING, parse, ranked_findings
 from lectura.operators.read import Context, read
 from lectura.operators.scan import scan
@@ -160,3 +161,18 @@ def test_fuzzy_terms_are_joined(spark):
     out = read(df, "text", ctx)
     assert {(r.text, r.reading.low) for r in out.collect()} == {("Term 7", 7.0), ("term 4999", 4999.0), ("term x", None)}
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+
+
+MIXED = ["5 cm", "from 1 to 3 kg", "EUR 5", "3万", "5尺3寸", "6帖", "20㎡", "70 F", "3 yd 2 ft", "1m80", "3pm EST", "14:30", "PT1H30M", "5ft 11", "2 cups", "1,234", "7 minites", "3pm Mars/Olympus", "1/2", "5/6/2026", "tomorrow", "about 5 kg", "a few minutes", "10 ± 0.5 mm", "under 5 kg", "5 in to cm", "an hour and a half", "$5", "no", ""]
+
+
+def test_a_narrowed_context_reads_the_same(spark):
+    wide = Context(reference_date="2026-07-19")
+    df = spark.createDataFrame([(t,) for t in MIXED], "text string")
+    want = {r.text: r.reading for r in read(df, "text", wide).collect()}
+    for texts in (MIXED, ["5 cm", "7 kg", ""], ["EUR 5", "about 5 kg", "3万"]):
+        own = spark.createDataFrame([(t,) for t in texts], "text string")
+        ctx = narrowed(own, "text", wide)
+        assert {r.text: r.reading for r in read(own, "text", ctx).collect()} == {t: want[t] for t in texts}
+    few = narrowed(spark.createDataFrame([("5 cm",)], "text string"), "text", wide)
+    assert set(few.only) == {"registered", "date", "number"} and not (few.ranges or few.fuzzy or few.conversions)
