@@ -67,6 +67,8 @@ class Heads:
         return {self.column: F.transform(F.array(*[F.coalesce(t, F.lit("")) for t in self.texts]), reader)}
 
 
+#: Built expressions that are kept, the latest ones.
+KEPT = 64
 _built: dict[tuple, object] = {}
 
 
@@ -74,6 +76,8 @@ def once(spark: SparkSession, *key, build):
     """What build gives, built once in an application: expressions that name columns only serve every frame that has these."""
     key = (spark.sparkContext.applicationId, *key)
     if key not in _built:
+        while len(_built) >= KEPT:
+            del _built[next(iter(_built))]
         _built[key] = build()
     return _built[key]
 
