@@ -46,7 +46,7 @@ AROUND = r"^(.+?) ?(?:±|\+/-|\+-) ?(.+)$"
 TEMPERATURES = ((("暑い",), 27.0, 35.0), (("暖か",), 20.0, 27.0), (("寒い",), 0.0, 10.0), (("hot",), 27.0, 35.0), (("warm",), 20.0, 27.0), (("cold",), 0.0, 10.0))
 
 
-#: Fuzzy terms up to which they are broadcast.
+#: Fuzzy terms, or a caller's units, up to which they are broadcast.
 BROADCAST_TERMS = 100_000
 
 
@@ -205,10 +205,13 @@ def singles(rows: DataFrame, text: str, whole: Column, ctx: Context, custom: Dat
 
 
 def with_unit(texts: DataFrame, token: str, ctx: Context, custom: DataFrame | None = None) -> DataFrame:
-    """Adds u, the unit that the column `token` names: broadcast joins with the table of spellings, exact ones first."""
+    """Adds u, the unit that the column `token` names: joins with the table of spellings, exact ones first; broadcast while the
+    caller's units are few."""
+    few = custom is None or custom.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    near = F.broadcast if few else (lambda df: df)
     table = aliases(texts.sparkSession, custom, list(ctx.registry) if ctx.registry is not None else None)
-    exact = F.broadcast(table.filter("exact").select(F.col("alias").alias("_a"), F.col("u").alias("_exact")))
-    any_case = F.broadcast(table.filter("not exact").select(F.col("alias").alias("_b"), F.col("u").alias("_any")))
+    exact = near(table.filter("exact").select(F.col("alias").alias("_a"), F.col("u").alias("_exact")))
+    any_case = near(table.filter("not exact").select(F.col("alias").alias("_b"), F.col("u").alias("_any")))
     low = F.translate(F.col(token), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     joined = texts.join(exact, F.col(token) == F.col("_a"), "left").join(any_case, low == F.col("_b"), "left")
     return joined.withColumn("u", F.coalesce("_exact", "_any")).drop("_a", "_b", "_exact", "_any")
