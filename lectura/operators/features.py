@@ -22,7 +22,7 @@ HOLDS = {
     "temperature": "(?i)[cfk]$|度$",
     "compound": r"\S \S+ +\S+ +\S",
     "metric_idiom": "m[0-9]",
-    "zoned_clock": r"(?i)(?:[0-9]|noon|midnight|半|分|時|m|\.).* \S+$",
+    "zoned_clock": r"(?i)(?:[0-9]:|[ap]\.?m|noon|midnight|時).* \S+$",
     "clock": r"(?i)[0-9]:|[0-9] ?[ap]\.?m|時|noon|midnight",
     "unsupported_zone": "/",
     "duration": "(?i)^p|[0-9][wdhms]|hour|hr|時間",
