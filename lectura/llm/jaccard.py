@@ -15,12 +15,9 @@ Where a key stands in its set says how large a partner can be that it is the fir
 bound the intersection. Every entry of a list carries that reach, and two entries are candidates only if each lies within the
 other's. So sets with many shingles of their own, whose common ones come late, aren't paired with each other at all.
 Lists aren't expanded into pairs. Every member is compared with few chosen members of its lists, the ones of the farthest reach;
-the links found give components. Pairs within one component need no comparison: their documents are connected already. Lists
-whose members are of several components are scanned once more, by finer keys: each member's set is cut by hash into more parts
-than two linked sets of its size can differ in shingles, so linked sets have a part in common that is equal as a whole. Only
-members outside the largest component of such a part's list are compared with its members of other components. So no link
-between components is lost, a list of thousands of near copies costs little more than its length, and sets that have a rare
-shingle in common but little else don't meet.
+the links found give components. Then only members outside the largest component of a list are compared with the list's members
+of other components that they can reach. Pairs within one component need no comparison: their documents are connected already.
+So no link between components is lost, and a list of thousands of near copies costs little more than its length.
 
 A null text or one without words has an empty set, which links with nothing. Repeated rows and texts share a set. A component's
 id is its least doc_id; documents without doc_id link like others, come last, and a component of them alone has none. An empty
@@ -29,7 +26,6 @@ table gives no row. Columns beside doc_id and text are not read. Shingles and se
 
 from __future__ import annotations
 
-import functools
 import zlib
 
 import numpy as np
@@ -156,39 +152,6 @@ def keys_of(h: np.ndarray, percent: int, light_to: int, heavy_from: int) -> tupl
     return keys, (100 + percent) * np.concatenate(left)[at] // percent - n
 
 
-@functools.cache
-def size_class(number: int, percent: int) -> tuple[int, int, int]:
-    """The largest size of the class, the parts of its sets, and how many of these two linked sets have equal at least.
-
-    Sizes of two linked sets are of one class or of two that follow each other; such a pair goes by the class of the smaller set.
-    """
-    end = 1
-    for _ in range(number):
-        end = (end + 1) * 100 // percent
-    over = (end + end * 100 // percent) * (100 - percent) // (100 + percent)  # shingles that only one of them has
-    spare = 5 + over // 10
-    return end, over + spare, spare
-
-
-def part_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the parts of one set, for its size class and the one below; two linked sets have one in common.
-
-    A part without shingles is a key only where so many are empty that all the equal ones could be.
-    """
-    number, out = 0, []
-    while size_class(number, percent)[0] < len(h):
-        number += 1
-    mixed = mix(h)
-    for c in range(max(0, number - 1), number + 1):
-        _, n_parts, spare = size_class(c, percent)
-        at = ((h >> np.uint64(8)) % np.uint64(n_parts)).astype(np.int64)
-        count, sums = np.bincount(at, minlength=n_parts), np.zeros(n_parts, np.uint64)
-        np.add.at(sums, at, mixed)
-        use = np.flatnonzero(count) if np.count_nonzero(count == 0) < spare else np.arange(n_parts)
-        out.append(mix(sums[use] * ODD1 + mix(use.astype(np.uint64) * ODD2 + np.uint64(c))))
-    return np.unique(np.concatenate(out))
-
-
 def sets_of(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, text_hash, sig, n, profile, keys, reach: each document's set by its hash, size and profile, and its keys."""
     levels, length = rarity(docs, shingle)
@@ -305,19 +268,19 @@ def _apart(labelled: DataFrame, tables: Scratch) -> DataFrame:
     """The entries of lists with several labels, with the label that most of a list's entries have, and the list's length."""
     hot = _is_hot(labelled.filter(F.pmod(F.xxhash64("sig"), F.lit(64)) == 0), labelled.count(), 64)
     one, each = Window.partitionBy("key"), Window.partitionBy("key", "label")
-    told = labelled.filter(~hot).withColumn("many", F.count("*").over(each)).select("key", "sig", "n", "label", F.max(F.struct("many", "label")).over(one).alias("most"), F.count("*").over(one).alias("long"), (F.min("label").over(one) < F.max("label").over(one)).alias("several"))
+    told = labelled.filter(~hot).withColumn("many", F.count("*").over(each)).select("key", "sig", "n", "reach", "label", F.max(F.struct("many", "label")).over(one).alias("most"), F.count("*").over(one).alias("long"), (F.min("label").over(one) < F.max("label").over(one)).alias("several"))
     many = labelled.filter(hot)
     sums = many.groupBy("key", "label").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "label")).alias("most"), F.sum("many").alias("long"), (F.count("*") > 1).alias("several"))
-    told = told.unionByName(many.select("key", "sig", "n", "label").join(F.broadcast(tables.written(sums)), "key"))
-    return told.filter("several").select("key", "sig", "n", "label", F.col("most.label").alias("largest"), "long")
+    told = told.unionByName(many.join(F.broadcast(tables.written(sums)), "key"))
+    return told.filter("several").select("key", "sig", "n", "reach", "label", F.col("most.label").alias("largest"), "long")
 
 
-def _across(apart: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members outside the largest component of a list with its members of other components, of sizes that can link."""
+def _across(apart: DataFrame) -> DataFrame:
+    """(a, b): members outside the largest component of a list with its members of other components that each can reach."""
     shares = F.floor(F.col("long") / TOGETHER)
-    outside = apart.filter("label <> largest").select("key", F.explode(F.sequence(F.lit(0).cast("long"), shares)).alias("share"), F.col("sig").alias("x"), F.col("n").alias("m"), F.col("label").alias("other"))
-    members = apart.select("key", F.pmod(F.xxhash64("sig"), shares + 1).alias("share"), "sig", "n", "label")
-    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("other") != F.col("label"))
+    outside = apart.filter("label <> largest").select("key", F.explode(F.sequence(F.lit(0).cast("long"), shares)).alias("share"), F.col("sig").alias("x"), F.col("n").alias("m"), F.col("reach").alias("of_m"), F.col("label").alias("other"))
+    members = apart.select("key", F.pmod(F.xxhash64("sig"), shares + 1).alias("share"), "sig", "n", "reach", "label")
+    near = (F.col("other") != F.col("label")) & (F.col("n") <= F.col("of_m")) & (F.col("m") <= F.col("reach"))
     return outside.join(members, ["key", "share"]).filter(near).select(F.least("sig", "x").alias("a"), F.greatest("sig", "x").alias("b"))
 
 
@@ -344,39 +307,30 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, tables: Scratc
     chosen = listed.filter((F.col("sig") != F.col("centre.sig")) & within("n", "reach", "centre.n", "centre.reach")).groupBy("sig").agg(F.array_distinct(F.collect_list("centre.sig")).alias("partners"))
     first = tables.written(chosen.select("sig", F.explode(F.slice(F.array_sort("partners"), 1, CHOSEN)).alias("p")).select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b")).distinct())
 
-    def texts_of(sigs: DataFrame) -> DataFrame:
-        """sig and a text of it, read again; repeated rows are read more than once."""
-        where = tables.written(sigs.join(sets.select("sig", "rep"), "sig").select("sig", F.col("rep.doc_id").alias("_d"), F.col("rep.text_hash").alias("_t")))
-        few = where.count() <= 500_000
-        return texts.join(F.broadcast(where) if few else where, (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("sig", "text")
-
-    def each_set(name: str, of_set, kind: pa.DataType):
-        def read(parts):
-            for part in parts:
-                for s in shards(part.column(1), 2 << 20):
-                    raw = part.column(1)[s].to_pylist()
-                    h, _, count = distinct_sets(*shingle_sets(raw, shingle), len(raw))
-                    ends = np.cumsum(count)
-                    yield pa.RecordBatch.from_arrays([part.column(0)[s], pa.array([of_set(h[a:b]) for a, b in zip((ends - count).tolist(), ends.tolist())], kind)], ["sig", name])
-
-        return read
+    def read(parts):
+        for part in parts:
+            for s in shards(part.column(1), 2 << 20):
+                raw = part.column(1)[s].to_pylist()
+                h, _, count = distinct_sets(*shingle_sets(raw, shingle), len(raw))
+                ends = np.cumsum(count)
+                yield pa.RecordBatch.from_arrays([part.column(0)[s], pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip((ends - count).tolist(), ends.tolist())], pa.binary())], ["sig", "shingles"])
 
     def linked_of(pairs: DataFrame) -> DataFrame:
         """The pairs that link; only texts of plausible pairs are read again, one per set."""
         pairs = tables.written(plausible(pairs, sets, percent))
-        read = each_set("shingles", lambda h: h.astype("<u8").tobytes(), pa.binary())
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        shingles = texts_of(wanted).mapInArrow(read, "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets.select("sig", "rep"), "sig")
+        where = tables.written(wanted.select("sig", F.col("rep.doc_id").alias("_d"), F.col("rep.text_hash").alias("_t")))
+        few = where.count() <= 500_000
+        hit = texts.join(F.broadcast(where) if few else where, (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+        # repeated rows are read more than once, and joined by their first
+        shingles = hit.select("sig", "text").mapInArrow(read, "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
         return tables.written(linked(pairs, tables.written(shingles), percent))
 
     edges = linked_of(first)
     labels = components(edges, tables)
-    labelled = listed.select("key", "sig", "n").join(labels, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("label", "sig").alias("label"))
-    doubtful = tables.written(_apart(tables.written(labelled), tables).groupBy("sig").agg(F.first("n").alias("n"), F.first("label").alias("label")))
-    in_parts = each_set("keys", lambda h: part_keys(h, percent).astype(np.int64), pa.list_(pa.int64()))
-    parts = texts_of(doubtful.select("sig")).mapInArrow(in_parts, "sig long, keys array<long>").groupBy("sig").agg(F.first("keys").alias("keys"))
-    finer = tables.written(parts.join(doubtful, "sig").select(F.explode("keys").alias("key"), "sig", "n", "label"))
-    across = _across(tables.written(_apart(finer, tables)), percent).withColumn("new", F.lit(True))
+    labelled = listed.select("key", "sig", "n", "reach").join(labels, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "reach", F.coalesce("label", "sig").alias("label"))
+    apart = tables.written(_apart(tables.written(labelled), tables))
+    across = _across(apart).withColumn("new", F.lit(True))
     second = across.unionByName(first.withColumn("new", F.lit(False))).groupBy("a", "b").agg(F.min("new").alias("new")).filter("new").select("a", "b")
     more = linked_of(second)
     joined = components(tables.written(edges.unionByName(more)), tables)

@@ -234,37 +234,6 @@ def test_many_near_copies_like_brute_force(spark, monkeypatch):
         assert all(x.component_id == least[hashes[x.text_hash]] for x in found)
 
 
-@pytest.mark.parametrize("percent", [50, 80, 85, 100])
-def test_linked_sets_have_an_equal_part(percent):
-    r = np.random.default_rng(percent)
-    for n in [*range(1, 40), 55, 90, 200, 1000, 5000] * 3:
-        m = int(r.integers(n, n * 100 // percent + 1))
-        both = -(-percent * (n + m) // (100 + percent))  # the least that links
-        if both > n:
-            continue
-        h = r.integers(0, 2**64, n + m - both, np.uint64)
-        a, b = np.sort(h[:n]), np.sort(h[n - both :])
-        assert len(a) == n and len(b) == m and 100 * both >= percent * len(np.union1d(a, b))
-        assert len(np.intersect1d(jaccard.part_keys(a, percent), jaccard.part_keys(b, percent)))
-
-
-def test_a_common_shingle_alone_makes_few_candidates(spark, monkeypatch):
-    """Texts of common passages, of which every eighth has the same rare words too; none links with another."""
-    r = random.Random(11)
-    passages = [" ".join(f"p{i}x{k}" for k in range(14)) for i in range(80)]
-    seen, across = [], jaccard._across
-
-    def counted(*given):
-        seen.append(across(*given).distinct().count())
-        return across(*given)
-
-    monkeypatch.setattr(jaccard, "_across", counted)
-    texts = [" ".join([*(["rare one in here"] if i % 8 == 0 else []), *r.sample(passages, 6)]) for i in range(1600)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert jaccard.near_duplicates(df).filter("doc_id <> component_id").count() == 0
-    assert seen[0] * 100 < len(texts) ** 2 / 2
-
-
 def test_contamination_like_brute_force(spark, docs, texts, monkeypatch):
     items = [(1, texts[10]), (2, "a b"), (3, None), (4, "%%"), (None, "x y z"), (5, texts[0][:150]), (5, texts[0][:150])]
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
