@@ -1,8 +1,8 @@
 """Lengths and areas in free text, by the longest window that reads.
 
 A window begins at a number and may cross blanks on the guess that digits behind them belong to the number, or that a unit follows.
-The distinct windows of all texts are read once by the full grammars and joined back by a hash; a text isn't carried along with
-its candidates. Where the widest window reads as nothing, the next narrower one counts, and what it leaves is the residue.
+The distinct candidates of all texts are read once by the full grammars and joined back by a hash; neither a text nor its other
+columns are carried along, so what is read, sorted or grouped grows with the distinct candidates, not with the rows. Where the widest window reads as nothing, the next narrower one counts, and what it leaves is the residue.
 """
 
 from __future__ import annotations
@@ -31,18 +31,20 @@ def scan(docs: DataFrame, column: str, dimensions: tuple[str, ...] = MEASURES, r
     own = [c for c in docs.columns if c != column and c not in names]
     rest = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
     found = docs.select(rest.alias("_own"), F.explode(windows(F.col(column))).alias("_w"))
-    each = read(found.select("_own", "_w", F.posexplode("_w.ways").alias("_i", "_way")), "_way", reader)
-    hint = F.col("_w.hint")
+    # what a candidate gives depends on its windows and its label alone: each distinct pair is settled once and joined back
+    key = lambda ways, hint: F.sha2(F.to_json(F.struct(F.col(ways).alias("ways"), F.col(hint).alias("hint"))), 256).alias("_k")
+    asked = found.select("_w.ways", "_w.hint").distinct()
+    each = read(asked.select(key("ways", "hint"), "hint", F.posexplode("ways").alias("_i", "_way")), "_way", reader)
+    hint = F.col("hint")
     measure = (F.col("reading.kind") == "quantity") & F.col("reading.dimension").isin(*[d for d in dimensions if d in MEASURES]) & (hint.isNull() | (hint == F.col("reading.dimension")))
     bare = (F.col("reading.kind") == "number") & (hint == "length") & F.lit("length" in dimensions)
-    # a candidate is told by all that its row holds; equal rows are counted and come back as many
-    key = F.sha2(F.to_json(F.struct("_own", "_w")), 256).alias("_key")
-    chosen = F.min(F.when(F.coalesce(measure | bare, F.lit(False)), F.struct("_i", F.col("_way").alias("text"), "reading"))).alias("_c")
-    kept = each.groupBy(key).agg(F.any_value("_own").alias("_own"), F.any_value("_w").alias("_w"), chosen, F.sum(F.when(F.col("_i") == 0, 1).otherwise(0)).alias("_n")).filter(F.col("_c").isNotNull())
+    chosen = each.filter(measure | bare).groupBy("_k").agg(F.min(F.struct("_i", F.col("_way").alias("text"), "reading")).alias("_c"))
+    # hashed are the distinct candidates, whatever a table's file size lets expect of the rows; those stream by, unsorted
+    kept = found.withColumn("_k", key("_w.ways", "_w.hint")).join(chosen.hint("shuffle_hash"), "_k")
     widest, text, start = F.get(F.col("_w.ways"), F.lit(0)), F.col("_c.text"), F.col("_w.start")
     residue = F.nullif(F.trim(F.substring(widest, F.length(text) + 1, F.length(widest))), F.lit(""))
     code = F.when(residue.isNotNull(), "TRAILING_INPUT").when(F.col("_c.reading.kind") == "number", "UNIT_ASSUMED").otherwise(F.col("_c.reading.code"))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(
+    return kept.select(
         *[F.col(f"_own.`{c}`") for c in own], "_w.clause", "_w.at", text.alias("text"), "_w.char_start", (F.col("_w.char_start") + F.length(text)).alias("char_end"),
-        start.alias("start"), (start + F.octet_length(text)).alias("end"), hint.alias("hint"), "_c.reading", residue.alias("residue"), code.alias("code"),
+        start.alias("start"), (start + F.octet_length(text)).alias("end"), F.col("_w.hint").alias("hint"), "_c.reading", residue.alias("residue"), code.alias("code"),
     )
