@@ -17,14 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import shards
+from .subwords import release
 
 ORDERS = (2, 3, 4)
 #: Bytes of the pieces that calibrate.
 SHORT = 40
+#: Bytes of text that are scored together; their subwords take some thirty times as much.
+SHARD_BYTES = 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 
 
@@ -153,10 +157,13 @@ def identify(docs: DataFrame, training: DataFrame | None = None, per_language: i
     key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col("doc_id")
 
     def predict(parts):
+        release()
         m = model.value
         for part in parts:
-            for rows in shards(part.column(1), 4 << 20):
-                keys, data, letters = part.column(0)[rows], part.column(1)[rows].to_pylist(), part.column(2)[rows].to_pylist()
+            # a carried text comes once, in its row
+            whole = pc.fill_null(part.column(0).field("text").cast(pa.binary()), b"") if carry else part.column(2)
+            for rows in shards(whole, SHARD_BYTES):
+                keys, letters, data = part.column(0)[rows], part.column(1)[rows].to_pylist(), whole[rows].to_pylist()
                 langs, scores = ["und"] * len(data), np.zeros(len(data))
                 at = [i for i, ok in enumerate(letters) if ok and m]
                 if at:
@@ -167,6 +174,6 @@ def identify(docs: DataFrame, training: DataFrame | None = None, per_language: i
                 yield pa.RecordBatch.from_arrays([keys, pa.array(langs, pa.string()), pa.array(scores), pa.array([not ok or not m or s < m.threshold for ok, s in zip(letters, scores.tolist())], pa.bool_())], [name, "lang_pred", "score", "rejected"])
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    given = docs.select(key, F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), has_letter.alias("letters"))
+    given = docs.select(key, has_letter.alias("letters"), *([] if carry else [F.coalesce("text", F.lit("")).cast("binary").alias("bytes")]))
     name, kind = given.dtypes[0]
     return given.mapInArrow(predict, f"{name} {kind}, lang_pred string, score double, rejected boolean")

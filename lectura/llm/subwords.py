@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import os
 import re
 import unicodedata
@@ -74,7 +76,7 @@ class UnitEncoder:
         for w in words:
             letters = w.lstrip(" ")
             if letters.isascii() and letters.isalpha():  # bytes that stand for themselves
-                known = (w.lower() if self.lower else w).replace(" ", space)
+                known = w.lower() if self.lower else w.replace(" ", space)
                 out.append(array("I", [t.id for t in tokenize(known)]).tobytes())
             elif letters.isalpha() and not ("Σ" in letters or "İ" in letters) and unicodedata.is_normalized("NFC", letters):
                 known = (w.lower() if self.lower else w).encode().decode("latin-1").translate(self.table)
@@ -90,6 +92,16 @@ class UnitEncoder:
         """Ids of each unit that follows another. Letters and ASCII punctuation behind them are two pre-tokens, whose ids are kept by themselves."""
         if len(self.words) > CACHE:
             self.words.clear()
+        # most units are known as they stand
+        known = self.words.get
+        found = [known(u) for u in units] if not self.front else [known(" " + u) for u in units]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, self._parted([units[i] for i in new])):
+            found[i] = ids
+        return found
+
+    def _parted(self, units: list[str]) -> list[bytes]:
+        """Ids of units by their parts, which are kept."""
         # a line break before a letter or sign is a pre-token of its own, and what follows it has no space
         breaks = ["\n" if self.front and u[:1] == "\n" else "" for u in units]
         bodies = [u[len(b):] for u, b in zip(units, breaks)]
@@ -139,6 +151,16 @@ def encoder(name: str, mode: str) -> UnitEncoder:
     return UnitEncoder(name, mode)
 
 
+def release() -> None:
+    """Gives up the worker's tokenizers with their caches, and the memory that the allocators keep: for tasks of another operator."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+
 def batches(texts: list[str], size: int = 1 << 22):
     """Slices of consecutive texts of about so many characters, one text at least."""
     start = held = 0
