@@ -18,3 +18,11 @@ def test_a_carried_text_is_judged_like_one_that_is_sent_alone(spark):
     sent = carried._jdf.queryExecution().optimizedPlan().toString()
     assert "AS bytes" not in sent  # once, in its row
     assert {r["row"]["doc_id"]: r[1:] for r in carried.collect()} == alone
+
+
+def test_known_units_are_taken_as_they_stand():
+    own = subwords.UnitEncoder("word_bpe_49k.json", "dropped")
+    first, asked, parted = own.encode(["red green, blue red"]), [], own._parted
+    own._parted = lambda units: asked.append(units) or parted(units)
+    assert own.encode(["red green, blue red"]) == first
+    assert asked == [["green,"]]
