@@ -20,7 +20,7 @@ from ..functions.readings import DDL, FIELDS, quantity, reading
 from ..functions.text import ascii_lower, let, normalized
 from ..sources.registry import ROWS
 from .policy import ISSUES
-from .read import ENDS, Context, once, read
+from .read import ENDS, Context, joined_back, once, read
 
 #: A number with one separator before three digits, apart from other digits and separators.
 DOUBTFUL = r"(?<![0-9.,])(?!0{1,3}[.,]000(?![0-9.,]))[0-9]{1,3}[.,][0-9]{3}(?![0-9.,])"
@@ -216,8 +216,7 @@ def parse(df: DataFrame, column: str, ctx: Context = Context(), custom: DataFram
     for name, value in derived.items():
         both = both.withColumn(name, value)
     told = both.select("_key", "parsed")
-    rest = df.drop("parsed") if column != "parsed" else df
-    return rest.join(told, F.md5(rest[column]) == told["_key"], "left").drop(told["_key"])
+    return joined_back(df.drop("parsed") if column != "parsed" else df, column, told)
 
 
 def ranked_findings(df: DataFrame, column: str = "parsed") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from lectura.functions.numbers import number
+from lectura.operators.read import Context, read
 from lectura.operators.scan import scan
 
 
@@ -15,3 +19,21 @@ def test_scan_holds_distinct_candidates_only(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     top = [line.strip(" :+-*") for line in plan.splitlines()]
     assert "ShuffledHashJoin" in plan and "BuildRight" in next(line for line in top if "Join" in line)
+
+
+def test_a_text_that_is_not_asked_for_stays_out_of_the_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "word " * 50) for i in range(20)], "id long, text string")
+    told = read(docs, "text", Context(only=("number",), ranges=False, conversions=False, fuzzy=False)).select("id", "reading.code")
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("Join") :].splitlines()[1]
+    assert "md5" in left and " text#" not in left.replace("md5(cast(text#", "")
+
+
+def test_ends_of_long_texts_are_still_read(spark):
+    long = "0" * 400
+    texts = {f"{long}5 EUR": 5.0, f"{long}7 dollars": 7.0, f"{long}9 pence": 0.09, f"{long}2 cents": 0.02, f"{long}3円": 3.0, f"{long}4 °C": 4.0, f"$ {long}6": 6.0}
+    df = read(spark.createDataFrame([(t,) for t in texts], "text string"), "text", Context(only=("temperature", "currency", "number"), ranges=False, conversions=False, fuzzy=False))
+    assert {r["text"]: round(r["value"], 6) for r in df.select("text", "reading.value").collect()} == texts
+    numbers = {"1 234,5": 1234.5, "3億2万": 300020000.0, "二千三": 2003.0, "2½": 2.5, "twenty-one": 21.0, "1_000": 1000.0, "a.b": None, "5 x": None, "-1.5": -1.5, "1'000.5": 1000.5}
+    got = spark.createDataFrame([(t,) for t in numbers], "text string").select("text", number(F.col("text")).alias("n")).collect()
+    assert {r["text"]: r["n"] for r in got} == numbers
