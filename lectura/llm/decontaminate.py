@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .subwords import lean
 from .tables import byte_size, written
 
 #: Lower case for A-Z, a space for whatever isn't part of a word; bytes of non-ASCII characters stay.
@@ -179,7 +180,7 @@ def found_in(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
                     matches[doc].append({"item": bench.value.item_ids[item], "item_start": q, "start": p, "words": n})
                 yield pa.RecordBatch.from_arrays([part.column(0)[rows], pa.array(n_words, pa.int64()), pa.array(matches, types)], [name, "n_words", "matches"])
 
-    return docs.mapInArrow(judge, f"{name} {kind}, {FOUND}")
+    return docs.mapInArrow(lean(judge), f"{name} {kind}, {FOUND}")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, share: int = 20, carry: bool = False) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import shards
 from .repeats import ODD1, ODD2, mix
+from .subwords import lean
 from .tables import Scratch, hot_limit, is_one_of, join_hot, written
 
 #: A-Z in lower case, the other characters that part words as spaces.
@@ -121,7 +122,7 @@ def rarity(docs: DataFrame, shingle: int) -> tuple[np.ndarray, float]:
         level = np.minimum(255, np.log2(total + 1.0) * 8).astype(np.uint8)
         return pa.table({"block": table.column("block")[:1], "levels": pa.array([level.tobytes()], pa.binary()), "n": pa.array([float(total.sum())]), "squares": pa.array([float((total.astype(float) ** 2).sum())])})
 
-    counted = docs.select("text").mapInArrow(count, BLOCK)
+    counted = docs.select("text").mapInArrow(lean(count), BLOCK)
     in_buckets = counted.groupBy("block", "bucket").applyInArrow(add, BLOCK)  # so that no task holds the sketches of all tasks
     found = in_buckets.groupBy("block").applyInArrow(close, "block int, levels binary, n double, squares double").collect()
     if not found:
@@ -181,7 +182,7 @@ def sets_of(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 told_of = [pa.array(sig, pa.int64()), pa.array(count, pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary()), key, reach]
                 yield pa.RecordBatch.from_arrays([part.column(0)[s], part.column(1)[s], *told_of], ["doc_id", "text_hash", "sig", "n", "profile", "keys", "reach"])
 
-    return docs.mapInArrow(build, "doc_id long, text_hash long, sig long, n int, profile binary, keys array<long>, reach array<int>")
+    return docs.mapInArrow(lean(build), "doc_id long, text_hash long, sig long, n int, profile binary, keys array<long>, reach array<int>")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,7 +196,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = np.minimum(x, y).sum(axis=1)
                 yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * (x.sum(axis=1) + y.sum(axis=1) - both)))
 
-    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
+    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(lean(judge), "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +212,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return told.select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
+    return told.select("a", "b", "left", "right").mapInArrow(lean(judge), "a long, b long")
 
 
 def components(edges: DataFrame, tables: Scratch) -> DataFrame:
@@ -323,7 +324,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, tables: Scratc
         few = where.count() <= 500_000
         hit = texts.join(F.broadcast(where) if few else where, (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
         # repeated rows are read more than once, and joined by their first
-        shingles = hit.select("sig", "text").mapInArrow(read, "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+        shingles = hit.select("sig", "text").mapInArrow(lean(read), "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
         return tables.written(linked(pairs, tables.written(shingles), percent))
 
     edges = linked_of(first)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import shards
-from .subwords import release
+from .subwords import lean
 
 ORDERS = (2, 3, 4)
 #: Bytes of the pieces that calibrate.
@@ -157,7 +157,6 @@ def identify(docs: DataFrame, training: DataFrame | None = None, per_language: i
     key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col("doc_id")
 
     def predict(parts):
-        release()
         m = model.value
         for part in parts:
             # a carried text comes once, in its row
@@ -176,4 +175,4 @@ def identify(docs: DataFrame, training: DataFrame | None = None, per_language: i
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     given = docs.select(key, has_letter.alias("letters"), *([] if carry else [F.coalesce("text", F.lit("")).cast("binary").alias("bytes")]))
     name, kind = given.dtypes[0]
-    return given.mapInArrow(predict, f"{name} {kind}, lang_pred string, score double, rejected boolean")
+    return given.mapInArrow(lean(predict), f"{name} {kind}, lang_pred string, score double, rejected boolean")

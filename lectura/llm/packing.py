@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subwords import batches, encoder
+from .decontaminate import shards
+from .subwords import encoder, lean, release
 
 TOKENIZER, END = "byte_bpe_50k.json", 1
+#: Bytes of text that are encoded together, and units that a worker keeps: the executor's heap needs the rest.
+ENCODE_BYTES, CACHE = 2 << 20, 200_000
 #: Bytes of text whose pieces are packed together, about.
 GROUP_BYTES = 24 << 20
 PIECES = "part long, doc_id long, start long, doc_tokens long, ids binary"
@@ -43,15 +46,16 @@ def pieces(docs: DataFrame, groups: int, length: int, tokenizer: str = TOKENIZER
     again deals alike in whatever order its rows come.
     """
 
+    kind = narrow(tokenizer, end)
+
     def cut(parts):
         from pyspark import TaskContext
 
-        e, kind, task, met = encoder(tokenizer, "space"), narrow(tokenizer, end), TaskContext.get().partitionId(), {}
+        e, task, met = encoder(tokenizer, "space", CACHE), TaskContext.get().partitionId(), {}
         for part in parts:
-            keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for s in batches(texts):
+            for s in shards(part.column(1), ENCODE_BYTES):
                 rows = []
-                for key, ids in zip(keys[s], e.encode(texts[s])):
+                for key, ids in zip(part.column(0)[s].to_pylist(), e.encode(part.column(1)[s].to_pylist())):
                     ids = np.append(np.frombuffer(ids, "<u4"), end).astype(kind)
                     edges = [*range(0, len(ids), length), len(ids)]
                     if edges[-1] - edges[-2] > length // 2:
@@ -65,7 +69,7 @@ def pieces(docs: DataFrame, groups: int, length: int, tokenizer: str = TOKENIZER
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "doc_id", "start", "doc_tokens", "ids"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(cut, tokenizers=True), PIECES)
 
 
 def best_pattern(price: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -174,8 +178,10 @@ def packed_sequences(docs: DataFrame, length: int = 2048, tokenizer: str = TOKEN
     size, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     cut = pieces(docs, max(1, -(-(size + n) // group_bytes)), length, tokenizer, end)
 
+    kind = narrow(tokenizer, end)
+
     def pack_group(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        kind = narrow(tokenizer, end)
+        release()
         group = group.combine_chunks()
         start, tokens, ids = group.column("start").to_numpy(), group.column("doc_tokens"), group.column("ids").chunk(0)
         lengths = np.diff(np.frombuffer(ids.buffers()[1], "<i4", len(ids) + 1, 4 * ids.offset)).astype(np.int64) // int(kind[-1])
@@ -197,7 +203,7 @@ def packed_sequences(docs: DataFrame, length: int = 2048, tokenizer: str = TOKEN
             {
                 "sequence_id": pa.array((key[0].as_py() << 32) + sequence[order][first]),
                 "pieces": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), told),
-                "ids": pa.Array.from_buffers(pa.binary(), len(first), [None, spots, pa.py_buffer(flat.tobytes())]),
+                "ids": pa.Array.from_buffers(pa.binary(), len(first), [None, spots, pa.py_buffer(flat)]),
             }
         )
 

@@ -29,11 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import merge, shards
+from .subwords import lean, release
 from .tables import Scratch, hot_limit, is_one_of, join_hot, written
 
 GRAM = 32
 #: Positions of a scan's piece fit so many bits; longer texts are scanned in overlapping pieces.
 PLACE_BITS = 20
+#: Bytes of a piece, about; while it is scanned it takes a hundred times as much.
+PIECE_BYTES = 1 << 18
 #: Distinct contexts of a shard, about, and of a minimiser (or core) up to which they share a shard.
 SHARD, TOGETHER = 2000, 4000
 #: Suffixes of a block, into which the contexts of a crowded minimiser are cut, and then those of a crowded core.
@@ -81,7 +84,7 @@ class Hashes:
 def contexts(texts: list[bytes], length: int):
     """Arrays over all contexts of the texts: text index, start, number of suffixes, minimiser, hash of the bytes."""
     window, out = length - GRAM + 1, []
-    piece = (1 << PLACE_BITS) - 2 * length
+    piece = min((1 << PLACE_BITS) - 2 * length, max(PIECE_BYTES, 4 * length))
     queue, held = [], 0
     for i, t in enumerate(texts):
         for at in range(0, max(0, len(t) - length + 1), piece):
@@ -256,12 +259,12 @@ class Repeats:
         def scan(parts):
             for part in parts:
                 keys = part.column(0).to_numpy()
-                for rows in shards(part.column(1), 1 << 20):
+                for rows in shards(part.column(1), PIECE_BYTES):
                     text, start, n, h, c = contexts(part.column(1)[rows].to_pylist(), length)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(keys[rows][text], pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32())], ["h", "c", "key", "start", "n"])
 
         self.keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-        found = tables.written(self.keyed.filter(F.length("text") >= length).mapInArrow(scan, "h long, c long, key long, start long, n int"))
+        found = tables.written(self.keyed.filter(F.length("text") >= length).mapInArrow(lean(scan), "h long, c long, key long, start long, n int"))
         repeated = tables.written(self._repeated(found))
         #: contexts that are equal wherever their minimiser stands: they repeat as a whole
         self.whole = repeated.filter("same").select("c", "key", "start", "n")
@@ -305,7 +308,7 @@ class Repeats:
 
         # repeated rows have one key
         texts = self.keyed.dropDuplicates(["key"])
-        return self.tables.written(texts.join(wants, "key").select("text", "wants").mapInArrow(cut, "h long, c long, times long, bytes binary"))
+        return self.tables.written(texts.join(wants, "key").select("text", "wants").mapInArrow(lean(cut), "h long, c long, times long, bytes binary"))
 
     def places(self, parts: DataFrame, groups: bool, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
         """What repeats of the parts (h, c, times, bytes): with groups every occurrence of every maximal repeat, else merged spans.
@@ -316,6 +319,7 @@ class Repeats:
         length, tables = self.length, self.tables
 
         def build(table: pa.Table) -> pa.Table:
+            release()
             shard = Shard(table.column("bytes").to_pylist(), length)
             if groups:
                 rows = list(shard.occurrences())
@@ -351,7 +355,7 @@ class Repeats:
                     yield pa.RecordBatch.from_arrays([*told.columns, pa.array(core.view(np.int64)), pa.array(c.view(np.int64)), pa.array(start, pa.int64()), pa.array(bytes_, pa.binary())], ["h", "c", "times", "core", "part", "start", "bytes"])
 
         many = parts.join(crowd, "h", "left_semi").select("h", "c", "times", "bytes")
-        dealt = tables.written(many.mapInArrow(cut, "h long, c long, times long, core long, part long, start long, bytes binary"))
+        dealt = tables.written(many.mapInArrow(lean(cut), "h long, c long, times long, core long, part long, start long, bytes binary"))
         inner = tables.written(dealt.groupBy("core", "part").agg(F.sum("times").alias("times"), F.max("bytes").alias("bytes"), F.count("*").alias("rows")))
         found = self.places(inner.select(F.col("core").alias("h"), F.col("part").alias("c"), "times", "bytes"), groups, blocks[1:])
         rows = inner.select("core", "part", "rows").join(found.select(F.col("h").alias("core"), F.col("c").alias("part"), "group", "low", "high"), ["core", "part"])
@@ -380,7 +384,7 @@ def merged_spans(spans: DataFrame) -> DataFrame:
             own = [[{"start": a, "end": b} for a, b in merge([(s["start"], s["end"]) for s in x])] for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["key", "spans"])
 
-    return spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(join, "key long, spans array<struct<start:long,end:long>>")
+    return spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(lean(join), "key long, spans array<struct<start:long,end:long>>")
 
 
 def without_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = False) -> DataFrame:
@@ -399,7 +403,7 @@ def without_repeats(docs: DataFrame, length: int = 200, whole_characters: bool =
     keyed = given.join(hit, "key", "left").drop("key")
 
     def keep(parts):
-        for part in (whole.slice(rows.start, rows.stop - rows.start) for whole in parts for rows in shards(whole.column("text").fill_null(b""), 4 << 20)):
+        for part in (whole.slice(rows.start, rows.stop - rows.start) for whole in parts for rows in shards(whole.column("text").fill_null(b""), 1 << 20)):
             out = {"kept": [], "n_removed": [], "n_spans": []}
             for text, own in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
                 data = text or b""
@@ -414,7 +418,7 @@ def without_repeats(docs: DataFrame, length: int = 200, whole_characters: bool =
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "row"])
 
     types = dict(keyed.dtypes)
-    done = keyed.mapInArrow(keep, f"doc_id {types['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary, row {types['row']}")
+    done = keyed.mapInArrow(lean(keep), f"doc_id {types['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary, row {types['row']}")
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(f"row.`{c}`") for c in others])
 
 

@@ -55,7 +55,7 @@ class UnitEncoder:
     Both cut only where the tokenizer's own pre-tokenizer always cuts, so joining the units' ids gives the whole text's ids.
     """
 
-    def __init__(self, name: str, mode: str):
+    def __init__(self, name: str, mode: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -63,6 +63,7 @@ class UnitEncoder:
         self.model, self.lower = self.tokenizer.model, mode == "dropped"
         self.table = byte_characters()
         self.words: dict[str, bytes] = {}
+        self.cache = cache
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -90,7 +91,7 @@ class UnitEncoder:
 
     def _ids(self, units: list[str]) -> list[bytes]:
         """Ids of each unit that follows another. Letters and ASCII punctuation behind them are two pre-tokens, whose ids are kept by themselves."""
-        if len(self.words) > CACHE:
+        if len(self.words) > self.cache:
             self.words.clear()
         # most units are known as they stand
         known = self.words.get
@@ -146,9 +147,16 @@ class UnitEncoder:
 
 
 @functools.cache
-def encoder(name: str, mode: str) -> UnitEncoder:
+def encoder(name: str, mode: str, cache: int = CACHE) -> UnitEncoder:
     """One per worker; workers serve many tasks."""
-    return UnitEncoder(name, mode)
+    return UnitEncoder(name, mode, cache)
+
+
+def trim() -> None:
+    """Gives the memory back that the worker's allocators keep."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        give(0)
 
 
 def release() -> None:
@@ -156,9 +164,19 @@ def release() -> None:
     if encoder.cache_info().currsize:
         encoder.cache_clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
-            trim(0)
+    trim()
+
+
+def lean(task, tokenizers: bool = False):
+    """The task of a mapInArrow, in a worker that holds no more than it needs: what other operators' tasks left goes before it begins,
+    what it has freed goes back when it ends. Workers live on beside the executor's heap while joins and sorts fill that."""
+
+    def run(parts):
+        trim() if tokenizers else release()
+        yield from task(parts)
+        trim()
+
+    return run
 
 
 def batches(texts: list[str], size: int = 1 << 22):

@@ -1,5 +1,7 @@
 """What workers hold on to between operators, and what is carried along."""
 
+import numpy as np
+
 from lectura.llm import subwords
 from lectura.llm.language_id import identify
 
@@ -26,3 +28,31 @@ def test_known_units_are_taken_as_they_stand():
     own._parted = lambda units: asked.append(units) or parted(units)
     assert own.encode(["red green, blue red"]) == first
     assert asked == [["green,"]]
+
+
+def test_a_task_leaves_no_tokenizers_to_the_next_operator():
+    left = []
+
+    def task(parts):
+        left.append(subwords.encoder.cache_info().currsize)
+        yield from parts
+
+    subwords.encoder("byte_bpe_50k.json", "space")
+    assert [*subwords.lean(task, tokenizers=True)([1, 2])] == [*subwords.lean(task)([1, 2])] == [1, 2]
+    assert left == [1, 0]
+
+
+def test_a_scan_takes_little_memory_and_finds_the_same():
+    import tracemalloc
+
+    from lectura.llm import repeats
+
+    text = np.random.default_rng(1).integers(97, 101, 1 << 20).astype(np.uint8).tobytes()
+    repeats.contexts([text[: 1 << 16]], 200)
+    tracemalloc.start()
+    got = repeats.contexts([text], 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    # every suffix that can have 200 bytes lies in one context
+    assert sorted((np.repeat(got[1] - np.cumsum(got[2]) + got[2], got[2]) + np.arange(got[2].sum())).tolist()) == list(range(len(text) - 199))
