@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 #: A space between two characters that are not white space starts a pre-token of the byte-level BPE.
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"\s\s")
+#: ASCII signs that part from a letter or digit before them where white space is dropped; > may end a special string.
+SIGNS = "!\"#$%&'()*+,-./:;<=?@[\\]^_`{|}~"
 #: Entries of a worker's cache; beyond them it starts anew, so its memory stays bounded.
 CACHE = 500_000
 
@@ -103,6 +105,8 @@ class UnitEncoder:
 
     def _parted(self, units: list[str]) -> list[bytes]:
         """Ids of units by their parts, which are kept."""
+        if not self.front:
+            return self._before_signs(units)
         # a line break before a letter or sign is a pre-token of its own, and what follows it has no space
         breaks = ["\n" if self.front and u[:1] == "\n" else "" for u in units]
         bodies = [u[len(b):] for u, b in zip(units, breaks)]
@@ -116,6 +120,25 @@ class UnitEncoder:
         words = self.words
         return [words[b] + words[f] + words[t] for b, f, t in zip(breaks, fronts, tails)]
 
+    def _before_signs(self, units: list[str]) -> list[bytes]:
+        """Ids of new units of mode "dropped": a letter or digit and a sign behind it always lie in two pre-tokens, and signs in a row in one."""
+        bodies = [u.rstrip(SIGNS) for u in units]
+        new, cut, get = [], [], self.words.get
+        for i, (u, c) in enumerate(zip(units, bodies)):
+            # the lower case of a letter may end in a combining mark, which the tokenizer keeps together with signs behind it
+            if c != u and c and (last := c[-1]).isalnum() and (last.isascii() or last.isalpha() and last.lower().isalpha()):
+                cut.append(i)
+            else:
+                new.append(u)
+        tails = [units[i][len(bodies[i]) :] for i in cut]
+        asked = list({*new, *(w for i in cut if get(w := bodies[i]) is None), *(w for w in {*tails} if get(w) is None)})
+        self.words.update(zip(asked, self._encode_words(asked)))
+        words = self.words
+        out = [words[u] if u in words else b"" for u in units]
+        for i, t in zip(cut, tails):
+            out[i] = words[bodies[i]] + words[t]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [bool(self.front) and bool(ODD_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace()) for t in texts]
         out = iter(self._regular([t if self.front else blanks(t) for t, o in zip(texts, odd) if not o]))

@@ -30,6 +30,17 @@ def test_known_units_are_taken_as_they_stand():
     assert asked == [["green,"]]
 
 
+def test_signs_are_parted_from_letters_that_are_known():
+    own = subwords.UnitEncoder("word_bpe_49k.json", "dropped")
+    texts = ["red green, blue", "red,%%% green. (green) it,irec 7. é, İ, a<|endoftext|>, <|endoftext|>! x|> don't, 's, ..."]
+    own.encode(texts[:1])
+    asked, words = [], own._encode_words
+    own._encode_words = lambda new: asked.extend(new) or words(new)
+    ids = own.encode(texts)
+    assert "red,%%%" not in asked and "green." not in asked and ",%%%" in asked
+    assert ids == own._encode(texts)
+
+
 def test_a_task_leaves_no_tokenizers_to_the_next_operator():
     left = []
 
