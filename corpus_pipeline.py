@@ -12,7 +12,7 @@ from lectura.llm.jaccard import near_duplicates
 from lectura.llm.language_id import identify
 from lectura.llm.packing import pack
 from lectura.llm.repeats import without_repeats
-from lectura.llm.tables import shared_dir, table, written
+from lectura.llm.tables import shared_dir, small_batches, table, written
 
 #: Rows up to which the ids of near duplicates are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -20,6 +20,7 @@ BROADCAST_ROWS = 1_000_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters and those whose language the model doesn't recognise go."""
+    small_batches(spark)
     return identify(docs, carry=True).filter("not rejected").select("row.*")
 
 
@@ -29,6 +30,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows are told apart by doc_id and text, so that a doc_id of several texts loses only those that are near duplicates. Rows
     without words all stay.
     """
+    small_batches(spark)
     found = near_duplicates(docs, shingle=5, percent=80)
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     keys = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "first", (F.col("n_shingles") > 0).alias("worded"))
@@ -47,6 +49,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that stand anywhere else are cut out of every text, at whole characters."""
+    small_batches(spark)
     done = without_repeats(docs, whole_characters=True)
     text = F.col("kept").cast("string")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -55,11 +58,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark text go."""
+    small_batches(spark)
     return contamination(docs, table(spark, sf_dir, "benchmark"), carry=True).filter("not contaminated").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its ids and where it stands in sequences of 2048 tokens."""
+    small_batches(spark)
     return pack(docs)
 
 

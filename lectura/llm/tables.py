@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a key needs at least to be joined apart from the others.
 HOT_ROWS = 10_000
+#: Bytes of a batch of rows for a Python worker.
+BATCH_BYTES = 4 << 20
 A_TO_Z, a_to_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,6 +55,11 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Rows go to Python workers in batches of at most about so many bytes: a batch stands in the executor's own memory and the worker's."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def hot_limit(total: int) -> int:
     return max(HOT_ROWS, total // 1000)
 

@@ -1,6 +1,7 @@
 """What workers hold on to between operators, and what is carried along."""
 
 import numpy as np
+import pyarrow as pa
 
 from lectura.llm import subwords
 from lectura.llm.language_id import identify
@@ -67,3 +68,52 @@ def test_a_scan_takes_little_memory_and_finds_the_same():
     assert peak < 48 << 20
     # every suffix that can have 200 bytes lies in one context
     assert sorted((np.repeat(got[1] - np.cumsum(got[2]) + got[2], got[2]) + np.arange(got[2].sum())).tolist()) == list(range(len(text) - 199))
+
+
+def test_workers_of_every_stage_get_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+    from lectura.llm.tables import BATCH_BYTES
+
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+
+    class Reached(Exception):
+        pass
+
+    def reached(*_, **__):
+        seen.append(spark.conf.get(key))
+        raise Reached
+
+    for operator in ("identify", "near_duplicates", "without_repeats", "contamination", "pack"):
+        monkeypatch.setattr(corpus_pipeline, operator, reached)
+    try:
+        docs = spark.range(2000).coalesce(1).selectExpr("id AS doc_id", "repeat('x', 10000) AS text")
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, before)
+            try:
+                stage(spark, docs, "/root/testdata/sf0.001")
+            except Reached:
+                pass
+        assert seen == [str(BATCH_BYTES)] * 5
+        sizes = lambda parts: (pa.RecordBatch.from_arrays([pa.array([p.nbytes])], ["n"]) for p in parts)
+        sent = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(sent) > 20_000_000 and max(sent) < 2 * BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_benchmark_search_takes_little_memory():
+    import tracemalloc
+
+    from lectura.llm.decontaminate import Benchmark, shard_matches, shards
+
+    words = [f"w{i}" for i in range(500)]
+    bench = Benchmark([(1, " ".join(words))], 13)
+    texts = pa.array([" ".join(words[i % 400 : i % 400 + 100]) for i in range(16_000)], pa.binary())
+    one = next(iter(shards(texts)))
+    tracemalloc.start()
+    n, found = shard_matches(texts[one].to_pylist(), bench)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(n) == {100} and len(found) == one.stop
+    assert peak < 160 << 20
