@@ -27,7 +27,7 @@ from .subwords import encoder, lean, release
 
 TOKENIZER, END = "byte_bpe_50k.json", 1
 #: Bytes of text that are encoded together, and units that a worker keeps: the executor's heap needs the rest.
-ENCODE_BYTES, CACHE = 2 << 20, 200_000
+ENCODE_BYTES, CACHE = 3 << 20, 400_000
 #: Bytes of text whose pieces are packed together, about.
 GROUP_BYTES = 24 << 20
 PIECES = "part long, doc_id long, start long, doc_tokens long, ids binary"

@@ -65,6 +65,8 @@ class UnitEncoder:
         self.model, self.lower = self.tokenizer.model, mode == "dropped"
         self.table = byte_characters()
         self.words: dict[str, bytes] = {}
+        #: mode "space": what `words` held when it was last full; what is met again moves back
+        self.older: dict[str, bytes] = {}
         self.cache = cache
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -93,11 +95,13 @@ class UnitEncoder:
 
     def _ids(self, units: list[str]) -> list[bytes]:
         """Ids of each unit that follows another. Letters and ASCII punctuation behind them are two pre-tokens, whose ids are kept by themselves."""
+        if self.front:
+            return self._after_spaces(units)
         if len(self.words) > self.cache:
             self.words.clear()
         # most units are known as they stand
         known = self.words.get
-        found = [known(u) for u in units] if not self.front else [known(" " + u) for u in units]
+        found = [known(u) for u in units]
         new = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(new, self._parted([units[i] for i in new])):
             found[i] = ids
@@ -105,20 +109,45 @@ class UnitEncoder:
 
     def _parted(self, units: list[str]) -> list[bytes]:
         """Ids of units by their parts, which are kept."""
-        if not self.front:
-            return self._before_signs(units)
+        return self._after_spaces(units) if self.front else self._before_signs(units)
+
+    def _after_spaces(self, units: list[str]) -> list[bytes]:
+        """Ids of units of mode "space": letters (or ASCII digits) after a space are one pre-token, ASCII signs behind them another.
+
+        Two dictionaries of half the cache's size take turns, so that what is common outlives what is met once.
+        """
+        if 2 * len(self.words) > self.cache:
+            self.words, self.older = {}, self.words
+        words, before, tokenize, front = self.words, self.older.get, self.model.tokenize, self.table[32]
+        known, out, late = words.get, [], []
+        for u in units:
+            key, tail = " " + u, ""
+            ids = known(key)
+            if ids is None:
+                c = u.rstrip(SIGNS)
+                plain = c.isalpha() or c.isascii() and c.isdigit()
+                if plain and len(c) < len(u):
+                    key, tail = " " + c, u[len(c) :]
+                    ids = known(key)
+                if ids is None:
+                    ids = before(key)
+                    if ids is None and plain and c.isascii() and c.isalpha():  # bytes that stand for themselves
+                        ids = array("I", [t.id for t in tokenize(front + c)]).tobytes()
+                    if ids is not None:
+                        words[key] = ids
+                if tail and ids is not None:
+                    end = known(tail)
+                    ids = None if end is None else ids + end
+                if ids is None:
+                    late.append((len(out), key, tail))
+            out.append(ids)
         # a line break before a letter or sign is a pre-token of its own, and what follows it has no space
-        breaks = ["\n" if self.front and u[:1] == "\n" else "" for u in units]
-        bodies = [u[len(b):] for u, b in zip(units, breaks)]
-        # the lower case of a letter may end in a combining mark, which the tokenizer keeps together with punctuation behind it
-        whole = lambda c: c.isalpha() and (not self.lower or c.isascii() or c.lower().isalpha())
-        cores = [c if whole(c := u.rstrip(",.!?;:")) else u for u in bodies]
-        tails = [u[len(c):] for u, c in zip(bodies, cores)]
-        fronts = [c if b else self.front + c for c, b in zip(cores, breaks)]
-        asked = [w for w in {*breaks, *fronts, *tails} if w not in self.words]
-        self.words.update(zip(asked, self._encode_words(asked)))
-        words = self.words
-        return [words[b] + words[f] + words[t] for b, f, t in zip(breaks, fronts, tails)]
+        parts = [("\n", key[2:], tail) if key[1:2] == "\n" else ("", key, tail) for _, key, tail in late]
+        asked = [w for w in {w for three in parts for w in three} if w not in words]
+        words.update(zip(asked, self._encode_words(asked)))
+        for (i, _, _), (b, w, t) in zip(late, parts):
+            out[i] = words[b] + words[w] + words[t]
+        return out
 
     def _before_signs(self, units: list[str]) -> list[bytes]:
         """Ids of new units of mode "dropped": a letter or digit and a sign behind it always lie in two pre-tokens, and signs in a row in one."""

@@ -117,3 +117,27 @@ def test_benchmark_search_takes_little_memory():
     tracemalloc.stop()
     assert set(n) == {100} and len(found) == one.stop
     assert peak < 160 << 20
+
+
+def test_signs_behind_letters_and_common_words_are_not_encoded_anew():
+    own = subwords.UnitEncoder("byte_bpe_50k.json", "space", 64)
+    texts = ["red green blue 12", "red green%%% blue*** 12), it's <|endoftext|>! x|> \nred, é%% a1$ ..."]
+    asked, words = [], own._encode_words
+    own._encode_words = lambda new: asked.extend(new) or words(new)
+    ids = own.encode(texts)
+    assert " green%%%" not in asked and " 12)," not in asked and "%%%" in asked
+    assert ids == own._encode(texts)
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.seen = model, []
+
+        def tokenize(self, word):
+            self.seen.append(word)
+            return self.model.tokenize(word)
+
+    own.model = counted = Counted(own.model)
+    for i in range(40):
+        texts = ["first common " + " ".join("word" + chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + k) for k in range(20))]
+        assert own.encode(texts) == own._encode(texts)
+    assert sum(w.endswith("common") for w in counted.seen) == 1
